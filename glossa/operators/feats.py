@@ -165,3 +165,63 @@ def tf_idf(feats: DataFrame) -> DataFrame:
     return (feats.join(df, "feat")
             .select("group_id", "feat", "value",
                     (F.col("group_norm") * F.log(F.lit(float(n_groups)) / F.col("_df"))).alias("group_norm")))
+
+
+def colloc_feats(word_counts: DataFrame, ngram_counts_: DataFrame, collocs: DataFrame,
+                 include_sub_collocs: bool = False, vfunc: str | None = None) -> DataFrame:
+    """Collocation features: multi-word n-grams listed in ``collocs(feat)``
+    plus 1-grams.  Without sub-collocations, each word's count is reduced by
+    the counts of the collocations that contain it (rows reaching 0 vanish)."""
+    bc = ngram_counts_.join(collocs.select("feat").distinct(), "feat", "left_semi").select("group_id", "feat", "value")
+    words = word_counts.select("group_id", "feat", "value")
+    if not include_sub_collocs:
+        sub = (bc.select("group_id", F.explode(F.split("feat", " ")).alias("feat"), "value")
+               .groupBy("group_id", "feat").agg(F.sum("value").alias("_s")))
+        words = (words.join(sub, ["group_id", "feat"], "left")
+                 .select("group_id", "feat", (F.col("value") - F.coalesce("_s", F.lit(0.0))).alias("value"))
+                 .where(F.col("value") > 0))
+    return attach_group_norm(words.unionByName(bc), vfunc)
+
+
+# Accent folding used by the vectorizer's preprocessing (ours).
+ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
+UNACCENTED = "aaaaaaceeeeiiiinooooouuuuyy"
+
+
+def english_stop_words(spark) -> list:
+    """Spark's built-in English stop-word list."""
+    from pyspark.ml.feature import StopWordsRemover
+    return list(StopWordsRemover.loadDefaultStopWords("english"))
+
+
+def tfidf_vectorizer(messages: DataFrame, ngram_range=(1, 3), min_df: float = 0.2, max_df: float = 0.8,
+                     max_features: int = 200000, stop_words: list | None = None) -> DataFrame:
+    """Vectorizer-style TF-IDF over each group's messages.
+
+    lower-case + accent folding, tokens of 2+ letters/digits, stop words removed
+    before n-grams, document-frequency bounds as shares of groups (inclusive),
+    top ``max_features`` by corpus count (ties by name), smoothed
+    ``idf = ln((1+n)/(1+df)) + 1``, ``w = tf * idf`` L2-normalized per group.
+    ``value`` = tf, ``group_norm`` = normalized weight.
+    """
+    spark = messages.sparkSession
+    stop = stop_words if stop_words is not None else english_stop_words(spark)
+    text = F.translate(F.lower("message"), ACCENTED, UNACCENTED)
+    m = messages.select("group_id", text.alias("_x"))
+    toks = m.select("group_id", F.expr(r"regexp_extract_all(_x, '([\\p{L}\\p{N}]{2,})', 1)").alias("_t0"))
+    stop_arr = F.array(*[F.lit(w) for w in stop])
+    toks = toks.select("group_id", F.filter("_t0", lambda x: ~F.array_contains(stop_arr, x)).alias("_t"))
+    lo, hi = ngram_range
+    grams = toks.select("group_id", F.explode(F.flatten(F.array(*[ngrams("_t", k) for k in range(lo, hi + 1)])))
+                        .alias("feat"))
+    tf = grams.groupBy("group_id", "feat").agg(F.count(F.lit(1)).cast("double").alias("tf"))
+    n_docs = messages.select("group_id").distinct().count()
+    vocab = tf.groupBy("feat").agg(F.count(F.lit(1)).alias("_df"), F.sum("tf").alias("_ctf"))
+    vocab = vocab.where((F.col("_df") >= F.lit(min_df * n_docs)) & (F.col("_df") <= F.lit(max_df * n_docs)))
+    vocab = vocab.orderBy(F.col("_ctf").desc(), F.col("feat").asc()).limit(max_features)
+    idf = F.log(F.lit(1.0 + n_docs) / (F.lit(1.0) + F.col("_df"))) + F.lit(1.0)
+    w = tf.join(vocab.select("feat", idf.alias("_idf")), "feat").withColumn("_w", F.col("tf") * F.col("_idf"))
+    norm = w.groupBy("group_id").agg(F.sqrt(F.sum(F.col("_w") * F.col("_w"))).alias("_norm"))
+    return (w.join(norm, "group_id")
+            .select("group_id", "feat", F.col("tf").alias("value"),
+                    (F.col("_w") / F.nullif(F.col("_norm"), F.lit(0.0))).alias("group_norm")))

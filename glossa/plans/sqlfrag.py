@@ -13,7 +13,7 @@ def ngram_list(tok: str, n: int) -> str:
     if n == 1:
         return tok
     return (f"list_transform(range(1, len({tok}) - {n - 2}), "
-            f"i -> array_to_string({tok}[i:i + {n - 1}], ' '))")
+            f"lambda i: array_to_string({tok}[i:i + {n - 1}], ' '))")
 
 
 def feat_ctes(src: str, group: str, n: int = 1, name: str = "f", text: str = "text") -> str:
