@@ -1,7 +1,8 @@
 """Distributed ranking helpers.
 
 A global ``row_number() over (order by ...)`` window runs in a single
-task.  ``global_rank`` instead range-partitions the rows by the order,
+task.  The row ids are pinned by a reliable checkpoint before they are
+used twice (offsets and rows).  ``global_rank`` instead range-partitions the rows by the order,
 numbers rows inside each partition with ``monotonically_increasing_id``
 (partition index in the high bits, position in the low bits) and adds the
 row count of all earlier partitions (a table with one row per partition,
@@ -20,10 +21,24 @@ from pyspark.sql import functions as F
 _LOW = 1 << 33
 
 
+def materialize(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint into the session's shared checkpoint folder: cuts
+    lineage and pins nondeterministic columns, so a retried stage (lost
+    executor) or a second consumer sees exactly the same rows."""
+    from glossa.session import checkpoint_dir, local_fallback_dir
+    spark = df.sparkSession
+    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
+        checkpoint_dir(spark, local_fallback_dir())   # unset: tests / single-machine runs only
+    elif spark.sparkContext.getCheckpointDir() is None:
+        checkpoint_dir(spark)
+    return df.checkpoint(eager=True)
+
+
 def global_rank(df: DataFrame, order_cols, out: str = "rn") -> DataFrame:
     """1-based position of each row in the total order ``order_cols``
     (make the order unique, e.g. end with a key column)."""
     s = df.orderBy(*order_cols).withColumn("_mid", F.monotonically_increasing_id())
+    s = materialize(s)
     s = s.withColumn("_pid", F.shiftright("_mid", 33)).withColumn("_loc", F.col("_mid") % F.lit(_LOW))
     counts = s.groupBy("_pid").agg(F.count(F.lit(1)).alias("_c"))
     w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
@@ -33,14 +48,26 @@ def global_rank(df: DataFrame, order_cols, out: str = "rn") -> DataFrame:
             .drop("_mid", "_pid", "_loc", "_off"))
 
 
-def rank_within(df: DataFrame, class_col: str, order_cols, out: str = "rn") -> DataFrame:
-    """1-based position inside each ``class_col`` value, by ``order_cols``."""
-    g = global_rank(df, [F.col(class_col)] + list(order_cols), "_g")
-    sizes = df.groupBy(class_col).agg(F.count(F.lit(1)).alias("_n"))
-    w = Window.orderBy(class_col).rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select(class_col, F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_start"))
-    return (g.join(F.broadcast(starts), class_col, "left")
-            .withColumn(out, (F.col("_g") - F.col("_start")).cast("bigint")).drop("_g", "_start"))
+def rank_within(df: DataFrame, class_cols, order_cols, out: str = "rn") -> DataFrame:
+    """1-based position inside each class (``class_cols``), by ``order_cols``.
+
+    Global position minus the class's first position; the first position is
+    an aggregate (``min``), so no window spans a class.
+    """
+    keys = [class_cols] if isinstance(class_cols, str) else list(class_cols)
+    g = global_rank(df, [F.col(k) for k in keys] + list(order_cols), "_g")
+    starts = g.groupBy(*keys).agg(F.min("_g").alias("_start"))
+    return (g.join(starts, keys).withColumn(out, (F.col("_g") - F.col("_start") + 1).cast("bigint"))
+            .drop("_g", "_start"))
+
+
+def average_rank(df: DataFrame, class_cols, value: str, out: str = "arank") -> DataFrame:
+    """Average rank (ties share the mean of their positions) of ``value``
+    inside each class; ties are resolved with two aggregates, not windows."""
+    keys = [class_cols] if isinstance(class_cols, str) else list(class_cols)
+    r = rank_within(df, keys, [F.col(value)], "_rn")
+    ties = r.groupBy(*keys, value).agg(((F.min("_rn") + F.max("_rn")) / 2.0).alias(out))
+    return r.drop("_rn").join(ties, keys + [value])
 
 
 def top_k_per_key(df: DataFrame, key, order_cols, k: int, salt_col: str | None = None,

@@ -13,6 +13,13 @@ from glossa.plans.registry import register
 from glossa.sources import tables as src
 
 
+def base_feats(spark, sf_dir):
+    """(all 1-gram features, occurrence-filtered features, group population)."""
+    feats = doc_unigrams(spark, sf_dir)
+    groups = feats.select("group_id").distinct()
+    return feats, feat_occ_filter(feats, 0.05), groups
+
+
 def flagship(spark, sf_dir, with_p: bool = True):
     """1-grams per document -> 5 % occurrence filter -> r with quality / toxic
     (absent = 0) -> Benjamini-Hochberg per outcome."""
@@ -23,12 +30,14 @@ def flagship(spark, sf_dir, with_p: bool = True):
                      with_p=with_p)
 
 
-_SLICE_CTES = f"""{S.feat_ctes('documents', 'doc_id')},
+_BASE_CTES = f"""{S.feat_ctes('documents', 'doc_id')},
 ng AS (SELECT count(DISTINCT group_id) AS n FROM f),
 keep AS (SELECT feat FROM f GROUP BY feat HAVING count(*) >= 0.05 * (SELECT n FROM ng)),
 ff AS (SELECT * FROM f WHERE feat IN (SELECT feat FROM keep)),
 {S.label_outcomes_cte('y0')},
-y AS (SELECT * FROM y0 WHERE group_id IN (SELECT group_id FROM f)),
+y AS (SELECT * FROM y0 WHERE group_id IN (SELECT group_id FROM f))"""
+
+_SLICE_CTES = _BASE_CTES + f""",
 ys AS (SELECT outcome, count(*) AS n, sum(y) AS sy, sum(y*y) AS syy FROM y GROUP BY outcome),
 xy AS (SELECT outcome, feat, sum(group_norm) AS sx, sum(group_norm*group_norm) AS sxx,
               sum(group_norm*y) AS sxy, count(*) FILTER (WHERE group_norm > 0) AS freq
@@ -49,3 +58,127 @@ def q_correlate_p(spark, sf_dir):
     c = p_adjust(flagship(spark, sf_dir), "BH")
     return c.select("outcome", "feat", rnd("r").alias("r"), "n", "freq", rnd("t").alias("t"),
                     "p", "p_adj")
+
+
+# ---------------------------------------------------------------- rank / contrast statistics
+
+_AVG_RANK = "rank() OVER (PARTITION BY {p} ORDER BY {v}) + (count(*) OVER (PARTITION BY {p}, {v}) - 1) / 2.0"
+
+
+@register("spearman", f"""WITH {_BASE_CTES},
+yr AS (SELECT group_id, outcome, y, {_AVG_RANK.format(p='outcome', v='y')} AS ry FROM y),
+ys AS (SELECT outcome, count(*) AS n, sum(ry) AS sry, sum(ry * ry) AS sry2 FROM yr GROUP BY outcome),
+xy AS (SELECT ff.feat, yr.outcome, ff.group_norm AS x, yr.ry FROM ff JOIN yr USING (group_id)),
+xr AS (SELECT *, {_AVG_RANK.format(p='outcome, feat', v='x')} AS rx FROM xy),
+a AS (SELECT outcome, feat, count(*) AS nnz, sum(rx) AS s1, sum(rx * rx) AS s2, sum(rx * ry) AS sxy, sum(ry) AS sy_nz
+      FROM xr GROUP BY outcome, feat),
+j AS (SELECT a.*, ys.n, ys.sry, ys.sry2, CAST(ys.n AS DOUBLE) - nnz AS z FROM a JOIN ys USING (outcome)),
+k AS (SELECT outcome, feat, n, sry, sry2, n * (n + 1) / 2.0 AS srx,
+        nnz * z * z + 2 * z * s1 + s2 + z * ((z + 1) / 2) * ((z + 1) / 2) AS srx2,
+        z * sy_nz + sxy + ((z + 1) / 2) * (sry - sy_nz) AS srxy FROM j)
+SELECT outcome, feat, round((n * srxy - srx * sry) / nullif(sqrt((n * srx2 - srx * srx) * (n * sry2 - sry * sry)), 0), 6) AS rho,
+       CAST(n AS BIGINT) AS n FROM k""")
+def q_spearman(spark, sf_dir):
+    from glossa.operators.stats import spearman
+    _, kept, groups = base_feats(spark, sf_dir)
+    r = spearman(kept, src.label_outcomes(spark, sf_dir), ["quality", "toxic"], groups)
+    return r.select("outcome", "feat", rnd("rho").alias("rho"), "n")
+
+
+@register("auc", f"""WITH {_BASE_CTES},
+ys AS (SELECT outcome, count(*) AS n, sum(y) AS n1 FROM y GROUP BY outcome),
+xy AS (SELECT ff.feat, y.outcome, ff.group_norm AS x, y.y FROM ff JOIN y USING (group_id)),
+xr AS (SELECT *, {_AVG_RANK.format(p='outcome, feat', v='x')} AS rx FROM xy),
+a AS (SELECT outcome, feat, count(*) AS nnz, sum(rx * y) AS s_pos, sum(y) AS nnz_pos FROM xr GROUP BY outcome, feat),
+j AS (SELECT a.*, ys.n, ys.n1, CAST(ys.n AS DOUBLE) - nnz AS z FROM a JOIN ys USING (outcome)),
+k AS (SELECT outcome, feat, n, n1, z * nnz_pos + s_pos + (n1 - nnz_pos) * (z + 1) / 2 AS r1 FROM j)
+SELECT outcome, feat, round((r1 - n1 * (n1 + 1) / 2) / nullif(n1 * (n - n1), 0), 6) AS auc, CAST(n AS BIGINT) AS n FROM k""")
+def q_auc(spark, sf_dir):
+    from glossa.operators.stats import auc
+    _, kept, groups = base_feats(spark, sf_dir)
+    r = auc(kept, src.label_outcomes(spark, sf_dir), ["quality", "toxic"], groups)
+    return r.select("outcome", "feat", rnd("auc").alias("auc"), "n")
+
+
+def _idp_sql(g1, g2):
+    return f"""WITH {_BASE_CTES},
+a AS (SELECT feat, sum(value) AS a FROM ff GROUP BY feat),
+a0 AS (SELECT sum(value) AS a0 FROM ff),
+s1 AS (SELECT feat, sum(value) AS y1 FROM ff WHERE group_id IN ({g1}) GROUP BY feat),
+s2 AS (SELECT feat, sum(value) AS y2 FROM ff WHERE group_id IN ({g2}) GROUP BY feat),
+n1 AS (SELECT coalesce(sum(value), 0) AS n1 FROM ff WHERE group_id IN ({g1})),
+n2 AS (SELECT coalesce(sum(value), 0) AS n2 FROM ff WHERE group_id IN ({g2})),
+j AS (SELECT a.feat, coalesce(y1, 0) + a AS y1a, coalesce(y2, 0) + a AS y2a FROM a
+      LEFT JOIN s1 ON a.feat = s1.feat LEFT JOIN s2 ON a.feat = s2.feat),
+d AS (SELECT feat, y1a, y2a, ln(y1a / ((SELECT n1 FROM n1) + (SELECT a0 FROM a0) - y1a))
+        - ln(y2a / ((SELECT n2 FROM n2) + (SELECT a0 FROM a0) - y2a)) AS delta FROM j)
+SELECT feat, round(delta, 6) AS delta, round(delta / sqrt(1 / y1a + 1 / y2a), 6) AS z FROM d"""
+
+
+@register("idp", _idp_sql("SELECT doc_id FROM labels WHERE quality = 1", "SELECT doc_id FROM labels WHERE quality = 0"))
+def q_idp(spark, sf_dir):
+    from glossa.operators.stats import idp
+    _, kept, _ = base_feats(spark, sf_dir)
+    r = idp(kept, src.label_outcomes(spark, sf_dir), "quality")
+    return r.select("feat", rnd("delta").alias("delta"), rnd("z").alias("z"))
+
+
+@register("idp_samples", _idp_sql("SELECT doc_id FROM documents WHERE lang = 'en'",
+                                  "SELECT doc_id FROM documents WHERE lang <> 'en'"))
+def q_idp_samples(spark, sf_dir):
+    """Log-odds between two explicit samples: English vs other documents."""
+    from glossa.operators.stats import idp_samples
+    _, kept, _ = base_feats(spark, sf_dir)
+    d = src.table(spark, sf_dir, "documents")
+    g1 = d.where(F.col("lang") == "en").select(F.col("doc_id").alias("group_id"))
+    g2 = d.where(F.col("lang") != "en").select(F.col("doc_id").alias("group_id"))
+    r = idp_samples(kept, g1, g2)
+    return r.select("feat", rnd("delta").alias("delta"), rnd("z").alias("z"))
+
+
+@register("zscore_group", f"""WITH {_BASE_CTES},
+o AS (SELECT group_id, y AS fl FROM y WHERE outcome = 'quality'),
+t AS (SELECT CAST(count(*) AS DOUBLE) AS n, sum(fl) AS n1 FROM o),
+a AS (SELECT feat, sum(group_norm) AS s, sum(group_norm * group_norm) AS s2, sum(group_norm * fl) AS s_1
+      FROM ff JOIN o USING (group_id) GROUP BY feat)
+SELECT feat, round((s_1 / (SELECT n1 FROM t) - s / (SELECT n FROM t))
+  / nullif(sqrt(s2 / (SELECT n FROM t) - power(s / (SELECT n FROM t), 2)), 0), 6) AS z FROM a""")
+def q_zscore_group(spark, sf_dir):
+    from glossa.operators.stats import zscore_group
+    _, kept, _ = base_feats(spark, sf_dir)
+    return zscore_group(kept, src.label_outcomes(spark, sf_dir), "quality").select("feat", rnd("z").alias("z"))
+
+
+_MED_SQL = """WITH {_ORDER_FEATS_SQL_REF},
+ctl AS (SELECT o_custkey AS group_id, CAST(count(*) AS DOUBLE) AS n_orders FROM orders GROUP BY o_custkey),
+d AS (SELECT c.c_custkey AS group_id, ctl.n_orders AS x, c.c_acctbal AS yv FROM customer c JOIN ctl ON c.c_custkey = ctl.group_id),
+t AS (SELECT CAST(count(*) AS DOUBLE) AS n, sum(x) AS sx, sum(yv) AS sy, sum(x * x) AS sxx, sum(yv * yv) AS syy, sum(x * yv) AS sxy FROM d),
+tc AS (SELECT n, sx, sy, sxx - sx * sx / n AS cxx, syy - sy * sy / n AS cyy, sxy - sx * sy / n AS cxy FROM t),
+a AS (SELECT feat, sum(group_norm) AS sm, sum(group_norm * group_norm) AS smm, sum(group_norm * x) AS sxm,
+             sum(group_norm * yv) AS smy FROM ofe JOIN d USING (group_id) GROUP BY feat),
+m AS (SELECT feat, smm - sm * sm / n AS cmm, sxm - sx * sm / n AS cxm, smy - sm * sy / n AS cmy, n, cxx, cyy, cxy FROM a, tc),
+p AS (SELECT *, cxm / cxx AS pa, (cxx * cmy - cxm * cxy) / nullif(cxx * cmm - cxm * cxm, 0) AS pb,
+             (cmm * cxy - cxm * cmy) / nullif(cxx * cmm - cxm * cxm, 0) AS pc, cxy / cxx AS c FROM m),
+q AS (SELECT *, sqrt((cmm - pa * cxm) / (n - 2) / cxx) AS se_a,
+             sqrt((cyy - pb * cmy - pc * cxy) / (n - 3) * cxx / nullif(cxx * cmm - cxm * cxm, 0)) AS se_b FROM p)
+SELECT feat, round(pa, 6) AS a, round(pb, 6) AS b, round(pc, 6) AS c_prime, round(c, 6) AS c,
+       round(pa * pb / sqrt(pb * pb * se_a * se_a + pa * pa * se_b * se_b), 6) AS sobel_z,
+       round(pa * pb / c, 6) AS prop_mediated FROM q"""
+
+
+def _register_med():
+    from glossa.plans.q_text import _ORDER_FEATS_SQL
+    register("mediation_sobel", _MED_SQL.replace("{_ORDER_FEATS_SQL_REF}", "").replace(
+        "WITH ,", "WITH " + _ORDER_FEATS_SQL + ","))(q_mediation_sobel)
+
+
+def q_mediation_sobel(spark, sf_dir):
+    """Each brand share as mediator between order count (X) and account balance (Y)."""
+    from glossa.operators.stats import mediation_sobel
+    feats = src.order_feats(spark, sf_dir)
+    ctl = src.customer_controls(spark, sf_dir).select("group_id", "n_orders")
+    data = (src.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("group_id"), F.col("c_acctbal").alias("y"))
+            .join(ctl, "group_id").where(F.col("n_orders") > 0))
+    r = mediation_sobel(feats, data, "n_orders", "y")
+    return r.select("feat", *[rnd(c).alias(c) for c in ("a", "b", "c_prime", "c", "sobel_z", "prop_mediated")])
+_register_med()
