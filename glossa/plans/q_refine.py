@@ -9,7 +9,7 @@ from glossa.operators import feats as FE
 from glossa.operators import refine as R
 from glossa.operators import scalar as SC
 from glossa.plans import sqlfrag as S
-from glossa.plans.common import rnd
+from glossa.plans.common import _DOC_WIDE, doc_wide, rnd
 from glossa.plans.q_stats import _SLICE_CTES, flagship
 from glossa.plans.q_text import _FEAT_SEL, _ORDER_FEATS_SQL, _feat_out, _lex_terms_sql
 from glossa.plans.registry import register
@@ -18,16 +18,6 @@ from glossa.sources import tables as src
 # ---------------------------------------------------------------- helpers
 
 
-def doc_wide(spark, sf_dir):
-    """Documents with their (partial) labels: group_id, n_chars, quality, toxic."""
-    d = src.table(spark, sf_dir, "documents").select(
-        F.col("doc_id").alias("group_id"), F.col("n_chars").cast("double").alias("n_chars"))
-    return d.join(src.label_outcomes(spark, sf_dir), "group_id", "left")
-
-
-_DOC_WIDE = """w AS (SELECT d.doc_id AS group_id, CAST(d.n_chars AS DOUBLE) AS n_chars,
-  CAST(l.quality AS DOUBLE) AS quality, CAST(l.toxic AS DOUBLE) AS toxic
-  FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)"""
 _WCOLS = ["n_chars", "quality", "toxic"]
 
 

@@ -9,6 +9,7 @@ from glossa.operators.padjust import p_adjust
 from glossa.operators.refine import feat_occ_filter
 from glossa.plans import sqlfrag as S
 from glossa.plans.common import doc_unigrams, rnd
+from glossa.plans.q_text import _ORDER_FEATS_SQL  # noqa: F401
 from glossa.plans.registry import register
 from glossa.sources import tables as src
 
@@ -182,3 +183,246 @@ def q_mediation_sobel(spark, sf_dir):
     r = mediation_sobel(feats, data, "n_orders", "y")
     return r.select("feat", *[rnd(c).alias(c) for c in ("a", "b", "c_prime", "c", "sobel_z", "prop_mediated")])
 _register_med()
+
+
+# ---------------------------------------------------------------- comparisons, corrections, listings
+
+
+def _corr_on(spark, sf_dir, groups_df):
+    feats, kept, _ = base_feats(spark, sf_dir)
+    return correlate(kept, src.label_outcomes(spark, sf_dir), ["quality"], groups=groups_df, with_p=False)
+
+
+def _lang_groups(spark, sf_dir, en: bool):
+    d = src.table(spark, sf_dir, "documents")
+    return d.where((F.col("lang") == "en") if en else (F.col("lang") != "en")).select(F.col("doc_id").alias("group_id"))
+
+
+def _corr_sql(name, group_filter):
+    return f"""{name}_y AS (SELECT * FROM y WHERE outcome = 'quality' AND group_id IN ({group_filter})),
+{name}_ys AS (SELECT outcome, count(*) AS n, sum(y) AS sy, sum(y*y) AS syy FROM {name}_y GROUP BY outcome),
+{name}_xy AS (SELECT outcome, feat, sum(group_norm) AS sx, sum(group_norm*group_norm) AS sxx, sum(group_norm*y) AS sxy
+       FROM ff JOIN {name}_y USING (group_id) GROUP BY outcome, feat),
+{name} AS (SELECT outcome, feat, {S.corr_expr()} AS r, n FROM {name}_xy JOIN {name}_ys USING (outcome))"""
+
+
+@register("ddla_compare", f"""WITH {_BASE_CTES},
+{_corr_sql('c1', "SELECT doc_id FROM documents WHERE lang = 'en'")},
+{_corr_sql('c2', "SELECT doc_id FROM documents WHERE lang <> 'en'")}
+SELECT coalesce(c1.outcome, c2.outcome) AS outcome, coalesce(c1.feat, c2.feat) AS feat,
+  round(c1.r, 6) AS r1, round(c2.r, 6) AS r2, round(c1.r - c2.r, 6) AS delta,
+  round((atanh(c1.r) - atanh(c2.r)) / sqrt(1.0 / (c1.n - 3) + 1.0 / (c2.n - 3)), 6) AS z
+FROM c1 FULL OUTER JOIN c2 ON c1.outcome = c2.outcome AND c1.feat = c2.feat""")
+def q_ddla_compare(spark, sf_dir):
+    """Two correlation results (English vs other documents) compared per
+    feature: delta r and the Fisher z of the difference (full outer join)."""
+    c1 = _corr_on(spark, sf_dir, _lang_groups(spark, sf_dir, True)).select(
+        "outcome", "feat", F.col("r").alias("r1"), F.col("n").alias("n1"))
+    c2 = _corr_on(spark, sf_dir, _lang_groups(spark, sf_dir, False)).select(
+        "outcome", "feat", F.col("r").alias("r2"), F.col("n").alias("n2"))
+    j = c1.join(c2, ["outcome", "feat"], "full")
+    z = (F.atanh("r1") - F.atanh("r2")) / F.sqrt(F.lit(1.0) / (F.col("n1") - 3) + F.lit(1.0) / (F.col("n2") - 3))
+    return j.select("outcome", "feat", rnd("r1").alias("r1"), rnd("r2").alias("r2"),
+                    rnd(F.col("r1") - F.col("r2")).alias("delta"), rnd(z).alias("z"))
+
+
+_P_APPROX = ("power(((((((0.000005383 * abs(z) + 0.0000488906) * abs(z) + 0.0000380036) * abs(z) + 0.0032776263) * abs(z)"
+             " + 0.0211410061) * abs(z) + 0.049867347) * abs(z) + 1), -16)")
+
+
+@register("p_adjust", f"""WITH {_SLICE_CTES},
+pz AS (SELECT outcome, feat, atanh(r) * sqrt(n - 3) AS z FROM res WHERE r IS NOT NULL),
+p0 AS (SELECT outcome, feat, {_P_APPROX} AS p FROM pz),
+o AS (SELECT *, CAST(count(*) OVER (PARTITION BY outcome) AS DOUBLE) AS m,
+             CAST(row_number() OVER (PARTITION BY outcome ORDER BY p, feat) AS DOUBLE) AS i FROM p0),
+h AS (SELECT outcome, sum(1.0 / i) AS hm FROM o GROUP BY outcome),
+a AS (SELECT o.*, h.hm,
+  least(1, m * p) AS bonferroni,
+  least(1, max((m - i + 1) * p) OVER (PARTITION BY o.outcome ORDER BY p, feat ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS holm,
+  least(1, min((m - i + 1) * p) OVER (PARTITION BY o.outcome ORDER BY p, feat ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS hochberg,
+  least(1, min(m * p / i) OVER (PARTITION BY o.outcome ORDER BY p, feat ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS bh,
+  least(1, min(h.hm * m * p / i) OVER (PARTITION BY o.outcome ORDER BY p, feat ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS by_
+  FROM o JOIN h ON o.outcome = h.outcome)
+SELECT outcome, feat, round(p, 9) AS p, round(bonferroni, 9) AS bonferroni, round(holm, 9) AS holm,
+  round(hochberg, 9) AS hochberg, round(bh, 9) AS bh, round(by_, 9) AS by_ FROM a""")
+def q_p_adjust(spark, sf_dir):
+    """Corrections of per-feature p-values (normal approximation of the Fisher
+    z of r, so the oracle can compute them): bonferroni, holm, hochberg, BH, BY."""
+    from glossa.operators.stats import normal_p2_approx
+    c = flagship(spark, sf_dir, with_p=False).where(F.col("r").isNotNull())
+    c = c.withColumn("p", normal_p2_approx(F.atanh("r") * F.sqrt(F.col("n") - 3))).select("outcome", "feat", "p")
+    for meth, col in (("bonferroni", "bonferroni"), ("holm", "holm"), ("hochberg", "hochberg"), ("BH", "bh"), ("BY", "by_")):
+        c = p_adjust(c, meth, out_col=col)
+    return c.select("outcome", "feat", *[rnd(x, 9).alias(x) for x in ("p", "bonferroni", "holm", "hochberg", "bh", "by_")])
+
+
+@register("corr_ci", f"""WITH {_SLICE_CTES}
+SELECT outcome, feat, round(r, 6) AS r, n, round(tanh(atanh(r) - 1.96 / sqrt(n - 3)), 6) AS ci_lo,
+       round(tanh(atanh(r) + 1.96 / sqrt(n - 3)), 6) AS ci_hi FROM res""")
+def q_corr_ci(spark, sf_dir):
+    from glossa.operators.correlate import corr_ci
+    c = corr_ci(flagship(spark, sf_dir, with_p=False))
+    return c.select("outcome", "feat", rnd("r").alias("r"), "n", rnd("ci_lo").alias("ci_lo"), rnd("ci_hi").alias("ci_hi"))
+
+
+@register("rmatrix", f"""WITH {_SLICE_CTES}
+SELECT feat, round(max(CASE WHEN outcome = 'quality' THEN r END), 6) AS quality,
+       round(max(CASE WHEN outcome = 'toxic' THEN r END), 6) AS toxic FROM res GROUP BY feat""")
+def q_rmatrix(spark, sf_dir):
+    """Feature x outcome matrix of r (bounded pivot over the outcome list)."""
+    from glossa.operators.align import densify
+    c = flagship(spark, sf_dir, with_p=False)
+    m = densify(c, "feat", "outcome", "r", values=["quality", "toxic"])
+    return m.select("feat", rnd("quality").alias("quality"), rnd("toxic").alias("toxic"))
+
+
+@register("apply_labelmap", f"""WITH {_SLICE_CTES},
+lm AS (SELECT term, min(category) AS label FROM {src.lexicon_values_sql()} GROUP BY term)
+SELECT outcome, res.feat, coalesce('[' || lm.label || ']', res.feat) AS feat_label, round(r, 6) AS r
+FROM res LEFT JOIN lm ON res.feat = lm.term""")
+def q_apply_labelmap(spark, sf_dir):
+    """Feature ids replaced by bracketed labels from a label map (lexicon term -> category)."""
+    c = flagship(spark, sf_dir, with_p=False)
+    lm = src.lexicon(spark).groupBy(F.col("term").alias("feat")).agg(F.min("category").alias("label"))
+    j = c.join(lm, "feat", "left")
+    return j.select("outcome", "feat", F.coalesce(F.concat(F.lit("["), "label", F.lit("]")), F.col("feat")).alias("feat_label"),
+                    rnd("r").alias("r"))
+
+
+@register("ttest_feats", f"""WITH {S.feat_ctes("(SELECT * FROM documents WHERE doc_id % 2 = 0)", 'source', 1, 'fa')},
+{S.feat_ctes("(SELECT * FROM documents WHERE doc_id % 2 = 1)", 'source', 1, 'fb')},
+ng AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM (SELECT group_id FROM fa UNION SELECT group_id FROM fb)),
+d AS (SELECT coalesce(fa.feat, fb.feat) AS feat, coalesce(fa.group_norm, 0) - coalesce(fb.group_norm, 0) AS d
+      FROM fa FULL OUTER JOIN fb ON fa.group_id = fb.group_id AND fa.feat = fb.feat),
+s AS (SELECT feat, sum(d) AS s1, sum(d * d) AS s2 FROM d GROUP BY feat)
+SELECT feat, round(s1 / (SELECT n FROM ng), 9) AS mean_diff,
+  round((s1 / (SELECT n FROM ng)) / nullif(sqrt((s2 - s1 * s1 / (SELECT n FROM ng)) / ((SELECT n FROM ng) - 1)) / sqrt((SELECT n FROM ng)), 0), 6) AS t
+FROM s""")
+def q_ttest_feats(spark, sf_dir):
+    """Paired t per feature between two feature tables over the same groups
+    (sources): even vs odd document ids."""
+    from glossa.operators.stats import ttest_feats
+    from glossa.operators.feats import ngram_feats
+    m = src.messages_by_source(spark, sf_dir)
+    a = ngram_feats(m.where(F.col("message_id") % 2 == 0), 1)
+    b = ngram_feats(m.where(F.col("message_id") % 2 == 1), 1)
+    return ttest_feats(a, b).select("feat", rnd("mean_diff", 9).alias("mean_diff"), rnd("t").alias("t"))
+
+
+_PAIR_SQL = """SELECT '{a}' AS var_a, '{b}' AS var_b, round(corr_r, 6) AS r, n FROM (
+  SELECT (count(*) * sum(a * b) - sum(a) * sum(b)) / nullif(sqrt((count(*) * sum(a * a) - sum(a) * sum(a)) * (count(*) * sum(b * b) - sum(b) * sum(b))), 0) AS corr_r,
+         count(*) AS n FROM (SELECT {a} AS a, {b} AS b FROM w WHERE {a} IS NOT NULL AND {b} IS NOT NULL))"""
+
+
+def _doc_wide(spark, sf_dir):
+    from glossa.plans.common import doc_wide
+    return doc_wide(spark, sf_dir)
+
+
+def _wide_sql():
+    from glossa.plans.common import _DOC_WIDE
+    return _DOC_WIDE
+
+
+@register("outcome_corr", "WITH " + _wide_sql() + "\n" + "\nUNION ALL\n".join(
+    _PAIR_SQL.format(a=a, b=b) for a, b in (("n_chars", "quality"), ("n_chars", "toxic"), ("quality", "toxic"))))
+def q_outcome_corr(spark, sf_dir):
+    """Outcome-with-outcome correlations, pairwise complete, one aggregate."""
+    from glossa.operators.stats import pairwise_corr
+    r = pairwise_corr(_doc_wide(spark, sf_dir), ["n_chars", "quality", "toxic"])
+    return r.select("var_a", "var_b", rnd("r").alias("r"), "n")
+
+
+@register("corrwith", "WITH " + _wide_sql() + "\n" + "\nUNION ALL\n".join(
+    _PAIR_SQL.format(a="n_chars", b=b) for b in ("quality", "toxic")))
+def q_corrwith(spark, sf_dir):
+    """Each label column correlated with one control (document length)."""
+    from glossa.operators.stats import pairwise_corr
+    r = pairwise_corr(_doc_wide(spark, sf_dir), ["n_chars", "quality", "toxic"]).where(F.col("var_a") == "n_chars")
+    return r.select("var_a", "var_b", rnd("r").alias("r"), "n")
+
+
+@register("topic_dupe_filter", f"""WITH st AS (SELECT doc_id AS group_id, unnest({S.tokens()}) AS token FROM documents),
+tc AS (SELECT group_id, CAST(length(token) % 8 AS VARCHAR) AS feat, count(*) AS value FROM st GROUP BY group_id, feat),
+tf AS (SELECT group_id, feat, value / sum(value) OVER (PARTITION BY group_id) AS group_norm FROM tc),
+{S.label_outcomes_cte('y')},
+yq AS (SELECT * FROM y WHERE outcome = 'quality' AND group_id IN (SELECT group_id FROM tf)),
+ys AS (SELECT count(*) AS n, sum(y) AS sy, sum(y*y) AS syy FROM yq),
+xy AS (SELECT feat, sum(group_norm) AS sx, sum(group_norm*group_norm) AS sxx, sum(group_norm*y) AS sxy FROM tf JOIN yq USING (group_id) GROUP BY feat),
+rr AS (SELECT feat, {S.corr_expr()} AS r FROM xy, ys),
+wc AS (SELECT CAST(length(token) % 8 AS VARCHAR) AS topic, token AS term, count(*) AS c FROM st GROUP BY topic, term),
+tw AS (SELECT topic, term, row_number() OVER (PARTITION BY topic ORDER BY c DESC, term) AS rk FROM wc),
+top AS (SELECT topic, term FROM tw WHERE rk <= 10),
+ov AS (SELECT DISTINCT a.topic AS t1, b.topic AS t2 FROM top a JOIN top b ON a.term = b.term AND a.topic <> b.topic),
+dr AS (SELECT ov.t1 FROM ov JOIN rr r1 ON ov.t1 = r1.feat JOIN rr r2 ON ov.t2 = r2.feat
+       WHERE abs(r2.r) > abs(r1.r) OR (abs(r2.r) = abs(r1.r) AND ov.t2 < ov.t1))
+SELECT feat, round(r, 6) AS r FROM rr WHERE feat NOT IN (SELECT t1 FROM dr)""")
+def q_topic_dupe_filter(spark, sf_dir):
+    """Drop topics that share a top-10 word with a more strongly correlated topic."""
+    from glossa.operators.feats import topic_feats, topic_states
+    from glossa.operators.ranks import top_k_per_key
+    msgs = src.messages_by_doc(spark, sf_dir)
+    st = topic_states(msgs)
+    tf = topic_feats(st)
+    r = correlate(tf, src.label_outcomes(spark, sf_dir), ["quality"], with_p=False).select("feat", "r")
+    wc = st.groupBy(F.col("topic").cast("string").alias("topic"), F.col("token").alias("term")).agg(F.count(F.lit(1)).alias("c"))
+    top = top_k_per_key(wc, "topic", [F.col("c").desc(), F.col("term")], 10, salt_col="term").select("topic", "term")
+    ov = (top.alias("a").join(top.alias("b"), (F.col("a.term") == F.col("b.term")) & (F.col("a.topic") != F.col("b.topic")))
+          .select(F.col("a.topic").alias("t1"), F.col("b.topic").alias("t2")).distinct())
+    r1, r2 = r.select(F.col("feat").alias("t1"), F.col("r").alias("r1")), r.select(F.col("feat").alias("t2"), F.col("r").alias("r2"))
+    drop = (ov.join(r1, "t1").join(r2, "t2")
+            .where((F.abs("r2") > F.abs("r1")) | ((F.abs("r2") == F.abs("r1")) & (F.col("t2") < F.col("t1"))))
+            .select(F.col("t1").alias("feat")))
+    return r.join(drop, "feat", "left_anti").select("feat", rnd("r").alias("r"))
+
+
+@register("correlate_controls", f"""WITH {_BASE_CTES},
+c AS (SELECT doc_id AS group_id, CAST(n_chars AS DOUBLE) AS c FROM documents),
+yc AS (SELECT y.*, c.c FROM y JOIN c USING (group_id)),
+ys AS (SELECT outcome, CAST(count(*) AS DOUBLE) AS n, sum(y) AS sy, sum(y*y) AS syy, sum(c) AS sc, sum(c*c) AS scc, sum(c*y) AS scy
+       FROM yc GROUP BY outcome),
+xy AS (SELECT outcome, feat, sum(group_norm) AS sx, sum(group_norm*group_norm) AS sxx, sum(group_norm*y) AS sxy,
+              sum(group_norm*c) AS sxc FROM ff JOIN yc USING (group_id) GROUP BY outcome, feat),
+k AS (SELECT outcome, feat, n, {S.corr_expr()} AS rxy, {S.corr_expr(sy='sc', syy='scc', sxy='sxc')} AS rxc,
+             {S.corr_expr(sx='sc', sxx='scc', sxy='scy')} AS ryc FROM xy JOIN ys USING (outcome))
+SELECT outcome, feat, round((rxy - rxc * ryc) / sqrt((1 - rxc * rxc) * (1 - ryc * ryc)), 6) AS r,
+       CAST(n AS BIGINT) AS n FROM k""")
+def q_correlate_controls(spark, sf_dir):
+    """Partial r of each feature with quality / toxic given document length."""
+    from glossa.operators.correlate import correlate_controls
+    _, kept, groups = base_feats(spark, sf_dir)
+    ctl = src.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("group_id"), F.col("n_chars").cast("double").alias("n_chars"))
+    r = correlate_controls(kept, src.label_outcomes(spark, sf_dir), ["quality", "toxic"], ctl, ["n_chars"], groups, with_p=False)
+    return r.select("outcome", "feat", rnd("r").alias("r"), "n")
+
+
+@register("correlate_controls_p")
+def q_correlate_controls_p(spark, sf_dir):
+    """Partial r, standardized partial beta, t and p with two controls."""
+    from glossa.operators.correlate import correlate_controls
+    _, kept, groups = base_feats(spark, sf_dir)
+    d = src.table(spark, sf_dir, "documents")
+    ctl = d.select(F.col("doc_id").alias("group_id"), F.col("n_chars").cast("double").alias("n_chars"),
+                   (F.col("lang") == "en").cast("double").alias("is_en"))
+    return correlate_controls(kept, src.label_outcomes(spark, sf_dir), ["quality", "toxic"], ctl, ["n_chars", "is_en"], groups)
+
+
+@register("correlate_summary")
+def q_correlate_summary(spark, sf_dir):
+    """Correlations sorted by |r| per outcome with the number of features
+    below the p threshold (0.05, BH-adjusted)."""
+    from glossa.operators.stats_listing import correlate_summary
+    return correlate_summary(p_adjust(flagship(spark, sf_dir), "BH"), 0.05)
+
+
+@register("tagcloud_data")
+def q_tagcloud_data(spark, sf_dir):
+    """Top 15 positive and negative significant features per outcome (p < .05),
+    with n-grams contained in a stronger n-gram of the same sign dropped."""
+    from glossa.operators.stats_listing import tagcloud_data
+    from glossa.operators.feats import ngram_feats
+    from glossa.operators.refine import feat_occ_filter as occ
+    feats = ngram_feats(src.messages_by_doc(spark, sf_dir), [1, 2])
+    kept = occ(feats, 0.05)
+    c = correlate(kept, src.label_outcomes(spark, sf_dir), ["quality", "toxic"], groups=feats.select("group_id").distinct())
+    return tagcloud_data(c, 15, 0.05)
