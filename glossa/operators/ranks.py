@@ -81,3 +81,21 @@ def top_k_per_key(df: DataFrame, key, order_cols, k: int, salt_col: str | None =
     d = d.withColumn("_r1", F.row_number().over(w1)).where(F.col("_r1") <= k).drop("_r1", "_salt")
     w2 = Window.partitionBy(*keys).orderBy(*order_cols)
     return d.withColumn(rank_col, F.row_number().over(w2).cast("bigint")).where(F.col(rank_col) <= k)
+
+
+def prefix_sums(df: DataFrame, order_cols, value_cols, prefix: str = "cum_") -> DataFrame:
+    """Running sums of ``value_cols`` in the total order ``order_cols``.
+
+    Range-partitioned and pinned like ``global_rank``; each partition's
+    running sum is a window inside that partition only, plus the totals of
+    all earlier partitions (one row per partition)."""
+    s = materialize(df.orderBy(*order_cols).withColumn("_mid", F.monotonically_increasing_id()))
+    s = s.withColumn("_pid", F.shiftright("_mid", 33))
+    tots = s.groupBy("_pid").agg(*[F.sum(c).alias(f"_t_{c}") for c in value_cols])
+    w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offs = tots.select("_pid", *[F.coalesce(F.sum(f"_t_{c}").over(w), F.lit(0)).alias(f"_o_{c}") for c in value_cols])
+    wl = Window.partitionBy("_pid").orderBy("_mid").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = s.join(F.broadcast(offs), "_pid")
+    for c in value_cols:
+        out = out.withColumn(f"{prefix}{c}", F.col(f"_o_{c}") + F.sum(c).over(wl))
+    return out.drop("_mid", "_pid", *[f"_o_{c}" for c in value_cols])
