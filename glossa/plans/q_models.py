@@ -1 +1,144 @@
-"""Registered queries."""
+"""Prediction queries (2.10, 2.11): rows-only checks plus pytest against numpy.
+
+Data: X = brand shares of each customer's ordered quantity (order_feats),
+controls = one-hot market segment, nation key, order count; outcomes =
+account balance and mean order price; folds = md5 k-fold of customers.
+"""
+
+from __future__ import annotations
+
+import pandas as pd
+from pyspark.sql import functions as F
+
+from glossa.operators import gram as GR
+from glossa.operators import ridge as RG
+from glossa.operators.folds import k_fold
+from glossa.plans.registry import register
+from glossa.sources import tables as src
+
+CONTROLS = ["seg_automobile", "seg_building", "nationkey", "n_orders"]
+OUTCOMES = ["acctbal", "avg_price"]
+
+
+def customer_frame(spark, sf_dir, controls=CONTROLS, outcomes=OUTCOMES, k: int = 5):
+    o = src.customer_outcomes(spark, sf_dir)
+    c = src.customer_controls(spark, sf_dir).select("group_id", *controls)
+    f = k_fold(o.select("group_id"), k)
+    return o.select("group_id", *outcomes).join(c, "group_id").join(f, "group_id")
+
+
+def customer_design(spark, sf_dir, controls=CONTROLS, outcomes=OUTCOMES, feat_col="p_brand"):
+    feats = src.order_feats(spark, sf_dir, feat_col)
+    frame = customer_frame(spark, sf_dir, controls, outcomes).na.drop()
+    vocab, design = GR.build_design(feats, frame, controls, outcomes)
+    rows = GR.design_rows(feats, vocab, frame, controls, outcomes)
+    return feats, frame, vocab, design, rows
+
+
+@register("ridge")
+def q_ridge(spark, sf_dir):
+    """Out-of-fold ridge (alpha 1000, standardized features) predictions."""
+    _, _, _, d, rows = customer_design(spark, sf_dir)
+    return RG.cv_predict(d, rows, alpha=1000.0)
+
+
+@register("ridge_cv")
+def q_ridge_cv(spark, sf_dir):
+    """Out-of-fold ridge with the alpha chosen per fold by leave-one-out error."""
+    _, _, _, d, rows = customer_design(spark, sf_dir)
+    return RG.cv_predict(d, rows, model="ridge_cv")
+
+
+@register("linear")
+def q_linear(spark, sf_dir):
+    """Out-of-fold least squares on language + controls."""
+    _, _, _, d, rows = customer_design(spark, sf_dir)
+    return RG.cv_predict(d, rows, model="linear", controls=CONTROLS)
+
+
+@register("combo_test")
+def q_combo_test(spark, sf_dir):
+    """Pooled out-of-fold metrics for outcome x control combination x {controls, + language}."""
+    _, _, _, d, rows = customer_design(spark, sf_dir)
+    return RG.score_summary(RG.combo_test(d, rows, alpha=1000.0))
+
+
+@register("residualized")
+def q_residualized(spark, sf_dir):
+    """Combo test where language models the residuals of the controls model."""
+    _, _, _, d, rows = customer_design(spark, sf_dir)
+    return RG.score_summary(RG.combo_test(d, rows, alpha=1000.0, residualized=True))
+
+
+@register("adjust_outcomes")
+def q_adjust_outcomes(spark, sf_dir):
+    """acctbal adjusted for the controls: ``y - yhat_controls + mean(y)`` out of fold."""
+    _, _, _, d, rows = customer_design(spark, sf_dir)
+    return RG.adjust_outcomes(d, rows, "acctbal")
+
+
+@register("predict_cv_to_feats")
+def q_predict_cv_to_feats(spark, sf_dir):
+    """Out-of-fold predictions of every group as a feature table."""
+    _, _, _, d, rows = customer_design(spark, sf_dir)
+    p = RG.cv_predict(d, rows, alpha=1000.0)
+    return p.select("group_id", F.concat(F.lit("p_ridge$"), "model_id").alias("feat"),
+                    F.col("yhat").alias("value"), F.col("yhat").alias("group_norm"))
+
+
+def _fit_all_predict(spark, sf_dir, alpha=1000.0):
+    """Train on all groups, predict all groups (fold column forced to one model)."""
+    _, frame, vocab, d, rows = customer_design(spark, sf_dir)
+    G = d.total()
+    xi = list(range(1, d.p + 1))
+    recs = [(o, f, o, RG.ridge_from_gram(G, xi, d.index(o), alpha).tolist()) for o in d.outcomes for f in d.folds]
+    models = pd.DataFrame(recs, columns=["model_id", "fold", "outcome", "coef"])
+    return RG._score(rows, models, {o: d.index(o) for o in d.outcomes})
+
+
+@register("predict_to_feats")
+def q_predict_to_feats(spark, sf_dir):
+    """Predictions of a model trained on all groups, written as feature rows."""
+    p = _fit_all_predict(spark, sf_dir)
+    return p.select("group_id", F.concat(F.lit("p_ridge$"), "model_id").alias("feat"),
+                    F.col("yhat").alias("value"), F.col("yhat").alias("group_norm"))
+
+
+@register("predict_to_outcomes")
+def q_predict_to_outcomes(spark, sf_dir):
+    """Predictions as a wide outcome table ``p_<outcome>`` per group."""
+    p = _fit_all_predict(spark, sf_dir)
+    return p.groupBy("group_id").pivot("model_id", OUTCOMES).agg(F.first("yhat")).select(
+        "group_id", *[F.col(o).alias(f"p_{o}") for o in OUTCOMES])
+
+
+@register("regression_to_lexicon")
+def q_regression_to_lexicon(spark, sf_dir):
+    """Ridge coefficients (raw units) with ``_intercept`` as a weighted lexicon."""
+    _, _, _, d, _ = customer_design(spark, sf_dir)
+    G = d.total()
+    xi = list(range(1, d.p + 1))
+    parts = []
+    for o in d.outcomes:
+        c = RG.coefficients(d, G, xi, d.index(o), 1000.0)
+        c.insert(0, "category", o)
+        parts.append(c[c["weight"] != 0])
+    pdf = pd.concat(parts, ignore_index=True).rename(columns={"feat": "term"})
+    return spark.createDataFrame(pdf, "category string, term string, weight double")
+
+
+@register("holdout_test")
+def q_holdout_test(spark, sf_dir):
+    """Train on the md5 80 %, test on the 20 % hold-out; pooled metrics."""
+    from glossa.operators.folds import train_test_split
+    feats = src.order_feats(spark, sf_dir)
+    o = src.customer_outcomes(spark, sf_dir).select("group_id", *OUTCOMES).na.drop()
+    sp = train_test_split(o.select("group_id"), 0.2)
+    frame = o.join(sp, "group_id").withColumn("fold", F.when(F.col("split") == "test", 0).otherwise(1)).drop("split")
+    vocab, d = GR.build_design(feats, frame, [], OUTCOMES)
+    rows = GR.design_rows(feats, vocab, frame, [], OUTCOMES)
+    G = d.grams[1]
+    xi = list(range(1, d.p + 1))
+    recs = [(o_, 0, o_, RG.ridge_from_gram(G, xi, d.index(o_), 1000.0).tolist()) for o_ in OUTCOMES]
+    models = pd.DataFrame(recs, columns=["model_id", "fold", "outcome", "coef"])
+    return RG.score_summary(RG._score(rows, models, {x: d.index(x) for x in OUTCOMES}))
