@@ -22,16 +22,20 @@ _LOW = 1 << 33
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the session's shared checkpoint folder: cuts
-    lineage and pins nondeterministic columns, so a retried stage (lost
-    executor) or a second consumer sees exactly the same rows."""
+    """Write ``df`` once as parquet into the session's shared checkpoint
+    folder and read it back: cuts lineage and pins nondeterministic columns,
+    so a retried stage (lost executor) or a second consumer sees exactly the
+    same rows.  (A table write, not ``localCheckpoint``: it survives the loss
+    of the executor that computed it.)"""
+    import uuid
     from glossa.session import checkpoint_dir, local_fallback_dir
     spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
-        checkpoint_dir(spark, local_fallback_dir())   # unset: tests / single-machine runs only
-    elif spark.sparkContext.getCheckpointDir() is None:
-        checkpoint_dir(spark)
-    return df.checkpoint(eager=True)
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        base = checkpoint_dir(spark, local_fallback_dir())   # unset: tests / single-machine runs only
+    path = f"{base.rstrip('/')}/glossa-{uuid.uuid4().hex}"
+    df.write.mode("errorifexists").parquet(path)
+    return spark.read.parquet(path)
 
 
 def global_rank(df: DataFrame, order_cols, out: str = "rn") -> DataFrame:

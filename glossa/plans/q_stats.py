@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from glossa.operators.correlate import correlate
 from glossa.operators.padjust import p_adjust
+from glossa.operators.ranks import materialize
 from glossa.operators.refine import feat_occ_filter
 from glossa.plans import sqlfrag as S
 from glossa.plans.common import doc_unigrams, rnd
@@ -15,18 +16,21 @@ from glossa.sources import tables as src
 
 
 def base_feats(spark, sf_dir):
-    """(all 1-gram features, occurrence-filtered features, group population)."""
-    feats = doc_unigrams(spark, sf_dir)
+    """(all 1-gram features, occurrence-filtered features, group population).
+
+    The feature table is written once (reliable checkpoint) and every branch
+    (group count, occurrence statistics, kept rows, population) reads it,
+    instead of re-tokenizing the documents per branch."""
+    feats = materialize(doc_unigrams(spark, sf_dir))
     groups = feats.select("group_id").distinct()
-    return feats, feat_occ_filter(feats, 0.05), groups
+    n = groups.count()
+    return feats, feat_occ_filter(feats, 0.05, n_groups=n), groups
 
 
 def flagship(spark, sf_dir, with_p: bool = True):
     """1-grams per document -> 5 % occurrence filter -> r with quality / toxic
     (absent = 0) -> Benjamini-Hochberg per outcome."""
-    feats = doc_unigrams(spark, sf_dir)
-    groups = feats.select("group_id").distinct()
-    kept = feat_occ_filter(feats, 0.05)
+    feats, kept, groups = base_feats(spark, sf_dir)
     return correlate(kept, src.label_outcomes(spark, sf_dir), ["quality", "toxic"], groups=groups,
                      with_p=with_p)
 
