@@ -85,16 +85,22 @@ def lexicon_feats(word_feats: DataFrame, lexicon: DataFrame, weighted: bool = Fa
 
     plain: value = sum(value), group_norm = sum(group_norm) over the category's terms;
     weighted: both sums weighted by the term weight, and the category's
-    ``_intercept`` weight (if any) is added to group_norm.
+    ``_intercept`` weight (if any) is added to group_norm.  ``word_feats``
+    must carry relative frequencies (identity value function).
     """
     lex = lexicon.select(F.col("category").alias("_cat"), F.col("term").alias("feat"),
                          F.coalesce(F.col("weight"), F.lit(1.0)).alias("weight"))
     terms = lex.where(F.col("feat") != "_intercept")
     j = word_feats.join(terms, "feat")
     w = F.col("weight") if weighted else F.lit(1.0)
-    agg = j.groupBy("group_id", F.col("_cat").alias("feat")).agg(
-        F.sum(F.col("value") * w).alias("value"),
-        F.sum(F.col("group_norm") * w).alias("group_norm"))
+    # Exact weighted sums (decimal products), then one division by the group
+    # total: sum(group_norm * w) == sum(value * w) / total, but independent of
+    # the summation order, so results are reproducible bit for bit.
+    dec = F.col("value").cast("decimal(20,6)") * w.cast("decimal(12,6)")
+    totals = word_feats.groupBy("group_id").agg(F.sum("value").alias("_tot"))
+    agg = (j.groupBy("group_id", F.col("_cat").alias("feat")).agg(F.sum(dec).cast("double").alias("value"))
+           .join(totals, "group_id")
+           .withColumn("group_norm", F.col("value") / F.col("_tot")).drop("_tot"))
     if weighted:
         icpt = lex.where(F.col("feat") == "_intercept").select(
             F.col("_cat").alias("feat"), F.col("weight").alias("_icpt"))

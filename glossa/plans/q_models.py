@@ -142,3 +142,207 @@ def q_holdout_test(spark, sf_dir):
     recs = [(o_, 0, o_, RG.ridge_from_gram(G, xi, d.index(o_), 1000.0).tolist()) for o_ in OUTCOMES]
     models = pd.DataFrame(recs, columns=["model_id", "fold", "outcome", "coef"])
     return RG.score_summary(RG._score(rows, models, {x: d.index(x) for x in OUTCOMES}))
+
+
+# ---------------------------------------------------------------- pyspark.ml estimators
+
+
+def _oof(spark, sf_dir, name, outcome="acctbal"):
+    from glossa.operators import ml as ML
+    _, _, _, d, rows = customer_design(spark, sf_dir)
+    data = ML.assemble(rows, d, outcome)
+    p = ML.cv_fit_predict(data, ML.regressor(name), d.folds)
+    return p.select("group_id", "fold", F.lit(outcome).alias("outcome"), F.col("label").alias("y"),
+                    F.col("prediction").alias("yhat"))
+
+
+@register("lasso")
+def q_lasso(spark, sf_dir):
+    """Out-of-fold lasso (L1, standardized, regParam 0.01)."""
+    return _oof(spark, sf_dir, "lasso")
+
+
+@register("elastic_net")
+def q_elastic_net(spark, sf_dir):
+    return _oof(spark, sf_dir, "elastic_net")
+
+
+@register("gbt")
+def q_gbt(spark, sf_dir):
+    """Out-of-fold gradient-boosted trees (subsample .7, depth 5, feature share .8, seeded)."""
+    return _oof(spark, sf_dir, "gbt")
+
+
+@register("forest")
+def q_forest(spark, sf_dir):
+    """Out-of-fold random forest (stands in for extra trees)."""
+    return _oof(spark, sf_dir, "forest")
+
+
+@register("grid_search")
+def q_grid_search(spark, sf_dir):
+    """3-fold grid search over regularization strength and L1 share; returns the grid scores."""
+    from glossa.operators import ml as ML
+    _, _, _, d, rows = customer_design(spark, sf_dir)
+    cv = ML.grid_search(ML.assemble(rows, d, "acctbal"))
+    recs = [(float(pm[[p for p in pm if p.name == "regParam"][0]]), float(pm[[p for p in pm if p.name == "elasticNetParam"][0]]),
+             float(m)) for pm, m in zip(cv.getEstimatorParamMaps(), cv.avgMetrics)]
+    return spark.createDataFrame(recs, "reg_param double, elastic_net double, mean_mse double")
+
+
+@register("pca")
+def q_pca(spark, sf_dir):
+    """Projections of the centred brand shares on the first 5 principal components."""
+    from pyspark.ml.functions import vector_to_array
+    from glossa.operators import ml as ML
+    _, _, _, d, rows = customer_design(spark, sf_dir)
+    data = ML.assemble(rows, d, None)
+    m = ML.centered_pca(data, min(5, d.p))
+    return m.transform(data).select("group_id", vector_to_array("pcs").alias("pcs"))
+
+
+@register("pca_variance")
+def q_pca_variance(spark, sf_dir):
+    """Components kept up to a 90 % variance share (cap: a quarter of the features)."""
+    from pyspark.ml.functions import vector_to_array
+    from glossa.operators import ml as ML
+    _, _, _, d, rows = customer_design(spark, sf_dir)
+    data = ML.assemble(rows, d, None)
+    full = ML.centered_pca(data, d.p)
+    k = ML.pca_variance_k(full.stages[-1].explainedVariance.toArray(), 0.9, 0.25, d.p)
+    m = ML.centered_pca(data, k)
+    return m.transform(data).select("group_id", F.lit(k).alias("k"), vector_to_array("pcs").alias("pcs"))
+
+
+@register("reduce_fwe_pca")
+def q_reduce_fwe_pca(spark, sf_dir):
+    """Univariate family-wise selection (alpha 60) then PCA on the kept
+    features (PCA alone when nothing is kept; k = min(10, kept))."""
+    from pyspark.ml.functions import vector_to_array
+    from glossa.operators import ml as ML
+    from glossa.operators.correlate import correlate
+    from glossa.operators.select import select_fwe
+    feats = src.order_feats(spark, sf_dir)
+    frame = customer_frame(spark, sf_dir).na.drop()
+    c = correlate(feats, frame, ["acctbal"], groups=frame.select("group_id"), with_p=False)
+    keep = select_fwe(c, 60.0).select("feat")
+    kept = feats.join(keep, "feat", "left_semi")
+    use = kept if kept.limit(1).count() > 0 else feats
+    vocab, d = GR.build_design(use, frame, [], ["acctbal"])
+    rows = GR.design_rows(use, vocab, frame, [], ["acctbal"])
+    data = ML.assemble(rows, d, None)
+    m = ML.centered_pca(data, min(10, d.p))
+    return m.transform(data).select("group_id", vector_to_array("pcs").alias("pcs"))
+
+
+@register("reducer_to_lexicon")
+def q_reducer_to_lexicon(spark, sf_dir):
+    """PCA loadings of the brand shares written as a weighted lexicon
+    (category = component, term = feature)."""
+    from glossa.operators import ml as ML
+    _, _, _, d, rows = customer_design(spark, sf_dir)
+    m = ML.centered_pca(ML.assemble(rows, d, None), min(5, d.p))
+    pc = m.stages[-1].pc.toArray()
+    recs = [(f"comp{j}", d.names[1 + i], float(pc[i, j])) for j in range(pc.shape[1]) for i in range(pc.shape[0])]
+    return spark.createDataFrame(recs, "category string, term string, weight double")
+
+
+@register("pcr_ridge")
+def q_pcr_ridge(spark, sf_dir):
+    """Principal-component ridge: for each fold, the component count and alpha
+    with the least leave-one-out error (search stops after two increases)."""
+    from glossa.operators.reduce import pcr_ridge_cv
+    _, _, _, d, rows = customer_design(spark, sf_dir)
+    return pcr_ridge_cv(d, rows, "acctbal")
+
+
+@register("cca")
+def q_cca(spark, sf_dir):
+    """Canonical correlation of language (brand shares) with outcomes + controls:
+    ridge-regularized covariance from the Gram, SVD on the small matrix,
+    component scores by a Spark projection."""
+    from glossa.operators.reduce import cca_scores
+    _, _, _, d, rows = customer_design(spark, sf_dir)
+    return cca_scores(d, rows, n_comp=2, reg=1e-3)
+
+
+@register("multir")
+def q_multir(spark, sf_dir):
+    """Multiple regression of each outcome on all features (least squares):
+    coefficients, standard errors and t from the Gram."""
+    from glossa.operators.reduce import multiple_regression
+    _, _, _, d, _ = customer_design(spark, sf_dir)
+    return spark.createDataFrame(multiple_regression(d), "outcome string, term string, coef double, se double, t double")
+
+
+@register("score_rows")
+def q_score_rows(spark, sf_dir):
+    """Flat score rows: outcome, controls, with_language and pooled metrics."""
+    _, _, _, d, rows = customer_design(spark, sf_dir)
+    s = RG.score_summary(RG.combo_test(d, rows, alpha=1000.0))
+    parts = F.split("model_id", r"\|")
+    return s.select(parts[0].alias("outcome"), parts[1].alias("controls"), (parts[2] == "1").alias("with_lang"),
+                    "n", "r2", "r", "mae", "mse")
+
+
+@register("train_predict")
+def q_train_predict(spark, sf_dir):
+    """Two feature blocks (brand, type shares), each scaled by its own
+    scaler, assembled, one model per outcome; trained on the training split,
+    predictions for the test split."""
+    from pyspark.ml.feature import StandardScaler, VectorAssembler
+    from pyspark.ml.regression import LinearRegression
+    from pyspark.ml import Pipeline
+    from glossa.operators import ml as ML
+    from glossa.operators.folds import train_test_split
+    frame = customer_frame(spark, sf_dir).na.drop()
+    blocks = []
+    for col in ("p_brand", "p_type"):
+        f = src.order_feats(spark, sf_dir, col)
+        vocab, d = GR.build_design(f, frame, [], OUTCOMES)
+        r = ML.assemble(GR.design_rows(f, vocab, frame, [], OUTCOMES), d, None).withColumnRenamed("features", f"x_{col}")
+        blocks.append(r.drop("fold"))
+    data = blocks[0].join(blocks[1], "group_id").join(frame.select("group_id", *OUTCOMES), "group_id")
+    split = train_test_split(frame.select("group_id"), 0.2)
+    data = data.join(split, "group_id")
+    stages = [StandardScaler(inputCol=f"x_{c}", outputCol=f"s_{c}", withMean=True, withStd=True) for c in ("p_brand", "p_type")]
+    stages.append(VectorAssembler(inputCols=["s_p_brand", "s_p_type"], outputCol="features"))
+    out = None
+    for o in OUTCOMES:
+        pipe = Pipeline(stages=stages + [LinearRegression(featuresCol="features", labelCol=o, regParam=0.1)])
+        m = pipe.fit(data.where(F.col("split") == "train"))
+        p = m.transform(data.where(F.col("split") == "test")).select(
+            "group_id", F.lit(o).alias("outcome"), F.col(o).alias("y"), F.col("prediction").alias("yhat"))
+        out = p if out is None else out.unionByName(p)
+    return out
+
+
+@register("stacking")
+def q_stacking(spark, sf_dir):
+    """Stacking: out-of-fold predictions of three base models (brand shares,
+    type shares, controls) combined by ridge for every combination of size >= 2."""
+    import itertools
+    frame = customer_frame(spark, sf_dir).na.drop()
+    bases = {}
+    for name, col in (("brand", "p_brand"), ("type", "p_type")):
+        f = src.order_feats(spark, sf_dir, col)
+        vocab, d = GR.build_design(f, frame, [], ["acctbal"])
+        rows = GR.design_rows(f, vocab, frame, [], ["acctbal"])
+        bases[name] = RG.cv_predict(d, rows, alpha=1000.0).select("group_id", F.col("yhat").alias(f"b_{name}"))
+    vocab0, d0 = GR.build_design(None, frame, CONTROLS, ["acctbal"])
+    rows0 = GR.design_rows(None, None, frame, CONTROLS, ["acctbal"])
+    bases["controls"] = RG.cv_predict(d0, rows0, alpha=1.0, use_feats=False, controls=CONTROLS).select(
+        "group_id", F.col("yhat").alias("b_controls"))
+    stacked = frame.select("group_id", "fold", "acctbal")
+    for b in bases.values():
+        stacked = stacked.join(b, "group_id")
+    out = None
+    for size in (2, 3):
+        for combo in itertools.combinations(sorted(bases), size):
+            cols = [f"b_{c}" for c in combo]
+            _, dc = GR.build_design(None, stacked, cols, ["acctbal"])
+            rc = GR.design_rows(None, None, stacked, cols, ["acctbal"])
+            p = RG.cv_predict(dc, rc, alpha=1.0, use_feats=False, controls=cols)
+            s = RG.score_summary(p).withColumn("model_id", F.lit("+".join(combo)))
+            out = s if out is None else out.unionByName(s)
+    return out

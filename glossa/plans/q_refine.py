@@ -358,8 +358,11 @@ def q_value_funcs(spark, sf_dir):
 
 @register("lex_value_funcs", f"""WITH {S.feat_ctes('documents', 'doc_id')},
 lex AS (SELECT * FROM {src.lexicon_values_sql()}),
-a AS (SELECT f.group_id, lex.category AS feat, sum(f.group_norm) AS gn FROM f JOIN lex ON f.feat = lex.term
-      WHERE lex.term <> '_intercept' GROUP BY f.group_id, lex.category)
+tot AS (SELECT group_id, sum(value) AS tot FROM f GROUP BY group_id),
+a0 AS (SELECT f.group_id, lex.category AS feat,
+              CAST(sum(CAST(f.value AS DECIMAL(20,6)) * CAST(1.0 AS DECIMAL(12,6))) AS DOUBLE) AS v
+       FROM f JOIN lex ON f.feat = lex.term WHERE lex.term <> '_intercept' GROUP BY f.group_id, lex.category),
+a AS (SELECT a0.group_id, feat, v / tot AS gn FROM a0 JOIN tot ON a0.group_id = tot.group_id)
 SELECT 'log' AS func, group_id, feat, round(log2(gn + 1), 6) AS group_norm FROM a
 UNION ALL SELECT 'sqrt', group_id, feat, round(sqrt(gn), 6) FROM a""")
 def q_lex_value_funcs(spark, sf_dir):

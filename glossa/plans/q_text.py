@@ -275,11 +275,16 @@ def _lex_query(weighted):
 _LEX_BASE = f"""WITH {S.feat_ctes('documents', 'doc_id')},
 lex AS (SELECT * FROM {src.lexicon_values_sql()}),
 j AS (SELECT f.group_id, lex.category AS feat, f.value, f.group_norm, lex.weight
-      FROM f JOIN lex ON f.feat = lex.term WHERE lex.term <> '_intercept')"""
+      FROM f JOIN lex ON f.feat = lex.term WHERE lex.term <> '_intercept'),
+tot AS (SELECT group_id, sum(value) AS tot FROM f GROUP BY group_id)"""
 register("lexicon", f"""{_LEX_BASE}
-{_FEAT_SEL} FROM (SELECT group_id, feat, sum(value) AS value, sum(group_norm) AS group_norm FROM j GROUP BY group_id, feat)""")(_lex_query(False))
+{_FEAT_SEL} FROM (SELECT a.group_id, feat, value, value / tot AS group_norm FROM (
+  SELECT group_id, feat, CAST(sum(CAST(value AS DECIMAL(20,6)) * CAST(1.0 AS DECIMAL(12,6))) AS DOUBLE) AS value
+  FROM j GROUP BY group_id, feat) a JOIN tot ON a.group_id = tot.group_id)""")(_lex_query(False))
 register("lexicon_weighted", f"""{_LEX_BASE},
-a AS (SELECT group_id, feat, sum(value * weight) AS value, sum(group_norm * weight) AS gn FROM j GROUP BY group_id, feat),
+a0 AS (SELECT group_id, feat, CAST(sum(CAST(value AS DECIMAL(20,6)) * CAST(weight AS DECIMAL(12,6))) AS DOUBLE) AS value
+       FROM j GROUP BY group_id, feat),
+a AS (SELECT a0.group_id, feat, value, value / tot AS gn FROM a0 JOIN tot ON a0.group_id = tot.group_id),
 ic AS (SELECT category AS feat, weight AS icpt FROM lex WHERE term = '_intercept')
 {_FEAT_SEL} FROM (SELECT a.group_id, a.feat, a.value, a.gn + coalesce(ic.icpt, 0) AS group_norm
                   FROM a LEFT JOIN ic ON a.feat = ic.feat)""")(_lex_query(True))
