@@ -7,9 +7,9 @@ every fold:
 * the long feature table is pivoted per group into a dense vocabulary
   array on the JVM (vocabulary size p is bounded, see ``MAX_COLS``);
 * ``mapInPandas`` multiplies each task's rows into a partial Gram per fold
-  and emits only its upper-triangle entries ``(fold, i, j, v)``;
-* a Spark aggregate sums the entries over tasks (partial aggregation), and
-  only the ``folds x d x d`` result reaches the driver.
+  and emits it as upper-triangle tiles ``(fold, ti, tj, bytes)`` (512 x 512);
+* tiles are shuffled on their key and summed by a streaming
+  ``mapInPandas``; only the ``folds x d x d`` result reaches the driver.
 
 Group rows never leave the executors; the driver solves d x d systems.
 """
@@ -75,31 +75,58 @@ def design_rows(feats: DataFrame | None, vocab: DataFrame | None, frame: DataFra
     return base.select("group_id", F.col("fold").cast("int").alias("fold"), z.alias("z"))
 
 
+TILE = 512
+
+
 def _partial_grams(batches):
+    """Per task: partial Gram per fold, emitted as upper-triangle tiles
+    ``(fold, ti, tj, bytes)`` of at most TILE x TILE doubles."""
     acc = {}
     for pdf in batches:
         if pdf.empty:
             continue
         for fold, part in pdf.groupby("fold"):
             z = np.vstack(part["z"].to_numpy()).astype(float)
-            g = z.T @ z
-            acc[fold] = acc.get(fold, 0) + g
+            acc[fold] = acc.get(fold, 0) + z.T @ z
+    recs = []
     for fold, g in acc.items():
-        iu, ju = np.triu_indices(g.shape[0])
-        yield pd.DataFrame({"fold": np.full(len(iu), fold, dtype=np.int32), "i": iu.astype(np.int32),
-                            "j": ju.astype(np.int32), "v": g[iu, ju]})
+        nt = (g.shape[0] + TILE - 1) // TILE
+        for ti in range(nt):
+            for tj in range(ti, nt):
+                t = np.ascontiguousarray(g[ti * TILE:(ti + 1) * TILE, tj * TILE:(tj + 1) * TILE])
+                recs.append((int(fold), ti, tj, t.shape[0], t.tobytes()))
+    if recs:
+        yield pd.DataFrame(recs, columns=["fold", "ti", "tj", "rows", "tile"])
+
+
+def _sum_tiles(batches):
+    """Streaming element-wise sum of the tiles of each (fold, ti, tj) key."""
+    acc = {}
+    for pdf in batches:
+        for fold, ti, tj, r, b in zip(pdf["fold"], pdf["ti"], pdf["tj"], pdf["rows"], pdf["tile"]):
+            k = (int(fold), int(ti), int(tj), int(r))
+            a = np.frombuffer(b, dtype=float)
+            acc[k] = acc[k] + a if k in acc else a.copy()
+    if acc:
+        yield pd.DataFrame([(k[0], k[1], k[2], k[3], v.tobytes()) for k, v in acc.items()],
+                           columns=["fold", "ti", "tj", "rows", "tile"])
 
 
 def fold_grams(rows: DataFrame, d: int, tasks: int | None = None) -> dict:
-    """Sum of ``z z'`` per fold (driver receives folds x d(d+1)/2 numbers)."""
+    """Sum of ``z z'`` per fold.  Partial Grams leave each task as tiles, are
+    summed per tile key after a shuffle on the key, and only folds x tiles
+    rows reach the driver (through Arrow)."""
     if tasks:
         rows = rows.repartition(tasks)
-    part = rows.mapInPandas(_partial_grams, "fold int, i int, j int, v double")
-    tot = part.groupBy("fold", "i", "j").agg(F.sum("v").alias("v")).collect()
+    schema = "fold int, ti int, tj int, rows int, tile binary"
+    part = rows.mapInPandas(_partial_grams, schema)
+    summed = part.repartition("fold", "ti", "tj").mapInPandas(_sum_tiles, schema).toPandas()
     grams = {}
-    for r in tot:
-        g = grams.setdefault(r["fold"], np.zeros((d, d)))
-        g[r["i"], r["j"]] = g[r["j"], r["i"]] = r["v"]
+    for fold, ti, tj, r, b in summed.itertuples(index=False):
+        g = grams.setdefault(int(fold), np.zeros((d, d)))
+        t = np.frombuffer(b, dtype=float).reshape(int(r), -1)
+        g[ti * TILE:ti * TILE + t.shape[0], tj * TILE:tj * TILE + t.shape[1]] = t
+        g[tj * TILE:tj * TILE + t.shape[1], ti * TILE:ti * TILE + t.shape[0]] = t.T
     return grams
 
 

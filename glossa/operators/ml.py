@@ -52,7 +52,7 @@ def regressor(name: str, alpha: float = 0.01, seed: int = 42):
 
 def classifier(name: str = "lr", reg: float = 0.01, seed: int = 42):
     if name == "lr":
-        return LogisticRegression(regParam=reg, elasticNetParam=0.0, standardization=True, maxIter=100)
+        return LogisticRegression(regParam=reg, elasticNetParam=0.0, standardization=True, maxIter=50)
     if name == "svc":
         return LinearSVC(regParam=reg, maxIter=100)
     if name == "forest":
