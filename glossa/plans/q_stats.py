@@ -430,3 +430,77 @@ def q_tagcloud_data(spark, sf_dir):
     kept = occ(feats, 0.05)
     c = correlate(kept, src.label_outcomes(spark, sf_dir), ["quality", "toxic"], groups=feats.select("group_id").distinct())
     return tagcloud_data(c, 15, 0.05)
+
+
+# ---------------------------------------------------------------- per-feature models (rows-only)
+
+
+@register("logistic_per_feat")
+def q_logistic_per_feat(spark, sf_dir):
+    """Per-feature logistic regression of quality on the feature (IRLS, absent = 0)."""
+    from glossa.operators.stats_models import logistic_per_feat
+    _, kept, groups = base_feats(spark, sf_dir)
+    return logistic_per_feat(kept, src.label_outcomes(spark, sf_dir), "quality", groups)
+
+
+def _doc_frame_en(spark, sf_dir):
+    d = src.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("group_id"),
+                                                    (F.col("lang") == "en").cast("double").alias("is_en"))
+    return src.label_outcomes(spark, sf_dir).join(d, "group_id")
+
+
+@register("interaction")
+def q_interaction(spark, sf_dir):
+    """Interaction of each feature with the English flag on quality: b3, se, t, p."""
+    from glossa.operators.stats_models import interaction
+    _, kept, _ = base_feats(spark, sf_dir)
+    return interaction(kept, _doc_frame_en(spark, sf_dir), "quality", "is_en")
+
+
+@register("ddla_groups")
+def q_ddla_groups(spark, sf_dir):
+    """Differential analysis: features whose interaction with the English flag
+    is significant (p < .001), then their correlations with quality computed
+    separately for English and other documents."""
+    from glossa.operators.stats_models import interaction
+    _, kept, _ = base_feats(spark, sf_dir)
+    fr = _doc_frame_en(spark, sf_dir)
+    sig = interaction(kept, fr, "quality", "is_en").where(F.col("p") < 0.001).select("feat")
+    wl = kept.join(sig, "feat", "left_semi")
+    out = None
+    for flag in (1.0, 0.0):
+        g = fr.where(F.col("is_en") == flag).select("group_id")
+        c = correlate(wl, src.label_outcomes(spark, sf_dir), ["quality"], groups=g).withColumn("is_en", F.lit(flag))
+        out = c if out is None else out.unionByName(c)
+    return out
+
+
+@register("combo_rmatrix")
+def q_combo_rmatrix(spark, sf_dir):
+    """Correlations of every feature with quality for each combination of the
+    controls (none, length, English flag, both)."""
+    from glossa.operators.correlate import correlate_controls
+    _, kept, groups = base_feats(spark, sf_dir)
+    d = src.table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("group_id"), F.col("n_chars").cast("double").alias("n_chars"),
+        (F.col("lang") == "en").cast("double").alias("is_en"))
+    lab = src.label_outcomes(spark, sf_dir)
+    out = correlate(kept, lab, ["quality"], groups=groups, with_p=True).select(
+        F.lit("").alias("controls"), "outcome", "feat", "r", "n", "p")
+    for combo in (["n_chars"], ["is_en"], ["n_chars", "is_en"]):
+        c = correlate_controls(kept, lab, ["quality"], d, combo, groups).select(
+            F.lit(",".join(combo)).alias("controls"), "outcome", "feat", "r", "n", "p")
+        out = out.unionByName(c)
+    return out
+
+
+@register("mediation_boot")
+def q_mediation_boot(spark, sf_dir):
+    """Bootstrap (Poisson weights, 100 replicates) of the indirect effect of
+    each brand share between order count and account balance."""
+    from glossa.operators.stats_models import mediation_boot
+    feats = src.order_feats(spark, sf_dir)
+    ctl = src.customer_controls(spark, sf_dir).select("group_id", "n_orders")
+    data = (src.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("group_id"), F.col("c_acctbal").alias("y"))
+            .join(ctl, "group_id").where(F.col("n_orders") > 0))
+    return mediation_boot(feats, data, "n_orders", "y", reps=100)

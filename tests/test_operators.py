@@ -113,3 +113,45 @@ def test_p_adjust_monotone_and_bounded(spark):
     m = len(p)
     want = np.minimum.accumulate((p * m / np.arange(1, m + 1))[::-1])[::-1]
     assert np.allclose(bh["p_adj"], np.minimum(want, 1))
+
+
+def test_logistic_per_feat_matches_numpy_newton(spark):
+    from glossa.operators.stats_models import logistic_per_feat
+    feats, lab, groups, X, lp = _dense(spark)
+    got = logistic_per_feat(feats, lab, "quality", groups, iters=12).toPandas().set_index("feat")
+    y = lp["quality"].to_numpy()
+    tested = 0
+    for feat in X.columns:
+        A = np.column_stack([np.ones(len(y)), X[feat].to_numpy()])
+        b = np.zeros(2)
+        for _ in range(30):
+            p = 1 / (1 + np.exp(-A @ b))
+            H = A.T @ (A * (p * (1 - p))[:, None])
+            b = b + np.linalg.solve(H, A.T @ (y - p))
+        if abs(b[1]) > 100:      # (quasi-)separation: no finite maximum
+            continue
+        tested += 1
+        assert abs(got.loc[feat, "coef"] - b[1]) < 1e-6 * max(1, abs(b[1]))
+    assert tested >= 3
+
+
+def test_interaction_matches_lstsq(spark):
+    from glossa.operators.stats_models import interaction
+    feats, lab, groups, X, lp = _dense(spark)
+    d = src.table(spark, SF_SMALL, "documents").select(F.col("doc_id").alias("group_id"),
+                                                       (F.col("lang") == "en").cast("double").alias("is_en"))
+    fr = lab.join(d, "group_id")
+    got = interaction(feats, fr, "quality", "is_en").toPandas().set_index("feat")
+    z = d.toPandas().set_index("group_id").reindex(lp.index)["is_en"].to_numpy()
+    y = lp["quality"].to_numpy()
+    tested = 0
+    for feat in X.columns:
+        x = X[feat].to_numpy()
+        A = np.column_stack([np.ones(len(y)), x, z, x * z])
+        if np.linalg.matrix_rank(A) < 4:     # singular design: reported as null
+            assert np.isnan(got.loc[feat, "coef_xz"])
+            continue
+        b = np.linalg.lstsq(A, y, rcond=None)[0]
+        assert abs(got.loc[feat, "coef_xz"] - b[3]) < 1e-6 * max(1, abs(b[3]))
+        tested += 1
+    assert tested >= 3
