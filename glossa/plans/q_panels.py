@@ -1 +1,150 @@
-"""Registered queries."""
+"""Experiment-level compositions (2.10 recipes): fold splits, out-of-fold
+inference, estimator panels, residual panels, factor adaptation, residual
+traits, controls only.  All reuse the fold Grams; rows-only checks."""
+
+from __future__ import annotations
+
+import pandas as pd
+from pyspark.sql import functions as F
+
+from glossa.operators import gram as GR
+from glossa.operators import ridge as RG
+from glossa.operators.scalar import multiply
+from glossa.plans.q_models import CONTROLS, customer_design, customer_frame
+from glossa.plans.registry import register
+from glossa.sources import tables as src
+
+_CUST_RN = """g AS (SELECT c_custkey AS group_id, CAST((row_number() OVER (ORDER BY md5('1' || CAST(c_custkey AS VARCHAR)), c_custkey) - 1) % 5 AS INTEGER) AS fold FROM customer)"""
+
+
+@register("split_fold", f"""WITH {_CUST_RN}
+SELECT CAST(k AS INTEGER) AS k, group_id, CASE WHEN fold = k THEN 'test' ELSE 'train' END AS split
+FROM g, range(5) t(k)""")
+def q_split_fold(spark, sf_dir):
+    """Train / test membership of every group for each of the 5 folds
+    (an explode per group, no join)."""
+    from glossa.operators.folds import k_fold
+    f = k_fold(src.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("group_id")), 5)
+    e = f.select("group_id", "fold", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("k"))
+    return e.select(F.col("k").cast("int").alias("k"), "group_id",
+                    F.when(F.col("fold") == F.col("k"), F.lit("test")).otherwise(F.lit("train")).alias("split"))
+
+
+def _union(frames):
+    out = None
+    for f in frames:
+        out = f if out is None else out.unionByName(f)
+    return out
+
+
+def _mean_model(d, outcomes):
+    recs = []
+    for o in outcomes:
+        yi = d.index(o)
+        for k in d.folds:
+            G = d.total(exclude=k)
+            c = [0.0] * len(d.names)
+            c[0] = G[0, yi] / G[0, 0]
+            recs.append((o, k, o, c))
+    return pd.DataFrame(recs, columns=["model_id", "fold", "outcome", "coef"])
+
+
+@register("infer_oof")
+def q_infer_oof(spark, sf_dir):
+    """Out-of-fold inference: training-mean and ridge-CV predictions per group."""
+    _, _, _, d, rows = customer_design(spark, sf_dir)
+    mean = RG._score(rows, _mean_model(d, ["acctbal"]), {"acctbal": d.index("acctbal")}).select(
+        "group_id", F.col("yhat").alias("mean_pred"))
+    ridge = RG.cv_predict(d, rows, ["acctbal"], model="ridge_cv").select("group_id", "fold", "y", F.col("yhat").alias("ridge_pred"))
+    return ridge.join(mean, "group_id")
+
+
+@register("cv_panel")
+def q_cv_panel(spark, sf_dir):
+    """Estimator panel per fold (mean, ridge, ridge-CV, least squares, lasso),
+    pooled out-of-fold metrics per estimator and outcome."""
+    from glossa.operators import ml as ML
+    _, _, _, d, rows = customer_design(spark, sf_dir)
+    idx = {o: d.index(o) for o in d.outcomes}
+    parts = [RG._score(rows, _mean_model(d, d.outcomes), idx).withColumn("model_id", F.concat(F.lit("mean|"), "model_id"))]
+    for name, kw in (("ridge", {"alpha": 1000.0}), ("ridge_cv", {"model": "ridge_cv"}), ("linear", {"model": "linear"})):
+        p = RG.cv_predict(d, rows, **kw)
+        parts.append(p.withColumn("model_id", F.concat(F.lit(name + "|"), "model_id")))
+    for o in d.outcomes:
+        lp = ML.cv_fit_predict(ML.assemble(rows, d, o), ML.regressor("lasso"), d.folds)
+        parts.append(lp.select("group_id", "fold", F.lit(f"lasso|{o}").alias("model_id"),
+                               F.col("label").alias("y"), F.col("prediction").alias("yhat")))
+    return RG.score_summary(_union(parts))
+
+
+@register("residual_panel")
+def q_residual_panel(spark, sf_dir):
+    """Controls first, then language on the controls' residuals (all controls),
+    against the controls-only and joint models."""
+    _, _, _, d, rows = customer_design(spark, sf_dir)
+    res = RG.score_summary(RG.combo_test(d, rows, alpha=1000.0, sizes=[len(CONTROLS)], residualized=True))
+    joint = RG.score_summary(RG.combo_test(d, rows, alpha=1000.0, sizes=[len(CONTROLS)]))
+    return (res.withColumn("kind", F.lit("residualized")).unionByName(joint.withColumn("kind", F.lit("joint"))))
+
+
+@register("controls_only")
+def q_controls_only(spark, sf_dir):
+    """Panel on the controls alone: least squares and ridge, out of fold."""
+    frame = customer_frame(spark, sf_dir).na.drop()
+    _, d = GR.build_design(None, frame, CONTROLS, ["acctbal", "avg_price"])
+    rows = GR.design_rows(None, None, frame, CONTROLS, ["acctbal", "avg_price"])
+    lin = RG.cv_predict(d, rows, model="linear", use_feats=False, controls=CONTROLS)
+    rid = RG.cv_predict(d, rows, alpha=10.0, use_feats=False, controls=CONTROLS)
+    return RG.score_summary(_union([lin.withColumn("model_id", F.concat(F.lit("linear|"), "model_id")),
+                                    rid.withColumn("model_id", F.concat(F.lit("ridge|"), "model_id"))]))
+
+
+@register("factor_adaptation")
+def q_factor_adaptation(spark, sf_dir):
+    """Factor adaptation: language, language x controls (interaction
+    features), each with and without the controls themselves; ridge out of
+    fold for every block set."""
+    ad_ctl = ["nationkey", "n_orders"]
+    feats = src.order_feats(spark, sf_dir)
+    frame = customer_frame(spark, sf_dir).na.drop()
+    ctl = src.customer_controls(spark, sf_dir)
+    adapted = feats.unionByName(multiply(feats, ctl, ad_ctl))
+    vocab, d = GR.build_design(adapted, frame, CONTROLS, ["acctbal"])
+    rows = GR.design_rows(adapted, vocab, frame, CONTROLS, ["acctbal"])
+    base_names = {r["feat"] for r in feats.select("feat").distinct().collect()}   # vocabulary-sized
+    base_idx = [i for i in range(1, d.p + 1) if d.names[i] in base_names]
+    all_idx = list(range(1, d.p + 1))
+    ci = [d.index(c) for c in CONTROLS]
+    yi = d.index("acctbal")
+    recs = []
+    for tag, xi in (("language", base_idx), ("language+controls", base_idx + ci),
+                    ("adapted", all_idx), ("adapted+controls", all_idx + ci)):
+        for k in d.folds:
+            recs.append((tag, k, "acctbal", RG.ridge_from_gram(d.total(exclude=k), xi, yi, 1000.0).tolist()))
+    models = pd.DataFrame(recs, columns=["model_id", "fold", "outcome", "coef"])
+    return RG.score_summary(RG._score(rows, models, {"acctbal": yi}))
+
+
+@register("res_control")
+def q_res_control(spark, sf_dir):
+    """Residual traits: (1) infer the outcome from language out of fold,
+    (2) improve it with the controls, (3) take the residual, (4) predict the
+    residual from three feature sets (brand, type, both)."""
+    frame = customer_frame(spark, sf_dir).na.drop()
+    brand = src.order_feats(spark, sf_dir, "p_brand")
+    vocab, d = GR.build_design(brand, frame, [], ["acctbal"])
+    rows = GR.design_rows(brand, vocab, frame, [], ["acctbal"])
+    inferred = RG.cv_predict(d, rows, alpha=1000.0).select("group_id", F.col("yhat").alias("inferred"))
+    f2 = frame.join(inferred, "group_id")
+    _, d2 = GR.build_design(None, f2, CONTROLS + ["inferred"], ["acctbal"])
+    r2 = GR.design_rows(None, None, f2, CONTROLS + ["inferred"], ["acctbal"])
+    improved = RG.cv_predict(d2, r2, alpha=1.0, use_feats=False, controls=CONTROLS + ["inferred"])
+    resid = improved.select("group_id", (F.col("y") - F.col("yhat")).alias("resid"))
+    f3 = frame.join(resid, "group_id")
+    typ = src.order_feats(spark, sf_dir, "p_type")
+    parts = []
+    for tag, fe in (("brand", brand), ("type", typ), ("brand+type", brand.unionByName(typ))):
+        v, d3 = GR.build_design(fe, f3, [], ["resid"])
+        r3 = GR.design_rows(fe, v, f3, [], ["resid"])
+        parts.append(RG.cv_predict(d3, r3, alpha=1000.0).withColumn("model_id", F.lit(tag)))
+    return RG.score_summary(_union(parts))

@@ -405,3 +405,32 @@ keep AS (SELECT feat FROM st ORDER BY ng DESC, feat ASC LIMIT 300)
 def q_feat_occ_topn(spark, sf_dir):
     feats = FE.ngram_feats(src.messages_by_doc(spark, sf_dir), 1)
     return _feat_out(feat_occ_filter(feats, 300))
+
+
+@register("gzip_csv_ngrams", f"WITH {S.feat_ctes('documents', 'source')}\n{_FEAT_SEL} FROM f")
+def q_gzip_csv_ngrams(spark, sf_dir):
+    """Messages written to a gzip CSV in the shared folder and read back
+    (multi-line quoted text), then 1-grams per source."""
+    import uuid
+    from glossa.sources import io as IO
+    from glossa.session import checkpoint_dir, local_fallback_dir
+    base = spark.conf.get("spark.checkpoint.dir", None) or checkpoint_dir(spark, local_fallback_dir())
+    path = f"{base.rstrip('/')}/glossa-csv-{uuid.uuid4().hex}"
+    IO.write_messages_csv(src.messages_by_source(spark, sf_dir), path)
+    m = IO.read_messages_csv(spark, path, "message_id", "group_id", "message")
+    return _feat_out(FE.ngram_feats(src.spread(m), 1))
+
+
+@register("feature_table_sink")
+def q_feature_table_sink(spark, sf_dir):
+    """1-gram table written as a feature table, listed and read back."""
+    import uuid
+    from glossa.sources import io as IO
+    from glossa.session import checkpoint_dir, local_fallback_dir
+    base = spark.conf.get("spark.checkpoint.dir", None) or checkpoint_dir(spark, local_fallback_dir())
+    root = f"{base.rstrip('/')}/glossa-feats-{uuid.uuid4().hex}"
+    IO.write_feature_table(FE.ngram_feats(src.messages_by_doc(spark, sf_dir), 1), f"{root}/feat_1gram_documents")
+    IO.write_outcome_table(src.label_outcomes(spark, sf_dir), f"{root}/outcomes")
+    listed = IO.list_feature_tables(spark, root)
+    back = spark.read.parquet(f"{root}/feat_1gram_documents")
+    return back.withColumn("table_name", F.lit(listed.first()["table_name"]))
