@@ -207,3 +207,39 @@ def q_confusion(spark, sf_dir):
     s = src.table(spark, sf_dir, "labels").join(d, "doc_id").select("pred", F.col("quality").alias("label"))
     c = ME.confusion(s)
     return c.select("tp", "fp", "tn", "fn", *[rnd(x).alias(x) for x in ("accuracy", "precision", "recall", "f1")])
+
+
+@register("stack_preds", f"""WITH {_SCORED_SQL},
+pf AS (SELECT fold, sum(y) AS sy, count(*) AS n FROM s GROUP BY fold),
+t AS (SELECT sum(sy) AS ty, sum(n) AS tn FROM pf),
+v AS (SELECT s.group_id, s.fold, ((SELECT ty FROM t) - pf.sy) / ((SELECT tn FROM t) - pf.n) AS pred_train_mean
+      FROM s JOIN pf ON s.fold = pf.fold)
+SELECT v.group_id, v.fold, round(pred_train_mean, 6) AS pred_train_mean, round(s.yhat, 6) AS pred_nation
+FROM v JOIN s ON v.group_id = s.group_id""")
+def q_stack_preds(spark, sf_dir):
+    """Vertical stacking (union over folds) of each fold's test predictions
+    (training mean), horizontally joined with a second prediction column."""
+    s = scored(spark, sf_dir)
+    per = s.groupBy("fold").agg(F.sum("y").alias("sy"), F.count(F.lit(1)).alias("n"))
+    tot = per.agg(F.sum("sy"), F.sum("n")).first()
+    parts = None
+    for k in [r["fold"] for r in per.select("fold").collect()]:       # one row per fold
+        tm = per.where(F.col("fold") == k).select(((F.lit(tot[0]) - F.col("sy")) / (F.lit(tot[1]) - F.col("n"))).alias("m")).first()["m"]
+        p = s.where(F.col("fold") == k).select("group_id", "fold", F.lit(tm).alias("pred_train_mean"))
+        parts = p if parts is None else parts.unionByName(p)
+    h = parts.join(s.select("group_id", F.col("yhat").alias("pred_nation")), "group_id")
+    return h.select("group_id", "fold", rnd("pred_train_mean").alias("pred_train_mean"), rnd("pred_nation").alias("pred_nation"))
+
+
+@register("control_combos", """WITH n AS (SELECT list(DISTINCT c_mktsegment ORDER BY c_mktsegment) AS names FROM customer),
+m AS (SELECT unnest(range(1, CAST(1 << len(names) AS BIGINT))) AS mask, names FROM n)
+SELECT CAST(mask AS BIGINT) AS mask,
+       array_to_string(list_filter(names, lambda x, i: ((mask >> (i - 1)) & 1) = 1), ',') AS controls,
+       CAST(len(list_filter(names, lambda x, i: ((mask >> (i - 1)) & 1) = 1)) AS INTEGER) AS size FROM m""")
+def q_control_combos(spark, sf_dir):
+    """Every non-empty combination of the control names (here the market
+    segments found in the data), as a power-set explode over a bitmask."""
+    names = (src.table(spark, sf_dir, "customer").agg(F.array_sort(F.collect_set("c_mktsegment")).alias("names")))
+    m = names.select("names", F.explode(F.expr("sequence(1L, shiftleft(1L, size(names)) - 1L)")).alias("mask"))
+    sub = F.expr("filter(names, (x, i) -> ((mask >> i) & 1) = 1)")
+    return m.select("mask", F.array_join(sub, ",").alias("controls"), F.size(sub).alias("size"))

@@ -504,3 +504,21 @@ def q_mediation_boot(spark, sf_dir):
     data = (src.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("group_id"), F.col("c_acctbal").alias("y"))
             .join(ctl, "group_id").where(F.col("n_orders") > 0))
     return mediation_boot(feats, data, "n_orders", "y", reps=100)
+
+
+@register("correl_filter")
+def q_correl_filter(spark, sf_dir):
+    """Feature rows kept because the feature correlates with quality or toxic
+    at p < .05 (correlate + threshold + semi-join)."""
+    c = flagship(spark, sf_dir).where(F.col("p") < 0.05).select("feat").distinct()
+    _, kept, _ = base_feats(spark, sf_dir)
+    return kept.join(c, "feat", "left_semi")
+
+
+@register("t_pvalue")
+def q_t_pvalue(spark, sf_dir):
+    """Two-tailed Student-t p of each correlation (N - 2 degrees of freedom)."""
+    from glossa.functions.dist import t_pvalue
+    c = flagship(spark, sf_dir, with_p=False)
+    return c.select("outcome", "feat", "t", (F.col("n") - 2).alias("df"),
+                    t_pvalue(F.col("t"), (F.col("n") - 2).cast("double")).alias("p"))
