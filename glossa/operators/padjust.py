@@ -1,42 +1,57 @@
 """Multiple-comparison corrections of p-values, per outcome.
 
-Ranks come from a window partitioned by outcome and ordered by p (ties by
-feature name); step-up / step-down procedures are running min / max
-frames over that order.  A partition holds one outcome's features (the
-feature vocabulary after refinement), never group-level rows.
+Ranks come from the distributed rank-within-class (ties by feature name);
+the step-down / step-up procedures are distributed running max / min
+(``ranks.running_extreme``), so no task ever holds all features of an
+outcome.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from glossa.operators.ranks import rank_within, running_extreme
+
 METHODS = ("none", "bonferroni", "holm", "hochberg", "simes", "BH", "fdr_bh", "BY")
 
 
 def p_adjust(df: DataFrame, method: str = "BH", p_col: str = "p", by: str = "outcome",
              order_col: str = "feat", out_col: str = "p_adj") -> DataFrame:
+    return p_adjust_many(df, {out_col: method}, p_col, by, order_col)
+
+
+def p_adjust_many(df: DataFrame, methods: dict, p_col: str = "p", by: str = "outcome",
+                  order_col: str = "feat") -> DataFrame:
+    """Several corrections ``{out_col: method}`` sharing one ranking pass."""
+    m = df.groupBy(by).agg(F.count(F.lit(1)).cast("double").alias("_m"))
+    d = rank_within(df, [by], [F.col(p_col), F.col(order_col)], "_i").join(F.broadcast(m), by)
+    d = d.withColumn("_i", F.col("_i").cast("double"))
+    for out_col, method in methods.items():
+        d = _one(d, method, p_col, by, order_col, out_col)
+    return d.drop("_m", "_i")
+
+
+def _one(d: DataFrame, method: str, p_col: str, by: str, order_col: str, out_col: str) -> DataFrame:
     if method in ("none", None):
-        return df.withColumn(out_col, F.col(p_col))
-    w_all = Window.partitionBy(by)
-    asc = Window.partitionBy(by).orderBy(F.col(p_col).asc(), F.col(order_col).asc())
-    d = (df.withColumn("_m", F.count(F.lit(1)).over(w_all).cast("double"))
-         .withColumn("_i", F.row_number().over(asc).cast("double")))
-    up_to_here = asc.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    from_here = asc.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+        return d.withColumn(out_col, F.col(p_col))
+    order = [F.col(p_col), F.col(order_col)]
     p = F.col(p_col)
     if method == "bonferroni":
-        adj = F.least(F.lit(1.0), F.col("_m") * p)
-    elif method == "holm":
-        adj = F.least(F.lit(1.0), F.max((F.col("_m") - F.col("_i") + 1) * p).over(up_to_here))
+        return d.withColumn(out_col, F.least(F.lit(1.0), F.col("_m") * p))
+    if method == "holm":
+        d = d.withColumn("_v", (F.col("_m") - F.col("_i") + 1) * p)
+        r = running_extreme(d, [by], order, "_v", "max", "prefix", "_r")
     elif method == "hochberg":
-        adj = F.least(F.lit(1.0), F.min((F.col("_m") - F.col("_i") + 1) * p).over(from_here))
+        d = d.withColumn("_v", (F.col("_m") - F.col("_i") + 1) * p)
+        r = running_extreme(d, [by], order, "_v", "min", "suffix", "_r")
     elif method in ("BH", "fdr_bh", "simes", "fdr"):
-        adj = F.least(F.lit(1.0), F.min(F.col("_m") * p / F.col("_i")).over(from_here))
+        d = d.withColumn("_v", F.col("_m") * p / F.col("_i"))
+        r = running_extreme(d, [by], order, "_v", "min", "suffix", "_r")
     elif method == "BY":
-        # harmonic number of m: sum_{i<=m} 1/i over the same partition
-        d = d.withColumn("_h", F.sum(F.lit(1.0) / F.col("_i")).over(w_all))
-        adj = F.least(F.lit(1.0), F.min(F.col("_h") * F.col("_m") * p / F.col("_i")).over(from_here))
+        h = d.groupBy(by).agg(F.sum(F.lit(1.0) / F.col("_i")).alias("_h"))    # harmonic number of m
+        d = d.join(F.broadcast(h), by).withColumn("_v", F.col("_h") * F.col("_m") * p / F.col("_i"))
+        r = running_extreme(d, [by], order, "_v", "min", "suffix", "_r").drop("_h")
     else:
         raise ValueError(f"unknown correction {method!r}")
-    return d.withColumn(out_col, adj).drop("_m", "_i", "_h")
+    return r.withColumn(out_col, F.least(F.lit(1.0), F.col("_r"))).drop("_v", "_r")

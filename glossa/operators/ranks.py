@@ -103,3 +103,30 @@ def prefix_sums(df: DataFrame, order_cols, value_cols, prefix: str = "cum_") ->
     for c in value_cols:
         out = out.withColumn(f"{prefix}{c}", F.col(f"_o_{c}") + F.sum(c).over(wl))
     return out.drop("_mid", "_pid", *[f"_o_{c}" for c in value_cols])
+
+
+def running_extreme(df: DataFrame, class_cols, order_cols, value_col: str, how: str = "min",
+                    direction: str = "suffix", out: str = "running") -> DataFrame:
+    """Running min / max of ``value_col`` inside each class, in the order
+    ``order_cols``: from the class start (prefix) or to the class end (suffix).
+
+    Rows are range-partitioned by (class, order) and pinned; each partition
+    computes its local running value, and the extreme of all later (suffix)
+    or earlier (prefix) partitions of the same class is carried in from a
+    table with one row per (partition, class)."""
+    keys = [class_cols] if isinstance(class_cols, str) else list(class_cols)
+    agg = F.min if how == "min" else F.max
+    comb = F.least if how == "min" else F.greatest
+    s = materialize(df.orderBy(*[F.col(k) for k in keys], *order_cols)
+                    .withColumn("_mid", F.monotonically_increasing_id()))
+    s = s.withColumn("_pid", F.shiftright("_mid", 33))
+    o = F.col("_mid").desc() if direction == "suffix" else F.col("_mid").asc()
+    wl = Window.partitionBy("_pid", *keys).orderBy(o).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    s = s.withColumn("_loc", agg(value_col).over(wl))
+    pc = s.groupBy("_pid", *keys).agg(agg(value_col).alias("_pe"))
+    po = F.col("_pid").desc() if direction == "suffix" else F.col("_pid").asc()
+    wc = Window.partitionBy(*keys).orderBy(po).rowsBetween(Window.unboundedPreceding, -1)
+    carry = pc.select("_pid", *keys, agg("_pe").over(wc).alias("_carry"))
+    return (s.join(carry, ["_pid"] + keys)
+            .withColumn(out, comb(F.col("_loc"), F.coalesce(F.col("_carry"), F.col("_loc"))))
+            .drop("_mid", "_pid", "_loc", "_carry"))

@@ -255,8 +255,8 @@ def q_p_adjust(spark, sf_dir):
     from glossa.operators.stats import normal_p2_approx
     c = flagship(spark, sf_dir, with_p=False).where(F.col("r").isNotNull())
     c = c.withColumn("p", normal_p2_approx(F.atanh("r") * F.sqrt(F.col("n") - 3))).select("outcome", "feat", "p")
-    for meth, col in (("bonferroni", "bonferroni"), ("holm", "holm"), ("hochberg", "hochberg"), ("BH", "bh"), ("BY", "by_")):
-        c = p_adjust(c, meth, out_col=col)
+    from glossa.operators.padjust import p_adjust_many
+    c = p_adjust_many(c, {"bonferroni": "bonferroni", "holm": "holm", "hochberg": "hochberg", "bh": "BH", "by_": "BY"})
     return c.select("outcome", "feat", *[rnd(x, 9).alias(x) for x in ("p", "bonferroni", "holm", "hochberg", "bh", "by_")])
 
 

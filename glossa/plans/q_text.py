@@ -122,7 +122,7 @@ def q_groups_outcomes(spark, sf_dir):
 {S.feat_ctes('documents', 'doc_id', 2, 'f2')},
 f AS (SELECT * FROM f1 UNION ALL SELECT * FROM f2),
 r AS (SELECT group_id, feat, rtrim(repeat(replace(feat, ' ', '_') || ' ', CAST(value AS INTEGER))) AS rr FROM f)
-SELECT group_id, string_agg(rr, ' ' ORDER BY feat) AS line FROM r GROUP BY group_id""")
+SELECT group_id, CAST(0 AS BIGINT) AS chunk, string_agg(rr, ' ' ORDER BY feat) AS line FROM r GROUP BY group_id""")
 def q_joined_lines(spark, sf_dir):
     feats = FE.ngram_feats(src.messages_by_doc(spark, sf_dir), [1, 2])
     return M.joined_feature_lines(feats)
