@@ -130,3 +130,22 @@ def running_extreme(df: DataFrame, class_cols, order_cols, value_col: str, how:
     return (s.join(carry, ["_pid"] + keys)
             .withColumn(out, comb(F.col("_loc"), F.coalesce(F.col("_carry"), F.col("_loc"))))
             .drop("_mid", "_pid", "_loc", "_carry"))
+
+
+def running_sum(df: DataFrame, class_cols, order_cols, value_col: str, out: str = "cum",
+                inclusive: bool = True) -> DataFrame:
+    """Running sum of ``value_col`` inside each class in the order
+    ``order_cols`` (inclusive or exclusive of the current row); partition-local
+    windows plus carried totals of earlier partitions of the same class."""
+    keys = [class_cols] if isinstance(class_cols, str) else list(class_cols)
+    s = materialize(df.orderBy(*[F.col(k) for k in keys], *order_cols)
+                    .withColumn("_mid", F.monotonically_increasing_id()))
+    s = s.withColumn("_pid", F.shiftright("_mid", 33))
+    end = Window.currentRow if inclusive else -1
+    wl = Window.partitionBy("_pid", *keys).orderBy("_mid").rowsBetween(Window.unboundedPreceding, end)
+    s = s.withColumn("_loc", F.coalesce(F.sum(value_col).over(wl), F.lit(0.0)))
+    pc = s.groupBy("_pid", *keys).agg(F.sum(value_col).alias("_pt"))
+    wc = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    carry = pc.select("_pid", *keys, F.coalesce(F.sum("_pt").over(wc), F.lit(0.0)).alias("_carry"))
+    return (s.join(carry, ["_pid"] + keys).withColumn(out, F.col("_loc") + F.col("_carry"))
+            .drop("_mid", "_pid", "_loc", "_carry"))

@@ -522,3 +522,11 @@ def q_t_pvalue(spark, sf_dir):
     c = flagship(spark, sf_dir, with_p=False)
     return c.select("outcome", "feat", "t", (F.col("n") - 2).alias("df"),
                     t_pvalue(F.col("t"), (F.col("n") - 2).cast("double")).alias("p"))
+
+
+@register("auc_boot")
+def q_auc_boot(spark, sf_dir):
+    """AUC of each feature for quality with a Poisson-weight bootstrap p (50 replicates)."""
+    from glossa.operators.stats_models import auc_boot
+    _, kept, groups = base_feats(spark, sf_dir)
+    return auc_boot(kept, src.label_outcomes(spark, sf_dir), "quality", groups, reps=50)

@@ -155,3 +155,13 @@ def test_interaction_matches_lstsq(spark):
         assert abs(got.loc[feat, "coef_xz"] - b[3]) < 1e-6 * max(1, abs(b[3]))
         tested += 1
     assert tested >= 3
+
+
+def test_auc_boot_replicate_zero_equals_auc(spark):
+    from glossa.operators.stats import auc
+    from glossa.operators.stats_models import auc_boot
+    feats, lab, groups, X, lp = _dense(spark)
+    a = auc(feats, lab, ["quality"], groups).toPandas().set_index("feat")
+    b = auc_boot(feats, lab, "quality", groups, reps=3).toPandas().set_index("feat")
+    for f in b.index:
+        assert abs(a.loc[f, "auc"] - b.loc[f, "auc"]) < 1e-9
