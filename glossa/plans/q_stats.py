@@ -293,8 +293,8 @@ def q_apply_labelmap(spark, sf_dir):
                     rnd("r").alias("r"))
 
 
-@register("ttest_feats", f"""WITH {S.feat_ctes("(SELECT * FROM documents WHERE doc_id % 2 = 0)", 'source', 1, 'fa')},
-{S.feat_ctes("(SELECT * FROM documents WHERE doc_id % 2 = 1)", 'source', 1, 'fb')},
+@register("ttest_feats", f"""WITH {S.feat_ctes("(SELECT * FROM documents WHERE lang = 'en')", 'source', 1, 'fa')},
+{S.feat_ctes("(SELECT * FROM documents WHERE lang <> 'en')", 'source', 1, 'fb')},
 ng AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM (SELECT group_id FROM fa UNION SELECT group_id FROM fb)),
 d AS (SELECT coalesce(fa.feat, fb.feat) AS feat, coalesce(fa.group_norm, 0) - coalesce(fb.group_norm, 0) AS d
       FROM fa FULL OUTER JOIN fb ON fa.group_id = fb.group_id AND fa.feat = fb.feat),
@@ -304,12 +304,15 @@ SELECT feat, round(s1 / (SELECT n FROM ng), 9) AS mean_diff,
 FROM s""")
 def q_ttest_feats(spark, sf_dir):
     """Paired t per feature between two feature tables over the same groups
-    (sources): even vs odd document ids."""
+    (sources): English documents vs documents in other languages."""
     from glossa.operators.stats import ttest_feats
     from glossa.operators.feats import ngram_feats
-    m = src.messages_by_source(spark, sf_dir)
-    a = ngram_feats(m.where(F.col("message_id") % 2 == 0), 1)
-    b = ngram_feats(m.where(F.col("message_id") % 2 == 1), 1)
+    d = src.table(spark, sf_dir, "documents")
+    def msgs(cond):
+        return d.where(cond).select(F.col("doc_id").alias("message_id"), F.col("source").alias("group_id"),
+                                    F.col("text").alias("message"))
+    a = ngram_feats(msgs(F.col("lang") == "en"), 1)
+    b = ngram_feats(msgs(F.col("lang") != "en"), 1)
     return ttest_feats(a, b).select("feat", rnd("mean_diff", 9).alias("mean_diff"), rnd("t").alias("t"))
 
 
