@@ -135,6 +135,8 @@ def zscore_group(feats: DataFrame, outcomes: DataFrame, flag_col: str, value_col
                               F.sum(F.col("x") * F.col("_f")).alias("s_1"))
     mean = F.col("s") / n
     sd = F.sqrt(F.col("s2") / n - mean * mean)
+    if n1 == 0:
+        return a.select("feat", F.lit(None).cast("double").alias("z"))
     return a.select("feat", ((F.col("s_1") / n1 - mean) / F.nullif(sd, F.lit(0.0))).alias("z"))
 
 
@@ -200,15 +202,16 @@ def mediation_sobel(feats: DataFrame, data: DataFrame, x_col: str, y_col: str,
     cmm = F.col("smm") - F.col("sm") ** 2 / n
     cxm = F.col("sxm") - F.lit(t["sx"]) * F.col("sm") / n
     cmy = F.col("smy") - F.col("sm") * F.lit(t["sy"]) / n
-    pa = cxm / F.lit(cxx)
+    pa = cxm / F.nullif(F.lit(cxx), F.lit(0.0))
     sse_a = cmm - pa * cxm
-    se_a = F.sqrt(sse_a / (n - 2) / F.lit(cxx))
+    se_a = F.sqrt(sse_a / (n - 2) / F.nullif(F.lit(cxx), F.lit(0.0)))
     det = F.lit(cxx) * cmm - cxm * cxm
     pb = (F.lit(cxx) * cmy - cxm * F.lit(cxy)) / F.nullif(det, F.lit(0.0))
     pc_ = (cmm * F.lit(cxy) - cxm * cmy) / F.nullif(det, F.lit(0.0))
     sse = F.lit(cyy) - pb * cmy - pc_ * F.lit(cxy)
     se_b = F.sqrt(sse / (n - 3) * F.lit(cxx) / F.nullif(det, F.lit(0.0)))
-    c = cxy / cxx
-    sobel = pa * pb / F.sqrt(pb * pb * se_a * se_a + pa * pa * se_b * se_b)
-    return a.select("feat", pa.alias("a"), pb.alias("b"), pc_.alias("c_prime"), F.lit(c).alias("c"),
-                    sobel.alias("sobel_z"), (pa * pb / F.lit(c)).alias("prop_mediated"))
+    c = cxy / cxx if cxx else None
+    sobel = pa * pb / F.nullif(F.sqrt(pb * pb * se_a * se_a + pa * pa * se_b * se_b), F.lit(0.0))
+    cl = F.lit(c).cast("double")
+    return a.select("feat", pa.alias("a"), pb.alias("b"), pc_.alias("c_prime"), cl.alias("c"),
+                    sobel.alias("sobel_z"), (pa * pb / F.nullif(cl, F.lit(0.0))).alias("prop_mediated"))
