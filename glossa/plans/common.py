@@ -13,12 +13,33 @@ def rnd(c, k: int = 6):
     return F.round(c if not isinstance(c, str) else F.col(c), k)
 
 
+_STORE: dict = {}
+
+
+def stored(spark, key: tuple, build):
+    """Feature-table store: a derived table is written once (parquet in the
+    session's checkpoint folder) and later queries of the same session read
+    it, as feature tables are extracted once and analysed many times."""
+    import os
+    k = (spark.sparkContext.applicationId,) + key
+    hit = _STORE.get(k)
+    if hit is not None:
+        path, df = hit
+        if not path.startswith("/") or os.path.exists(path):   # a local path that vanished is rebuilt
+            return df
+    from glossa.operators.ranks import materialize
+    df = materialize(build())
+    path = df.inputFiles()[0].split("file:", 1)[-1].rsplit("/", 1)[0] if df.inputFiles() else ""
+    _STORE[k] = (path, df)
+    return df
+
+
 def doc_unigrams(spark, sf_dir, n: int = 1):
-    return ngram_feats(src.messages_by_doc(spark, sf_dir), n)
+    return stored(spark, ("doc_ngrams", sf_dir, n), lambda: ngram_feats(src.messages_by_doc(spark, sf_dir), n))
 
 
 def source_unigrams(spark, sf_dir, n: int = 1):
-    return ngram_feats(src.messages_by_source(spark, sf_dir), n)
+    return stored(spark, ("source_ngrams", sf_dir, n), lambda: ngram_feats(src.messages_by_source(spark, sf_dir), n))
 
 
 def doc_wide(spark, sf_dir):

@@ -9,7 +9,7 @@ from glossa.operators import feats as FE
 from glossa.operators import folds as FO
 from glossa.operators.ranks import global_rank, top_k_per_key
 from glossa.plans import sqlfrag as S
-from glossa.plans.common import rnd
+from glossa.plans.common import rnd, doc_unigrams, source_unigrams
 from glossa.plans.q_text import _ORDER_FEATS_SQL
 from glossa.plans.registry import register
 from glossa.sources import tables as src
@@ -87,7 +87,7 @@ SELECT cf.group_id, cf.feat, voc.idx, round(cf.group_norm, 6) AS group_norm FROM
 def q_align_vocab(spark, sf_dir):
     """Conversation 1-grams aligned to a training vocabulary (top 300 document
     1-grams by group count): unseen features dropped, indices attached."""
-    feats = FE.ngram_feats(src.messages_by_doc(spark, sf_dir), 1)
+    feats = doc_unigrams(spark, sf_dir)
     st = feats.groupBy("feat").agg(F.count(F.lit(1)).alias("ng"))
     top = st.orderBy(F.col("ng").desc(), F.col("feat")).limit(300)
     vocab = global_rank(top, [F.col("ng").desc(), F.col("feat")], "idx").withColumn("idx", F.col("idx") - 1)
@@ -102,7 +102,7 @@ SELECT 'intersect' AS kind, group_id FROM (SELECT group_id FROM lx INTERSECT SEL
 UNION ALL SELECT 'union', group_id FROM (SELECT group_id FROM lx UNION SELECT group_id FROM ng)""")
 def q_x_groups(spark, sf_dir):
     """Groups present in every feature table (intersection) and in any (union)."""
-    words = FE.ngram_feats(src.messages_by_doc(spark, sf_dir), 1)
+    words = doc_unigrams(spark, sf_dir)
     lex = FE.lexicon_feats(words, src.lexicon(spark)).select("group_id").distinct()
     frequent = words.groupBy("feat").count().where(F.col("count") >= 500).select("feat")
     common = words.join(frequent, "feat", "left_semi").select("group_id").distinct()

@@ -21,14 +21,16 @@ OUTCOMES = ["acctbal", "avg_price"]
 
 
 def customer_frame(spark, sf_dir, controls=CONTROLS, outcomes=OUTCOMES, k: int = 5):
+    from glossa.plans.common import stored
     o = src.customer_outcomes(spark, sf_dir)
     c = src.customer_controls(spark, sf_dir).select("group_id", *controls)
-    f = k_fold(o.select("group_id"), k)
+    f = stored(spark, ("customer_folds", sf_dir, k), lambda: k_fold(o.select("group_id"), k))
     return o.select("group_id", *outcomes).join(c, "group_id").join(f, "group_id")
 
 
 def customer_design(spark, sf_dir, controls=CONTROLS, outcomes=OUTCOMES, feat_col="p_brand"):
-    feats = src.order_feats(spark, sf_dir, feat_col)
+    from glossa.plans.common import stored
+    feats = stored(spark, ("order_feats", sf_dir, feat_col), lambda: src.order_feats(spark, sf_dir, feat_col))
     frame = customer_frame(spark, sf_dir, controls, outcomes).na.drop()
     vocab, design = GR.build_design(feats, frame, controls, outcomes)
     rows = GR.design_rows(feats, vocab, frame, controls, outcomes)

@@ -9,7 +9,7 @@ from glossa.operators import feats as FE
 from glossa.operators import refine as R
 from glossa.operators import scalar as SC
 from glossa.plans import sqlfrag as S
-from glossa.plans.common import _DOC_WIDE, doc_wide, rnd
+from glossa.plans.common import _DOC_WIDE, doc_wide, rnd, doc_unigrams, source_unigrams
 from glossa.plans.q_stats import _SLICE_CTES, flagship
 from glossa.plans.q_text import _FEAT_SEL, _ORDER_FEATS_SQL, _feat_out, _lex_terms_sql
 from glossa.plans.registry import register
@@ -50,7 +50,7 @@ def q_into_classes(spark, sf_dir):
 @register("group_freq_thresh", f"""WITH {S.feat_ctes('documents', 'doc_id')}
 {_FEAT_SEL} FROM f WHERE group_id IN (SELECT group_id FROM f GROUP BY group_id HAVING sum(value) > 500)""")
 def q_group_freq_thresh(spark, sf_dir):
-    return _feat_out(R.group_freq_thresh(FE.ngram_feats(src.messages_by_doc(spark, sf_dir), 1), 500))
+    return _feat_out(R.group_freq_thresh(doc_unigrams(spark, sf_dir), 500))
 
 
 _WHERE = "lang = 'en' AND n_chars > 1000"
@@ -59,7 +59,7 @@ _WHERE = "lang = 'en' AND n_chars > 1000"
 @register("groups_where", f"""WITH {S.feat_ctes('documents', 'doc_id')}
 {_FEAT_SEL} FROM f WHERE group_id IN (SELECT doc_id FROM documents WHERE {_WHERE})""")
 def q_groups_where(spark, sf_dir):
-    feats = FE.ngram_feats(src.messages_by_doc(spark, sf_dir), 1)
+    feats = doc_unigrams(spark, sf_dir)
     groups = src.table(spark, sf_dir, "documents").where(F.expr(_WHERE)).select(F.col("doc_id").alias("group_id"))
     return _feat_out(feats.join(groups, "group_id", "left_semi"))
 
@@ -86,7 +86,7 @@ FROM f WHERE feat IN ({_lex_terms_sql()})
 UNION ALL
 SELECT 'black', group_id, feat, round(value, 6), round(group_norm, 6) FROM f WHERE feat NOT IN ({_lex_terms_sql()})""")
 def q_white_blacklist(spark, sf_dir):
-    feats = FE.ngram_feats(src.messages_by_source(spark, sf_dir), 1)
+    feats = source_unigrams(spark, sf_dir)
     terms = src.lexicon(spark).where(F.col("term") != "_intercept").select(F.col("term").alias("feat"))
     w = _feat_out(R.white_blacklist(feats, terms, "white")).withColumn("mode", F.lit("white"))
     b = _feat_out(R.white_blacklist(feats, terms, "black")).withColumn("mode", F.lit("black"))
@@ -178,7 +178,7 @@ mo AS (SELECT feat, sum(group_norm) / (SELECT n FROM ng) AS mean,
 SELECT group_id, ff.feat, round(group_norm, 6) AS group_norm, round((group_norm - mean) / nullif(sd, 0), 6) AS feat_norm
 FROM ff JOIN mo ON ff.feat = mo.feat""")
 def q_feat_norms(spark, sf_dir):
-    feats = FE.ngram_feats(src.messages_by_doc(spark, sf_dir), 1)
+    feats = doc_unigrams(spark, sf_dir)
     n = feats.select("group_id").distinct().count()
     kept = R.feat_occ_filter(feats, 0.05, n_groups=n)
     out = R.feat_norms(kept, n_groups=n)
@@ -268,7 +268,7 @@ c AS (SELECT d.source AS group_id, f.feat, sum(f.value) AS value FROM f JOIN doc
       GROUP BY d.source, f.feat)
 {_FEAT_SEL} FROM (SELECT group_id, feat, value, value / sum(value) OVER (PARTITION BY group_id) AS group_norm FROM c)""")
 def q_aggregate_group(spark, sf_dir):
-    feats = FE.ngram_feats(src.messages_by_doc(spark, sf_dir), 1)
+    feats = doc_unigrams(spark, sf_dir)
     mapping = src.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("group_id"),
                                                            F.col("source").alias("new_group_id"))
     return _feat_out(R.aggregate_by_new_group(feats, mapping))
@@ -281,7 +281,7 @@ a AS (SELECT outcome_value, feat, sum(value) AS value, sum(group_norm) AS gn FRO
       GROUP BY outcome_value, feat)
 SELECT a.outcome_value, feat, round(value, 6) AS value, round(gn / n, 6) AS group_norm FROM a JOIN sz USING (outcome_value)""")
 def q_group_by_outcome(spark, sf_dir):
-    feats = FE.ngram_feats(src.messages_by_doc(spark, sf_dir), 1)
+    feats = doc_unigrams(spark, sf_dir)
     g = R.group_by_outcome(feats, src.label_outcomes(spark, sf_dir), "quality")
     return g.select("outcome_value", "feat", rnd("value").alias("value"), rnd("group_norm").alias("group_norm"))
 
@@ -306,7 +306,7 @@ b AS (SELECT CAST(CASE WHEN group_id < 0 THEN 0 WHEN group_id >= 1000 THEN 11
 c AS (SELECT group_id, feat, sum(value) AS value FROM b GROUP BY group_id, feat)
 {_FEAT_SEL} FROM (SELECT group_id, feat, value, value / sum(value) OVER (PARTITION BY group_id) AS group_norm FROM c)""")
 def q_flexibin(spark, sf_dir):
-    feats = FE.ngram_feats(src.messages_by_doc(spark, sf_dir), 1)
+    feats = doc_unigrams(spark, sf_dir)
     return _feat_out(R.flexibin(feats, 10, 0.0, 1000.0))
 
 
@@ -348,7 +348,7 @@ v AS (SELECT 'identity' AS func, group_id, feat, group_norm AS gn FROM f
 SELECT func, group_id, feat, round(gn, 6) AS group_norm FROM v""")
 def q_value_funcs(spark, sf_dir):
     from glossa.functions.values import VALUE_FUNCS
-    feats = FE.ngram_feats(src.messages_by_source(spark, sf_dir), 1)
+    feats = source_unigrams(spark, sf_dir)
     out = None
     for fn in VALUE_FUNCS:
         t = FE.apply_value_func(feats, fn).select(F.lit(fn).alias("func"), "group_id", "feat", rnd("group_norm").alias("group_norm"))
@@ -366,7 +366,7 @@ a AS (SELECT a0.group_id, feat, v / tot AS gn FROM a0 JOIN tot ON a0.group_id =
 SELECT 'log' AS func, group_id, feat, round(log2(gn + 1), 6) AS group_norm FROM a
 UNION ALL SELECT 'sqrt', group_id, feat, round(sqrt(gn), 6) FROM a""")
 def q_lex_value_funcs(spark, sf_dir):
-    words = FE.ngram_feats(src.messages_by_doc(spark, sf_dir), 1)
+    words = doc_unigrams(spark, sf_dir)
     out = None
     for fn in ("log", "sqrt"):
         t = FE.lexicon_feats(words, src.lexicon(spark), vfunc=fn)

@@ -9,7 +9,7 @@ from glossa.operators import feats as FE
 from glossa.operators import messages as M
 from glossa.operators.refine import feat_occ_filter, ngram_pmi
 from glossa.plans import sqlfrag as S
-from glossa.plans.common import rnd
+from glossa.plans.common import rnd, doc_unigrams, source_unigrams
 from glossa.plans.registry import register
 from glossa.sources import tables as src
 
@@ -267,7 +267,7 @@ def q_char_ngrams(spark, sf_dir):
 
 def _lex_query(weighted):
     def q(spark, sf_dir):
-        words = FE.ngram_feats(src.messages_by_doc(spark, sf_dir), 1)
+        words = doc_unigrams(spark, sf_dir)
         return _feat_out(FE.lexicon_feats(words, src.lexicon(spark), weighted=weighted))
     return q
 
@@ -325,7 +325,7 @@ def q_pnames(spark, sf_dir):
     """Name features: 1-grams in a names list (the words of the benchmark
     items stand in for a names lexicon) minus a common-word list (the
     English lexicon category)."""
-    words = FE.ngram_feats(src.messages_by_doc(spark, sf_dir), 1)
+    words = doc_unigrams(spark, sf_dir)
     names = src.table(spark, sf_dir, "benchmark").select(F.explode(tokens("text")).alias("feat"))
     english = src.lexicon(spark).where(F.col("category") == "func_en").select(F.col("term").alias("feat"))
     out = words.join(names.distinct(), "feat", "left_semi").join(english, "feat", "left_anti")
@@ -352,7 +352,7 @@ df AS (SELECT feat, count(*) AS df FROM f GROUP BY feat)
 {_FEAT_SEL} FROM (SELECT group_id, f.feat, value, group_norm * ln((SELECT n FROM n) / df) AS group_norm
                   FROM f JOIN df ON f.feat = df.feat)""")
 def q_tf_idf(spark, sf_dir):
-    return _feat_out(FE.tf_idf(FE.ngram_feats(src.messages_by_doc(spark, sf_dir), 1)))
+    return _feat_out(FE.tf_idf(doc_unigrams(spark, sf_dir)))
 
 
 @register("colloc_feats", f"""WITH {S.feat_ctes('documents', 'source', 1, 'w')},
@@ -394,7 +394,7 @@ ng AS (SELECT count(DISTINCT group_id) AS n FROM f),
 keep AS (SELECT feat FROM f GROUP BY feat HAVING count(*) >= 0.05 * (SELECT n FROM ng) AND sum(value) >= 20)
 {_FEAT_SEL} FROM f WHERE feat IN (SELECT feat FROM keep)""")
 def q_feat_occ_filter(spark, sf_dir):
-    feats = FE.ngram_feats(src.messages_by_doc(spark, sf_dir), 1)
+    feats = doc_unigrams(spark, sf_dir)
     return _feat_out(feat_occ_filter(feats, 0.05, min_feat_sum=20))
 
 
@@ -403,7 +403,7 @@ st AS (SELECT feat, count(*) AS ng FROM f GROUP BY feat),
 keep AS (SELECT feat FROM st ORDER BY ng DESC, feat ASC LIMIT 300)
 {_FEAT_SEL} FROM f WHERE feat IN (SELECT feat FROM keep)""")
 def q_feat_occ_topn(spark, sf_dir):
-    feats = FE.ngram_feats(src.messages_by_doc(spark, sf_dir), 1)
+    feats = doc_unigrams(spark, sf_dir)
     return _feat_out(feat_occ_filter(feats, 300))
 
 
