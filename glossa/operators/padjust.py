@@ -24,8 +24,9 @@ def p_adjust(df: DataFrame, method: str = "BH", p_col: str = "p", by: str = "out
 def p_adjust_many(df: DataFrame, methods: dict, p_col: str = "p", by: str = "outcome",
                   order_col: str = "feat") -> DataFrame:
     """Several corrections ``{out_col: method}`` sharing one ranking pass."""
-    m = df.groupBy(by).agg(F.count(F.lit(1)).cast("double").alias("_m"))
-    d = rank_within(df, [by], [F.col(p_col), F.col(order_col)], "_i").join(F.broadcast(m), by)
+    r = rank_within(df, [by], [F.col(p_col), F.col(order_col)], "_i")   # reads its pinned copy
+    m = r.groupBy(by).agg(F.count(F.lit(1)).cast("double").alias("_m"))   # one row per outcome
+    d = r.join(F.broadcast(m), by)
     d = d.withColumn("_i", F.col("_i").cast("double"))
     for out_col, method in methods.items():
         d = _one(d, method, p_col, by, order_col, out_col)
