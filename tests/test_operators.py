@@ -165,3 +165,19 @@ def test_auc_boot_replicate_zero_equals_auc(spark):
     b = auc_boot(feats, lab, "quality", groups, reps=3).toPandas().set_index("feat")
     for f in b.index:
         assert abs(a.loc[f, "auc"] - b.loc[f, "auc"]) < 1e-9
+
+
+def test_running_extremes_and_sums_match_pandas(spark):
+    from glossa.operators.ranks import running_extreme, running_sum
+    rng = np.random.default_rng(1)
+    pdf = pd.DataFrame({"k": rng.choice(["a", "b", "c"], 500), "o": rng.permutation(500).astype(float),
+                        "v": rng.normal(size=500)})
+    df = spark.createDataFrame(pdf).repartition(7)
+    s = pdf.sort_values(["k", "o"])
+    got = running_extreme(df, ["k"], [F.col("o")], "v", "max", "prefix", "r").toPandas().sort_values(["k", "o"])
+    assert np.allclose(got["r"].to_numpy(), s.groupby("k")["v"].cummax().to_numpy())
+    got = running_extreme(df, ["k"], [F.col("o")], "v", "min", "suffix", "r").toPandas().sort_values(["k", "o"])
+    want = s.iloc[::-1].groupby("k")["v"].cummin().iloc[::-1]
+    assert np.allclose(got["r"].to_numpy(), want.to_numpy())
+    got = running_sum(df, ["k"], [F.col("o")], "v", "c", inclusive=False).toPandas().sort_values(["k", "o"])
+    assert np.allclose(got["c"].to_numpy(), (s.groupby("k")["v"].cumsum() - s["v"]).to_numpy())
