@@ -35,6 +35,7 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
         b = b.config(k, v)
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    ship_package(spark)
     return spark
 
 
@@ -59,3 +60,24 @@ def local_fallback_dir() -> str:
     """Scratch folder for local runs only (never used when the cluster names one)."""
     import tempfile
     return tempfile.mkdtemp(prefix="glossa-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
+
+
+_SHIPPED: set = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``glossa`` importable by the Python workers of this application
+    (pandas UDFs and ``mapInPandas`` functions reference it): the package is
+    zipped once and distributed with ``addPyFile``."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    import shutil
+    import tempfile
+    import glossa
+    pkg = os.path.dirname(os.path.abspath(glossa.__file__))
+    out = tempfile.mkdtemp(prefix="glossa-pyfiles-")
+    archive = shutil.make_archive(os.path.join(out, "glossa"), "zip", root_dir=os.path.dirname(pkg),
+                                  base_dir="glossa")
+    sc.addPyFile(archive)
+    _SHIPPED.add(sc.applicationId)
