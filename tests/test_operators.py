@@ -181,3 +181,60 @@ def test_running_extremes_and_sums_match_pandas(spark):
     assert np.allclose(got["r"].to_numpy(), want.to_numpy())
     got = running_sum(df, ["k"], [F.col("o")], "v", "c", inclusive=False).toPandas().sort_values(["k", "o"])
     assert np.allclose(got["c"].to_numpy(), (s.groupby("k")["v"].cumsum() - s["v"]).to_numpy())
+
+
+def test_auc_matches_rank_sum(spark):
+    from glossa.operators.stats import auc
+    feats, lab, groups, X, lp = _dense(spark)
+    got = auc(feats, lab, ["toxic"], groups).toPandas().set_index("feat")
+    y = lp["toxic"].to_numpy()
+    n1, n0 = y.sum(), len(y) - y.sum()
+    for feat in X.columns:
+        r = X[feat].rank().to_numpy()
+        want = (r[y == 1].sum() - n1 * (n1 + 1) / 2) / (n1 * n0)
+        assert abs(got.loc[feat, "auc"] - want) < 1e-9
+
+
+def test_sobel_matches_numpy_regressions(spark):
+    from glossa.operators.stats import mediation_sobel
+    o = src.order_feats(spark, SF_SMALL)
+    ctl = src.customer_controls(spark, SF_SMALL).select("group_id", "n_orders")
+    data = (src.table(spark, SF_SMALL, "customer").select(F.col("c_custkey").alias("group_id"), F.col("c_acctbal").alias("y"))
+            .join(ctl, "group_id").where(F.col("n_orders") > 0))
+    got = mediation_sobel(o, data, "n_orders", "y").toPandas().set_index("feat")
+    dp = data.toPandas().set_index("group_id").sort_index()
+    M = o.toPandas().pivot_table(index="group_id", columns="feat", values="group_norm", aggfunc="sum").reindex(dp.index).fillna(0.0)
+    x, y = dp["n_orders"].to_numpy(), dp["y"].to_numpy()
+    n = len(y)
+    for feat in list(M.columns)[:6]:
+        m = M[feat].to_numpy()
+        A1 = np.column_stack([np.ones(n), x])
+        a_coef, res_a = np.linalg.lstsq(A1, m, rcond=None)[:2]
+        A2 = np.column_stack([np.ones(n), x, m])
+        b_coef = np.linalg.lstsq(A2, y, rcond=None)[0]
+        sa = np.sqrt(((m - A1 @ a_coef) ** 2).sum() / (n - 2) * np.linalg.inv(A1.T @ A1)[1, 1])
+        sb = np.sqrt(((y - A2 @ b_coef) ** 2).sum() / (n - 3) * np.linalg.inv(A2.T @ A2)[2, 2])
+        a, b = a_coef[1], b_coef[2]
+        z = a * b / np.sqrt(b * b * sa * sa + a * a * sb * sb)
+        assert abs(got.loc[feat, "a"] - a) < 1e-8 * max(1, abs(a))
+        assert abs(got.loc[feat, "b"] - b) < 1e-6 * max(1, abs(b))
+        assert abs(got.loc[feat, "sobel_z"] - z) < 1e-6 * max(1, abs(z))
+
+
+def test_idp_matches_formula(spark):
+    from glossa.operators.stats import idp
+    feats, lab, groups, X, lp = _dense(spark)
+    got = idp(feats, lab, "quality").toPandas().set_index("feat")
+    fp = feats.toPandas()
+    a = fp.groupby("feat")["value"].sum()
+    a0 = fp["value"].sum()
+    q = lp["quality"]
+    g1, g2 = set(q[q == 1].index), set(q[q == 0].index)
+    s1 = fp[fp.group_id.isin(g1)]
+    s2 = fp[fp.group_id.isin(g2)]
+    n1, n2 = s1["value"].sum(), s2["value"].sum()
+    y1 = s1.groupby("feat")["value"].sum().reindex(a.index).fillna(0)
+    y2 = s2.groupby("feat")["value"].sum().reindex(a.index).fillna(0)
+    d = np.log((y1 + a) / (n1 + a0 - y1 - a)) - np.log((y2 + a) / (n2 + a0 - y2 - a))
+    z = d / np.sqrt(1 / (y1 + a) + 1 / (y2 + a))
+    assert np.allclose(got.loc[a.index, "delta"], d) and np.allclose(got.loc[a.index, "z"], z)
