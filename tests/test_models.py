@@ -115,3 +115,33 @@ def test_ridge_infinite_alpha_is_mean(setup):
     G = d.total()
     c = RG.ridge_from_gram(G, list(range(1, d.p + 1)), d.index("acctbal"), 1e12)
     assert abs(c[0] - fr["acctbal"].mean()) < 1e-4
+
+
+def test_pcr_with_all_components_equals_ridge(spark, setup):
+    from glossa.operators.reduce import pcr_ridge_cv
+    d, rows, fr, X = setup
+    got = pcr_ridge_cv(d, rows, "acctbal", shares=(1.0,)).toPandas()
+    for k in d.folds:
+        mid = got[got.fold == k]["model_id"].iloc[0]
+        alpha = float(mid.split("alpha=")[1])
+        c = RG.ridge_from_gram(d.total(exclude=k), list(range(1, d.p + 1)), d.index("acctbal"), alpha)
+        te = fr["fold"].to_numpy() == k
+        want = c[0] + X[te] @ c[1:1 + d.p]
+        g = got[got.fold == k].set_index("group_id").reindex(fr.index[te])["yhat"].to_numpy()
+        assert np.allclose(g, want, rtol=1e-6, atol=1e-6)
+
+
+def test_cca_first_correlation_matches_numpy(spark, setup):
+    from glossa.operators.reduce import cca_scores
+    d, rows, fr, X = setup
+    got = cca_scores(d, rows, n_comp=1, reg=1e-3).toPandas()
+    Y = fr[CONTROLS + OUTCOMES].to_numpy()
+    Xc, Yc = X - X.mean(0), Y - Y.mean(0)
+    sxx, syy, sxy = Xc.T @ Xc / len(X), Yc.T @ Yc / len(Y), Xc.T @ Yc / len(X)
+
+    def isq(s):
+        s = s + 1e-3 * np.trace(s) / len(s) * np.eye(len(s))
+        w, v = np.linalg.eigh(s)
+        return v @ np.diag(1 / np.sqrt(w)) @ v.T
+    s = np.linalg.svd(isq(sxx) @ sxy @ isq(syy), compute_uv=False)
+    assert abs(got["canon_r"].iloc[0] - s[0]) < 1e-6
