@@ -238,3 +238,40 @@ def test_idp_matches_formula(spark):
     d = np.log((y1 + a) / (n1 + a0 - y1 - a)) - np.log((y2 + a) / (n2 + a0 - y2 - a))
     z = d / np.sqrt(1 / (y1 + a) + 1 / (y2 + a))
     assert np.allclose(got.loc[a.index, "delta"], d) and np.allclose(got.loc[a.index, "z"], z)
+
+
+def test_tfidf_vectorizer_matches_pandas(spark):
+    import re
+    from collections import Counter
+    from glossa.operators.feats import ACCENTED, UNACCENTED, english_stop_words, tfidf_vectorizer
+    msgs = src.messages_by_source(spark, SF_SMALL)
+    got = tfidf_vectorizer(msgs).toPandas()
+    stop = set(english_stop_words(spark))
+    table = str.maketrans(ACCENTED, UNACCENTED)
+    docs = {}
+    for r in msgs.toPandas().itertuples(index=False):
+        t = [w for w in re.findall(r"[^\W_]{2,}", r.message.lower().translate(table)) if w not in stop]
+        docs.setdefault(r.group_id, []).append(t)
+    tf = {}
+    for g, lists in docs.items():
+        c = Counter()
+        for t in lists:
+            for n in (1, 2, 3):
+                c.update(" ".join(t[i:i + n]) for i in range(len(t) - n + 1))
+        tf[g] = c
+    n_docs = len(tf)
+    df = Counter(f for c in tf.values() for f in c)
+    ctf = Counter()
+    for c in tf.values():
+        ctf.update(c)
+    vocab = [f for f in df if 0.2 * n_docs <= df[f] <= 0.8 * n_docs]
+    vocab = set(sorted(vocab, key=lambda f: (-ctf[f], f))[:200000])
+    rows = []
+    for g, c in tf.items():
+        w = {f: v * (np.log((1 + n_docs) / (1 + df[f])) + 1) for f, v in c.items() if f in vocab}
+        norm = np.sqrt(sum(x * x for x in w.values()))
+        rows += [(g, f, c[f], x / norm) for f, x in w.items()]
+    want = pd.DataFrame(rows, columns=["group_id", "feat", "value", "group_norm"])
+    m = got.merge(want, on=["group_id", "feat"], suffixes=("_g", "_w"))
+    assert len(m) == len(want) == len(got)
+    assert np.allclose(m["group_norm_g"], m["group_norm_w"]) and np.allclose(m["value_g"], m["value_w"])
