@@ -145,3 +145,27 @@ def test_cca_first_correlation_matches_numpy(spark, setup):
         return v @ np.diag(1 / np.sqrt(w)) @ v.T
     s = np.linalg.svd(isq(sxx) @ sxy @ isq(syy), compute_uv=False)
     assert abs(got["canon_r"].iloc[0] - s[0]) < 1e-6
+
+
+def test_adjusted_outcomes_match_numpy(spark, setup):
+    d, rows, fr, X = setup
+    got = RG.adjust_outcomes(d, rows, "acctbal").toPandas().set_index("group_id").reindex(fr.index)
+    y = fr["acctbal"].to_numpy()
+    C = np.column_stack([np.ones(len(fr)), fr[CONTROLS].to_numpy()])
+    want = np.zeros(len(fr))
+    for k in d.folds:
+        te = fr["fold"].to_numpy() == k
+        b = np.linalg.lstsq(C[~te], y[~te], rcond=None)[0]
+        want[te] = y[te] - C[te] @ b + y.mean()
+    assert np.allclose(got["adjusted"].to_numpy(), want, rtol=1e-6, atol=1e-6)
+
+
+def test_multiple_regression_matches_pinv(setup):
+    from glossa.operators.reduce import multiple_regression
+    d, rows, fr, X = setup
+    res = pd.DataFrame(multiple_regression(d), columns=["outcome", "term", "coef", "se", "t"])
+    A = np.column_stack([np.ones(len(fr)), X])
+    for o in OUTCOMES:
+        b = np.linalg.pinv(A.T @ A) @ (A.T @ fr[o].to_numpy())
+        got = res[res.outcome == o]["coef"].to_numpy()
+        assert np.allclose(got, b, rtol=1e-6, atol=1e-6)
