@@ -80,3 +80,14 @@ def remainder5(key: Column) -> Column:
 
 def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, UPPER.lower())
+
+
+def spread_join(big: DataFrame, small: DataFrame, on: list[str], by: list[str], how: str = "left",
+                salts: int = 16) -> DataFrame:
+    """Join in which a key with a large share of ``big`` is dealt over
+    ``salts`` tasks (by a hash of ``by``); ``small`` has few rows for each key
+    and is repeated ``salts`` times."""
+    s, = fresh(big, "_salt")
+    b = big.withColumn(s, F.pmod(F.xxhash64(*by), F.lit(salts)).cast("int"))
+    k = small.withColumn(s, F.explode(F.array(*[F.lit(i) for i in range(salts)])))
+    return b.join(k, [*on, s], how).drop(s)

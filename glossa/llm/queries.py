@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from glossa.llm import linededup, mixing, urlrep
+from glossa.llm import embdedup, linededup, minhash, mixing, urlrep
 from glossa.llm.common import read, ship_package
 
 QUERIES = {}
@@ -98,6 +98,39 @@ def host_reputation(spark, sf_dir):
     return urlrep.judge_urls(p, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+@query("op3_subspace_join", """
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+n AS (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS n FROM v),
+pairs AS (SELECT a.vec_id AS a, b.vec_id AS b FROM n a JOIN n b ON a.vec_id <> b.vec_id
+          WHERE list_dot_product(a.e, b.e) / (a.n * b.n) >= 0.95),
+reach(id, r) AS (SELECT vec_id, vec_id FROM v UNION SELECT reach.id, pairs.b FROM reach JOIN pairs ON pairs.a = reach.r),
+comp AS (SELECT id, min(r) AS c FROM reach GROUP BY id)
+SELECT v.vec_id, (SELECT count(*) FROM pairs WHERE pairs.a = v.vec_id) AS n_links, c AS component_id,
+       v.vec_id = c AS kept FROM v JOIN comp ON comp.id = v.vec_id""")
+def subspace_join(spark, sf_dir):
+    """Links and component of every vector at cosine 0.95."""
+    return embdedup.near_duplicates(read(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+@query("op10_hamming_index", """
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, sh FROM (
+        SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+          ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END) AS sh FROM w)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+i AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+pairs AS (SELECT a, b FROM i JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+reach(id, r) AS (SELECT doc_id, doc_id FROM documents UNION SELECT reach.id, pairs.b FROM reach JOIN pairs ON pairs.a = reach.r),
+comp AS (SELECT id, min(r) AS c FROM reach GROUP BY id)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c AS component_id, d.doc_id = c AS kept
+FROM documents d JOIN comp ON comp.id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id""")
+def hamming_index(spark, sf_dir):
+    """Near-duplicate components of all documents on four-word shingles."""
+    return minhash.near_duplicates(read(spark, sf_dir, "documents").select("doc_id", "text"), width=4)
+
+
 @query("op8_pfair_mix")
 def pfair_mix(spark, sf_dir):
     """Slot and position of every document; target weights go with the square root of the sources' sizes."""
