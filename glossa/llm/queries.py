@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from glossa.llm import embdedup, linededup, minhash, mixing, urlrep
+from glossa.llm import decontam, embdedup, langid, linededup, minhash, mixing, toxicity, urlrep
 from glossa.llm.common import read, ship_package
 
 QUERIES = {}
@@ -136,3 +136,24 @@ def pfair_mix(spark, sf_dir):
     """Slot and position of every document; target weights go with the square root of the sources' sizes."""
     d = read(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return mixing.mix(d).select("doc_id", "source", "block", "slot", "mix_position")
+
+
+@query("op1_output_codes")
+def output_codes(spark, sf_dir):
+    """Language of every whole text."""
+    d = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return langid.identify(d, langid.train(d))
+
+
+@query("op4_qgram_bands")
+def qgram_bands(spark, sf_dir):
+    """Documents that hold a benchmark passage, with the item and the stretch."""
+    return decontam.contaminated(read(spark, sf_dir, "documents").select("doc_id", "text"),
+                                 read(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
+@query("op7_factorization_machine")
+def factorization_machine(spark, sf_dir):
+    """Toxicity score of every whole text."""
+    d = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity.scores(d, toxicity.train(d, read(spark, sf_dir, "labels")))
