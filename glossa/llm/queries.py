@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from glossa.llm import decontam, embdedup, langid, linededup, minhash, mixing, toxicity, urlrep
+from glossa.llm import decontam, embdedup, langid, linededup, minhash, mixing, toxicity, urlrep, warc
 from glossa.llm.common import read, ship_package
 
 QUERIES = {}
@@ -157,3 +157,16 @@ def factorization_machine(spark, sf_dir):
     """Toxicity score of every whole text."""
     d = read(spark, sf_dir, "documents").select("doc_id", "text")
     return toxicity.scores(d, toxicity.train(d, read(spark, sf_dir, "labels")))
+
+
+@query("op6_arc_to_warc", """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha256(coalesce(html, '')) AS h FROM pages),
+f AS (SELECT h, min(page_id) AS first FROM p WHERE n >= 100 GROUP BY h)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, p.h AS payload_digest,
+       CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN first <> page_id THEN first END AS refers_to
+FROM p LEFT JOIN f ON f.h = p.h AND n >= 100""")
+def arc_to_warc(spark, sf_dir):
+    """Every page as a WARC record converted from ARC, read back."""
+    p = read(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return warc.page_records(p).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
