@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from glossa.llm import decontam, embdedup, langid, linededup, minhash, mixing, toxicity, urlrep, warc
+from glossa.llm import decontam, embdedup, langid, linededup, minhash, mixing, tokencount, toxicity, urlrep, warc
 from glossa.llm.common import read, ship_package
 
 QUERIES = {}
@@ -170,3 +170,18 @@ def arc_to_warc(spark, sf_dir):
     """Every page as a WARC record converted from ARC, read back."""
     p = read(spark, sf_dir, "pages").select("page_id", "url", "html")
     return warc.page_records(p).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+#: Where the rank file lies; personal data that the edits of the query replace.
+RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+PERSONAL = r"[A-Za-z0-9._]+@[A-Za-z0-9.]+[A-Za-z0-9]|\+\d+ \(\d+\) \d+-\d+|\b\d{16}\b|password=\S+"
+
+
+@query("op9_edit_counts")
+def edit_counts(spark, sf_dir):
+    """Tokens of every document before and after its personal data is replaced."""
+    ranks = tokencount.read_ranks(spark, RANKS)
+    d = read(spark, sf_dir, "documents").select("doc_id", "text")
+    d = d.withColumn("edits", tokencount.replacements(F.col("text"), PERSONAL, "[removed]"))
+    return tokencount.apply_edits(tokencount.token_trees(d, ranks), ranks).select(
+        "doc_id", "n_chars", "n_tokens", "n_edits", "tokens_after", "encoded_chars")
