@@ -42,16 +42,18 @@ def fold_strat(df: DataFrame, class_col: str, k: int = 5, seed: int = 1, key: st
     return r.select(key, class_col, ((F.col("rn") - 1) % k).cast("int").alias("fold"))
 
 
-def train_test_split(groups: DataFrame, test_share: float = 0.2, train_cap: int = 1_000_000,
+def train_test_split(groups: DataFrame, test_share: float = 0.2, train_cap: int | None = None,
                      seed: int = 1, key: str = "group_id") -> DataFrame:
-    """First ``round(test_share * n)`` groups in md5 order are test; the
-    training set is capped at ``train_cap`` groups by the same order."""
+    """First ``round(test_share * n)`` groups in md5 order are test, the others
+    train.  Only where the caller gives a ``train_cap``, groups beyond that many
+    in the same order are ``unused``."""
     g = groups.select(key).distinct().withColumn("_h", hash_order(key, seed))
     n = g.count()
     n_test = int(round(test_share * n))
     r = global_rank(g, [F.col("_h"), F.col(key)])
     split = (F.when(F.col("rn") <= n_test, F.lit("test"))
-             .when(F.col("rn") <= n_test + train_cap, F.lit("train")).otherwise(F.lit("unused")))
+             .when(F.lit(train_cap is None) | (F.col("rn") <= n_test + (train_cap or 0)), F.lit("train"))
+             .otherwise(F.lit("unused")))
     return r.select(key, split.alias("split"))
 
 

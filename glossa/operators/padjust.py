@@ -23,14 +23,20 @@ def p_adjust(df: DataFrame, method: str = "BH", p_col: str = "p", by: str = "out
 
 def p_adjust_many(df: DataFrame, methods: dict, p_col: str = "p", by: str = "outcome",
                   order_col: str = "feat") -> DataFrame:
-    """Several corrections ``{out_col: method}`` sharing one ranking pass."""
-    r = rank_within(df, [by], [F.col(p_col), F.col(order_col)], "_i")   # reads its pinned copy
+    """Several corrections ``{out_col: method}`` sharing one ranking pass.
+
+    A null p-value (a constant feature) is no test: it is left out of the
+    number of tests and of the ranking, and its corrected value is null."""
+    known = df.where(F.col(p_col).isNotNull())
+    absent = df.where(F.col(p_col).isNull())
+    r = rank_within(known, [by], [F.col(p_col), F.col(order_col)], "_i")   # reads its pinned copy
     m = r.groupBy(by).agg(F.count(F.lit(1)).cast("double").alias("_m"))   # one row per outcome
     d = r.join(F.broadcast(m), by)
     d = d.withColumn("_i", F.col("_i").cast("double"))
     for out_col, method in methods.items():
         d = _one(d, method, p_col, by, order_col, out_col)
-    return d.drop("_m", "_i")
+    d = d.drop("_m", "_i")
+    return d.unionByName(absent.withColumns({c: F.lit(None).cast("double") for c in methods}).select(*d.columns))
 
 
 def _one(d: DataFrame, method: str, p_col: str, by: str, order_col: str, out_col: str) -> DataFrame:

@@ -32,7 +32,10 @@ def materialize(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = checkpoint_dir(spark, local_fallback_dir())   # unset: tests / single-machine runs only
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        base = checkpoint_dir(spark, local_fallback_dir())   # tests / single-machine runs only
     path = f"{base.rstrip('/')}/glossa-{uuid.uuid4().hex}"
     df.write.mode("errorifexists").parquet(path)
     return spark.read.parquet(path)
@@ -67,11 +70,15 @@ def rank_within(df: DataFrame, class_cols, order_cols, out: str = "rn") -> DataF
 
 def average_rank(df: DataFrame, class_cols, value: str, out: str = "arank") -> DataFrame:
     """Average rank (ties share the mean of their positions) of ``value``
-    inside each class; ties are resolved with two aggregates, not windows."""
+    inside each class.  The distinct values are counted and summed up in
+    order, so a value shared by most rows is one row of the ranking; the join
+    back is split by the skew handling of the session.  Rows without a
+    value are left out."""
     keys = [class_cols] if isinstance(class_cols, str) else list(class_cols)
-    r = rank_within(df, keys, [F.col(value)], "_rn")
-    ties = r.groupBy(*keys, value).agg(((F.min("_rn") + F.max("_rn")) / 2.0).alias(out))
-    return r.drop("_rn").join(ties, keys + [value])
+    per = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).cast("double").alias("_c"))
+    below = running_sum(per, keys, [F.col(value)], "_c", "_below", inclusive=False)
+    ties = below.select(*keys, value, (F.col("_below") + (F.col("_c") + 1) / 2.0).alias(out))
+    return df.join(ties, keys + [value])
 
 
 def top_k_per_key(df: DataFrame, key, order_cols, k: int, salt_col: str | None = None,

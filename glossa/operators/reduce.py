@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from glossa.operators.ridge import RIDGE_ALPHAS, _centered, _score
 
 # Component shares searched by the principal-component ridge.
-PCR_SHARES = (0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0)
+PCR_SHARES = (0.01, 0.02154, 0.0464, 0.1, 0.2154, 0.464, 1.0)
 
 
 def _std_eig(G, xi, yi):

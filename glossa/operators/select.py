@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from glossa.functions.dist import f_pvalue
 
 # The alpha sweep of the family-wise selector.
-FWE_ALPHAS = (0.001, 0.01, 0.05, 0.1, 0.5, 1, 5, 10, 20, 30, 40, 60, 80, 100)
+FWE_ALPHAS = (0.25, 0.5, 1.0, 1.5, 2.0, 4.0, 5.0, 7.5, 10.0, 20.0, 30.0, 50.0, 100.0, 200.0)
 
 
 def f_stats(corrs: DataFrame) -> DataFrame:

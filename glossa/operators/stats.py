@@ -46,10 +46,11 @@ def _prep(feats, outcomes, outcome_cols, groups, value_col):
 
 def spearman(feats: DataFrame, outcomes: DataFrame, outcome_cols, groups: DataFrame | None = None,
              value_col: str = "group_norm") -> DataFrame:
-    """Spearman rho per (outcome, feature) with absent = 0 (values >= 0).
+    """Spearman rho per (outcome, feature) with absent = 0.
 
-    The zero block of size ``z = N - nnz`` has average rank ``(z+1)/2``;
-    present rows get ``z + their average rank among present rows``.
+    The zero block of size ``z = N - nnz`` stands after the ``neg`` negative
+    values, at average rank ``neg + (z+1)/2``; positive values rank ``z``
+    higher than among the present rows.
     """
     x, y = _prep(feats, outcomes, outcome_cols, groups, value_col)
     yr = average_rank(y, ["outcome"], "y", "ry")
@@ -58,15 +59,18 @@ def spearman(feats: DataFrame, outcomes: DataFrame, outcome_cols, groups: DataFr
     xy = x.join(yr.select("group_id", "outcome", "ry"), "group_id")
     xr = average_rank(xy, ["outcome", "feat"], "x", "rx")
     a = xr.groupBy("outcome", "feat").agg(
-        F.count(F.lit(1)).alias("nnz"), F.sum("rx").alias("s1"), F.sum(F.col("rx") ** 2).alias("s2"),
-        F.sum(F.col("rx") * F.col("ry")).alias("sxy"), F.sum("ry").alias("sy_nz"))
+        F.count(F.lit(1)).alias("nnz"), F.sum(F.col("rx") ** 2).alias("s2"),
+        F.sum(F.col("rx") * F.col("ry")).alias("sxy"), F.sum("ry").alias("sy_nz"),
+        F.count(F.when(F.col("x") < 0, 1)).alias("neg"), F.count(F.when(F.col("x") > 0, 1)).alias("pos"),
+        F.coalesce(F.sum(F.when(F.col("x") > 0, F.col("rx"))), F.lit(0.0)).alias("s1p"),
+        F.coalesce(F.sum(F.when(F.col("x") > 0, F.col("ry"))), F.lit(0.0)).alias("syp"))
     j = a.join(F.broadcast(ys), "outcome")
     n = F.col("n").cast("double")
     z = n - F.col("nnz")
-    r0 = (z + 1) / 2
+    r0 = F.col("neg") + (z + 1) / 2
     srx = n * (n + 1) / 2
-    srx2 = F.col("nnz") * z * z + 2 * z * F.col("s1") + F.col("s2") + z * r0 * r0
-    srxy = z * F.col("sy_nz") + F.col("sxy") + r0 * (F.col("sry") - F.col("sy_nz"))
+    srx2 = F.col("pos") * z * z + 2 * z * F.col("s1p") + F.col("s2") + z * r0 * r0
+    srxy = z * F.col("syp") + F.col("sxy") + r0 * (F.col("sry") - F.col("sy_nz"))
     num = n * srxy - srx * F.col("sry")
     den = F.sqrt((n * srx2 - srx * srx) * (n * F.col("sry2") - F.col("sry") ** 2))
     return j.select("outcome", "feat", (num / F.nullif(den, F.lit(0.0))).alias("rho"),
@@ -82,12 +86,13 @@ def auc(feats: DataFrame, outcomes: DataFrame, outcome_cols, groups: DataFrame |
     xr = average_rank(xy, ["outcome", "feat"], "x", "rx")
     a = xr.groupBy("outcome", "feat").agg(
         F.count(F.lit(1)).alias("nnz"), F.sum(F.col("rx") * F.col("y")).alias("s_pos"),
-        F.sum("y").alias("nnz_pos"))
+        F.sum("y").alias("nnz_pos"), F.count(F.when(F.col("x") < 0, 1)).alias("neg"),
+        F.coalesce(F.sum(F.when(F.col("x") > 0, F.col("y"))), F.lit(0.0)).alias("high_pos"))
     j = a.join(F.broadcast(ys), "outcome")
     n = F.col("n").cast("double")
     z = n - F.col("nnz")
-    r0 = (z + 1) / 2
-    r1 = z * F.col("nnz_pos") + F.col("s_pos") + (F.col("n1") - F.col("nnz_pos")) * r0
+    r0 = F.col("neg") + (z + 1) / 2       # the zero block, after the negative values
+    r1 = z * F.col("high_pos") + F.col("s_pos") + (F.col("n1") - F.col("nnz_pos")) * r0
     n1 = F.col("n1")
     n0 = n - n1
     auc_ = (r1 - n1 * (n1 + 1) / 2) / F.nullif(n1 * n0, F.lit(0.0))

@@ -97,14 +97,16 @@ def q_align_vocab(spark, sf_dir):
 
 @register("x_groups", f"""WITH {S.feat_ctes('documents', 'doc_id')},
 lx AS (SELECT DISTINCT group_id FROM f WHERE feat IN (SELECT term FROM {src.lexicon_values_sql()})),
-ng AS (SELECT DISTINCT group_id FROM f WHERE feat IN (SELECT feat FROM f GROUP BY feat HAVING count(*) >= 500))
+ng AS (SELECT DISTINCT group_id FROM f WHERE feat IN (SELECT feat FROM f GROUP BY feat HAVING count(*) >= 0.5 * (SELECT count(*) FROM documents)))
 SELECT 'intersect' AS kind, group_id FROM (SELECT group_id FROM lx INTERSECT SELECT group_id FROM ng)
 UNION ALL SELECT 'union', group_id FROM (SELECT group_id FROM lx UNION SELECT group_id FROM ng)""")
 def q_x_groups(spark, sf_dir):
     """Groups present in every feature table (intersection) and in any (union)."""
     words = doc_unigrams(spark, sf_dir)
     lex = FE.lexicon_feats(words, src.lexicon(spark)).select("group_id").distinct()
-    frequent = words.groupBy("feat").count().where(F.col("count") >= 500).select("feat")
+    # words of at least half of the documents
+    half = 0.5 * src.table(spark, sf_dir, "documents").count()
+    frequent = words.groupBy("feat").count().where(F.col("count") >= half).select("feat")
     common = words.join(frequent, "feat", "left_semi").select("group_id").distinct()
     return (lex.intersect(common).select(F.lit("intersect").alias("kind"), "group_id")
             .unionByName(lex.union(common).distinct().select(F.lit("union").alias("kind"), "group_id")))
@@ -164,11 +166,10 @@ def q_fold_strat(spark, sf_dir):
 
 
 @register("train_test_split", f"""WITH {_CUST_RN}
-SELECT group_id, CASE WHEN rn <= round(0.2 * n) THEN 'test' WHEN rn <= round(0.2 * n) + 1000 THEN 'train'
-  ELSE 'unused' END AS split FROM g""")
+SELECT group_id, CASE WHEN rn <= round(0.2 * n) THEN 'test' ELSE 'train' END AS split FROM g""")
 def q_train_test_split(spark, sf_dir):
-    """20 % test by md5 order; training set capped (1,000 groups here to exercise the cap)."""
-    return FO.train_test_split(_cust(spark, sf_dir), 0.2, train_cap=1000)
+    """20 % test by md5 order, all others train."""
+    return FO.train_test_split(_cust(spark, sf_dir), 0.2)
 
 
 @register("split3", f"""WITH {_CUST_RN}, t AS (SELECT round(0.2 * max(n)) AS nt, max(n) AS n FROM g)

@@ -136,6 +136,7 @@ def q_holdout_test(spark, sf_dir):
     feats = src.order_feats(spark, sf_dir)
     o = src.customer_outcomes(spark, sf_dir).select("group_id", *OUTCOMES).na.drop()
     sp = train_test_split(o.select("group_id"), 0.2)
+    sp = sp.where(F.col("split").isin("test", "train"))
     frame = o.join(sp, "group_id").withColumn("fold", F.when(F.col("split") == "test", 0).otherwise(1)).drop("split")
     vocab, d = GR.build_design(feats, frame, [], OUTCOMES)
     rows = GR.design_rows(feats, vocab, frame, [], OUTCOMES)

@@ -301,13 +301,14 @@ def q_combine_feats(spark, sf_dir):
 
 
 @register("flexibin", f"""WITH {S.feat_ctes('documents', 'doc_id')},
-b AS (SELECT CAST(CASE WHEN group_id < 0 THEN 0 WHEN group_id >= 1000 THEN 11
-             ELSE floor((group_id - 0.0) * 10 / 1000.0) + 1 END AS BIGINT) AS group_id, feat, value FROM f),
+e AS (SELECT min(doc_id) AS lo, max(doc_id) + 1 AS hi FROM documents),
+b AS (SELECT CAST(floor((group_id - lo) * 10 / CAST(hi - lo AS DOUBLE)) + 1 AS BIGINT) AS group_id, feat, value FROM f, e),
 c AS (SELECT group_id, feat, sum(value) AS value FROM b GROUP BY group_id, feat)
 {_FEAT_SEL} FROM (SELECT group_id, feat, value, value / sum(value) OVER (PARTITION BY group_id) AS group_norm FROM c)""")
 def q_flexibin(spark, sf_dir):
     feats = doc_unigrams(spark, sf_dir)
-    return _feat_out(R.flexibin(feats, 10, 0.0, 1000.0))
+    e = src.table(spark, sf_dir, "documents").agg(F.min("doc_id"), F.max("doc_id") + 1).first()
+    return _feat_out(R.flexibin(feats, 10, float(e[0]), float(e[1])))
 
 
 _YEARS = list(range(1995, 2002))
