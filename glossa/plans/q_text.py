@@ -62,9 +62,10 @@ def q_load_controls(spark, sf_dir):
 
 
 @register("concat_split_text", """
-SELECT lower(role) AS split, conv_id AS uid, CAST(turn // 1000 AS BIGINT) AS chunk,
-       string_agg(text, ' ' ORDER BY turn) AS text
-FROM conversations GROUP BY lower(role), conv_id, turn // 1000""")
+SELECT split, uid, chunk, string_agg(text, ' ' ORDER BY turn) AS text FROM (
+  SELECT lower(role) AS split, conv_id AS uid, turn, text,
+         CAST((row_number() OVER (PARTITION BY lower(role), conv_id ORDER BY turn) - 1) // 1000 AS BIGINT) AS chunk
+  FROM conversations) GROUP BY split, uid, chunk""")
 def q_concat_split_text(spark, sf_dir):
     """(uid, split, text) rows -> text concatenated per (split, uid); the split
     label is lower-cased.  Uses conversation roles as the split column."""
@@ -77,9 +78,10 @@ def q_concat_split_text(spark, sf_dir):
 
 
 @register("concat_messages", """
-SELECT source AS group_id, CAST(doc_id // 1000 AS BIGINT) AS chunk,
-       string_agg(text, ' ' ORDER BY doc_id) AS message, CAST(count(*) AS BIGINT) AS n_messages
-FROM documents GROUP BY source, doc_id // 1000""")
+SELECT group_id, chunk, string_agg(text, ' ' ORDER BY doc_id) AS message, CAST(count(*) AS BIGINT) AS n_messages FROM (
+  SELECT source AS group_id, doc_id, text,
+         CAST((row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) // 1000 AS BIGINT) AS chunk
+  FROM documents) GROUP BY group_id, chunk""")
 def q_concat_messages(spark, sf_dir):
     return M.concat_messages(src.messages_by_source(spark, sf_dir))
 
@@ -122,7 +124,9 @@ def q_groups_outcomes(spark, sf_dir):
 {S.feat_ctes('documents', 'doc_id', 2, 'f2')},
 f AS (SELECT * FROM f1 UNION ALL SELECT * FROM f2),
 r AS (SELECT group_id, feat, rtrim(repeat(replace(feat, ' ', '_') || ' ', CAST(value AS INTEGER))) AS rr FROM f)
-SELECT group_id, CAST(0 AS BIGINT) AS chunk, string_agg(rr, ' ' ORDER BY feat) AS line FROM r GROUP BY group_id""")
+SELECT group_id, chunk, string_agg(rr, ' ' ORDER BY feat) AS line FROM (
+  SELECT r.group_id, r.feat, rr, CAST(floor((sum(value) OVER (PARTITION BY r.group_id ORDER BY r.feat) - value) / 100000.0) AS BIGINT) AS chunk
+  FROM r JOIN f ON f.group_id = r.group_id AND f.feat = r.feat) GROUP BY group_id, chunk""")
 def q_joined_lines(spark, sf_dir):
     feats = FE.ngram_feats(src.messages_by_doc(spark, sf_dir), [1, 2])
     return M.joined_feature_lines(feats)

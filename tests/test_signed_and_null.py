@@ -79,3 +79,25 @@ def test_lines_without_whitelist(spark):
     m = spark.createDataFrame([(1, 1, "One two, three"), (2, 1, "")], "message_id long, group_id long, message string")
     got = {r["message_id"]: r["line"] for r in messages.tokenized_lines(m).collect()}
     assert got[1].split() == messages.tokenize(m).where("message_id = 1").first()["tokens"]
+
+
+def test_chunks_in_order_give_the_whole_text(spark):
+    rows = [(i, i % 2, f"m{i}") for i in range(995, 1040)]
+    d = spark.createDataFrame(rows, "message_id long, group_id long, message string")
+    got = messages.concat_messages(d, chunk_size=10).orderBy("group_id", "chunk").collect()
+    for g in (0, 1):
+        mine = [r for r in got if r["group_id"] == g]
+        assert [r["chunk"] for r in mine] == [0, 1, 2]
+        assert " ".join(r["message"] for r in mine) == " ".join(m for _, k, m in rows if k == g)
+    assert {r["chunk"] for r in messages.concat_messages(d).collect()} == {0}
+
+
+def test_joined_lines_break_in_feature_order(spark):
+    rows = [(g, f"f{k:03d} x", float(k % 4 + 1)) for g in (1, 2) for k in range(60)]
+    d = spark.createDataFrame(rows, "group_id long, feat string, value double")
+    whole = {r["group_id"]: r["line"] for r in messages.joined_feature_lines(d).collect()}
+    got = messages.joined_feature_lines(d, tokens_per_chunk=20).orderBy("group_id", "chunk").collect()
+    assert len(got) > 10
+    for g in (1, 2):
+        assert " ".join(r["line"] for r in got if r["group_id"] == g) == whole[g]
+        assert whole[g].split() == sorted(whole[g].split())
