@@ -15,30 +15,32 @@ from glossa.plans.registry import register
 from glossa.sources import tables as src
 
 
-def base_feats(spark, sf_dir):
-    """(all 1-gram features, occurrence-filtered features, group population).
+#: The occurrence filter of the flagship slice.
+SLICE_SHARE = 0.05
+
+
+def base_feats(spark, sf_dir, share=None):
+    """(all 1-gram features, those that occur in ``share`` of the groups or, without
+    a share, all again, group population).
 
     The feature table is written once (reliable checkpoint) and every branch
     (group count, occurrence statistics, kept rows, population) reads it,
     instead of re-tokenizing the documents per branch."""
     feats = doc_unigrams(spark, sf_dir)
     groups = feats.select("group_id").distinct()
-    n = groups.count()
-    return feats, feat_occ_filter(feats, 0.05, n_groups=n), groups
+    return feats, feats if share is None else feat_occ_filter(feats, share, n_groups=groups.count()), groups
 
 
-def flagship(spark, sf_dir, with_p: bool = True):
-    """1-grams per document -> 5 % occurrence filter -> r with quality / toxic
-    (absent = 0) -> Benjamini-Hochberg per outcome."""
-    feats, kept, groups = base_feats(spark, sf_dir)
+def flagship(spark, sf_dir, with_p: bool = True, share=None):
+    """1-grams per document -> occurrence filter, where a share is given -> r with
+    quality / toxic (absent = 0)."""
+    feats, kept, groups = base_feats(spark, sf_dir, share)
     return correlate(kept, src.label_outcomes(spark, sf_dir), ["quality", "toxic"], groups=groups,
                      with_p=with_p)
 
 
 _BASE_CTES = f"""{S.feat_ctes('documents', 'doc_id')},
-ng AS (SELECT count(DISTINCT group_id) AS n FROM f),
-keep AS (SELECT feat FROM f GROUP BY feat HAVING count(*) >= 0.05 * (SELECT n FROM ng)),
-ff AS (SELECT * FROM f WHERE feat IN (SELECT feat FROM keep)),
+ff AS (SELECT * FROM f),
 {S.label_outcomes_cte('y0')},
 y AS (SELECT * FROM y0 WHERE group_id IN (SELECT group_id FROM f))"""
 
@@ -442,7 +444,7 @@ def q_tagcloud_data(spark, sf_dir):
 def q_logistic_per_feat(spark, sf_dir):
     """Per-feature logistic regression of quality on the feature (IRLS, absent = 0)."""
     from glossa.operators.stats_models import logistic_per_feat
-    _, kept, groups = base_feats(spark, sf_dir)
+    _, kept, groups = base_feats(spark, sf_dir, SLICE_SHARE)
     return logistic_per_feat(kept, src.label_outcomes(spark, sf_dir), "quality", groups)
 
 
@@ -456,7 +458,7 @@ def _doc_frame_en(spark, sf_dir):
 def q_interaction(spark, sf_dir):
     """Interaction of each feature with the English flag on quality: b3, se, t, p."""
     from glossa.operators.stats_models import interaction
-    _, kept, _ = base_feats(spark, sf_dir)
+    _, kept, _ = base_feats(spark, sf_dir, SLICE_SHARE)
     return interaction(kept, _doc_frame_en(spark, sf_dir), "quality", "is_en")
 
 
@@ -466,7 +468,7 @@ def q_ddla_groups(spark, sf_dir):
     is significant (p < .001), then their correlations with quality computed
     separately for English and other documents."""
     from glossa.operators.stats_models import interaction
-    _, kept, _ = base_feats(spark, sf_dir)
+    _, kept, _ = base_feats(spark, sf_dir, SLICE_SHARE)
     fr = _doc_frame_en(spark, sf_dir)
     sig = interaction(kept, fr, "quality", "is_en").where(F.col("p") < 0.001).select("feat")
     wl = kept.join(sig, "feat", "left_semi")
@@ -483,7 +485,7 @@ def q_combo_rmatrix(spark, sf_dir):
     """Correlations of every feature with quality for each combination of the
     controls (none, length, English flag, both)."""
     from glossa.operators.correlate import correlate_controls
-    _, kept, groups = base_feats(spark, sf_dir)
+    _, kept, groups = base_feats(spark, sf_dir, SLICE_SHARE)
     d = src.table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("group_id"), F.col("n_chars").cast("double").alias("n_chars"),
         (F.col("lang") == "en").cast("double").alias("is_en"))
@@ -531,5 +533,5 @@ def q_t_pvalue(spark, sf_dir):
 def q_auc_boot(spark, sf_dir):
     """AUC of each feature for quality with a Poisson-weight bootstrap p (50 replicates)."""
     from glossa.operators.stats_models import auc_boot
-    _, kept, groups = base_feats(spark, sf_dir)
+    _, kept, groups = base_feats(spark, sf_dir, SLICE_SHARE)
     return auc_boot(kept, src.label_outcomes(spark, sf_dir), "quality", groups, reps=50)
