@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from glossa.llm.common import Scratch, spread_join
 from glossa.llm.components import connected_components
 
-BLOCK, GRID, TILE = 8, 3, 4096
+BLOCK, GRID, TILE = 16, 2, 4096
 #: Slack on distances for rounding; candidates are checked exactly anyway.
 EPS = 1e-9
 
@@ -103,7 +103,7 @@ def _entries(batches, limit, tiles):
         for width in np.unique(lens):
             at = np.nonzero(lens == width)[0]
             x = vecs.take(pa.array(at)).flatten().to_numpy().reshape(-1, width)
-            raw = pa.array([r.tobytes() for r in x.astype(np.float64)], pa.binary())
+            raw = pa.array([r.tobytes() for r in x], pa.binary())   # as given: float or double
             x = x.astype(np.float64)
             parts = []
             for rows, b, cell, own in _cells(rotate(x), limit):
@@ -144,10 +144,10 @@ def _first_block(diff2: np.ndarray, budget: float) -> np.ndarray:
     return np.where(within.any(axis=1), within.argmax(axis=1), -1)
 
 
-def _tile(pdf: pd.DataFrame, limit: float, cosine: float) -> pd.DataFrame:
+def _tile(pdf: pd.DataFrame, limit: float, cosine: float, kind: str) -> pd.DataFrame:
     """Links among the vectors of one tile: for each linked vector the weight of
     its partners and the smallest id of its component here."""
-    x = _scaled(np.frombuffer(b"".join(pdf["vec"]), np.float64).reshape(len(pdf), -1))
+    x = _scaled(np.frombuffer(b"".join(pdf["vec"]), kind).reshape(len(pdf), -1).astype(np.float64))
     y, b = rotate(x), int(pdf["block"].iloc[0])
     norm = np.sqrt(np.einsum("ij,ij->i", x, x))
     budget = limit / (y.shape[1] // BLOCK)
@@ -205,6 +205,8 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "e
     scratch = Scratch(vectors.sparkSession, "vectors")
     limit = 2 - 2 * cosine
     v = vectors.select(F.col(vec_id).cast("long").alias("id"), F.col(vector).alias("vec"))
+    if v.schema["vec"].dataType.elementType.typeName() not in ("float", "double"):
+        v = v.withColumn("vec", F.col("vec").cast("array<double>"))
     fine = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vec", lambda x: x != 0)
     v = v.withColumn("vec", F.when(F.col("id").isNotNull() & fine, F.col("vec")))
     classes = scratch.keep(v.where("vec IS NOT NULL").groupBy("vec").agg(
@@ -218,8 +220,9 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "e
     entries = classes.mapInArrow(
         lambda b: _entries(b, limit, tiles),
         "width bigint, block bigint, cell bigint, i bigint, j bigint, left boolean, id bigint, vec binary, weight bigint")
+    kind = "f4" if v.schema["vec"].dataType.elementType.typeName() == "float" else "f8"
     found = scratch.keep(entries.groupBy("width", "block", "cell", "i", "j").applyInPandas(
-        lambda p: _tile(p, limit, cosine), "id bigint, n bigint, root bigint"), "found")
+        lambda p: _tile(p, limit, cosine, kind), "id bigint, n bigint, root bigint"), "found")
     links = found.groupBy("id").agg(F.sum("n").alias("n"))
     # repeated ids tie their classes together
     ties = members.where("rep IS NOT NULL AND rep <> id").select(F.col("id").alias("u"), F.col("rep").alias("v"))
