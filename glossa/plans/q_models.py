@@ -349,3 +349,41 @@ def q_stacking(spark, sf_dir):
             s = RG.score_summary(p).withColumn("model_id", F.lit("+".join(combo)))
             out = s if out is None else out.unionByName(s)
     return out
+
+
+def saved_model(spark, sf_dir, feats, groups, outcomes, stages, controls=()):
+    """Fit on the training groups, save, load, predict the test groups."""
+    import uuid
+    from glossa.operators import lifecycle as LC
+    from glossa.operators.folds import train_test_split
+    from glossa.session import checkpoint_dir, local_fallback_dir
+    base = spark.conf.get("spark.checkpoint.dir", None) or checkpoint_dir(spark, local_fallback_dir())
+    path = f"{base.rstrip('/')}/glossa-model-{uuid.uuid4().hex}"
+    d = groups.join(train_test_split(groups.select("group_id"), 0.2), "group_id")
+    models, order = LC.fit(feats, d.where("split = 'train'"), outcomes, stages, controls)
+    LC.save(path, models, order, controls)
+    models, order, controls = LC.load(spark, path)
+    return LC.predict(models, order, feats, d.where("split = 'test'").select("group_id", *controls), controls)
+
+
+@register("save_load_regression")
+def q_save_load_regression(spark, sf_dir):
+    """Regression models with scaler and controls: saved, loaded, applied to the held-out customers."""
+    from pyspark.ml.feature import StandardScaler
+    from pyspark.ml.regression import LinearRegression
+    frame = customer_frame(spark, sf_dir).na.drop()
+    stages = lambda o: [StandardScaler(inputCol="features", outputCol="scaled", withMean=False, withStd=True),
+                        LinearRegression(featuresCol="scaled", labelCol=o, regParam=0.1)]
+    return saved_model(spark, sf_dir, src.order_feats(spark, sf_dir), frame, OUTCOMES, stages, CONTROLS)
+
+
+@register("save_load_classification")
+def q_save_load_classification(spark, sf_dir):
+    """Classifiers of both labels with scaler: saved, loaded, applied to the held-out documents."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import StandardScaler
+    from glossa.plans.q_stats import SLICE_SHARE, base_feats
+    _, feats, _ = base_feats(spark, sf_dir, SLICE_SHARE)
+    stages = lambda o: [StandardScaler(inputCol="features", outputCol="scaled", withMean=False, withStd=True),
+                        LogisticRegression(featuresCol="scaled", labelCol=o, regParam=0.01, maxIter=50)]
+    return saved_model(spark, sf_dir, feats, src.label_outcomes(spark, sf_dir), ["quality", "toxic"], stages)
