@@ -7,13 +7,25 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossa.session import checkpoint_dir, local_fallback_dir, ship_package
+from glossa import session
+from glossa.session import checkpoint_dir, local_fallback_dir
 
 __all__ = ["ship_package", "Scratch", "fresh", "remainder5", "read", "ascii_lower"]
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
+#: Rows of one Arrow batch.  Whole texts vary from a few bytes to megabytes, and a
+#: Python worker holds a batch and what is made of it at a time.
+BATCH_ROWS = 500
+
+
+def ship_package(spark: SparkSession) -> None:
+    """The package for the Python workers, and batches that fit their memory."""
+    session.ship_package(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
