@@ -1,6 +1,6 @@
 """Near duplicates by a multi-index Hamming join of b-bit MinHash signatures.
 
-A document's signature is K = 70 minima of its shingle set, 16 bits each.  It
+A document's signature is K = 70 minima of its shingle set, 14 bits each.  It
 is cut into m = 14 chunks of 5 symbols.  Two signatures that differ in at most
 H = 27 symbols have, by the pigeonhole principle, a chunk that differs in at
 most floor(27 / 14) = 1 symbol; each chunk is therefore entered five times in the
@@ -11,7 +11,7 @@ Pairs within H are confirmed on the full shingle sets.
 
 Documents with equal sets are one class with one entry in the index.  Buckets
 are not expanded into all their pairs: every bucket's members are first
-compared with one hub; what that joins into one component needs no further
+compared with a hub; what that joins into one component needs no further
 comparison.  Then the pairs of a bucket that are still in different components
 are compared, all of them, or hub by hub while they are too many.
 
@@ -37,6 +37,11 @@ from glossa.llm.components import connected_components
 
 K, CHUNK, H = 70, 5, 27
 M = K // CHUNK
+WORDS = -(-K // 4)      # 64-bit words that hold a signature, four symbols each
+#: Hubs of a bucket in one round, about; a smaller bucket is settled in one.
+HUBS = 16
+#: Pairs left in all buckets, for each representative, that are compared at once.
+AT_ONCE = 2000
 assert H // M == 1, "one masked symbol covers one error in a chunk"
 
 _rng = np.random.default_rng(20_241)
@@ -65,11 +70,13 @@ def shingles(text: bytes | None, width: int) -> np.ndarray:
 
 
 def signature(s: np.ndarray) -> np.ndarray:
-    """K symbols of 16 bits; the set is taken in pieces, so memory is bounded."""
+    """K symbols of 14 bits in WORDS words, in lanes of 15; the set is taken in pieces, so memory is bounded."""
     low = np.full(K, np.iinfo(np.uint64).max, np.uint64)
     for a in range(0, len(s), 4096):
         low = np.minimum(low, (s[a:a + 4096] * MUL[:, None] + ADD[:, None]).min(axis=1))
-    return (_mix(low) & np.uint64(0xFFFF)).astype(np.uint16)
+    out = np.zeros(4 * WORDS, np.uint64)
+    out[:K] = _mix(low) & np.uint64(0x3FFF)
+    return (out.reshape(WORDS, 4) << np.uint64(15) * np.arange(4, dtype=np.uint64)).sum(axis=1).view(np.int64)
 
 
 def _sign(batches, width):
@@ -79,9 +86,9 @@ def _sign(batches, width):
             s = shingles(t, width)
             n.append(len(s))
             key.append(xxhash.xxh3_128_hexdigest(s.tobytes()) if len(s) else None)
-            sig.append(signature(s).tobytes() if len(s) else None)
+            sig.append(signature(s) if len(s) else None)
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(key, pa.string()),
-                                          pa.array(sig, pa.binary())], ["id", "n", "key", "sig"])
+                                          pa.array(sig, pa.list_(pa.int64()))], ["id", "n", "key", "sig"])
 
 
 def _sets(batches, width):
@@ -93,21 +100,26 @@ def _sets(batches, width):
                                          ["id", "items"])
 
 
+def _symbol(sig: Column, i: int) -> Column:
+    return F.shiftrightunsigned(sig[i // 4], 15 * (i % 4)).bitwiseAND(F.lit(0x3FFF))
+
+
 def bucket_keys(sig: Column) -> Column:
     """The masked chunks of a signature: one 64-bit key for each chunk and masked symbol."""
     keys = []
     for c in range(M):
-        part = [F.substring(sig, 2 * (c * CHUNK + i) + 1, 2) for i in range(CHUNK)]
+        part = [_symbol(sig, c * CHUNK + i) for i in range(CHUNK)]
         for skip in range(CHUNK):
             keys.append(F.xxhash64(F.lit(c * CHUNK + skip), *[p for i, p in enumerate(part) if i != skip]))
     return F.array(*keys)
 
 
 def symbol_distance(a: Column, b: Column) -> Column:
-    diff = [F.when(F.substring(a, 2 * i + 1, 2) != F.substring(b, 2 * i + 1, 2), 1).otherwise(0) for i in range(K)]
-    while len(diff) > 1:   # a balanced sum
-        diff = [x + y for x, y in zip(diff[::2], diff[1::2])] + ([diff[-1]] if len(diff) % 2 else [])
-    return diff[0]
+    """Number of symbols that differ.  Adding all ones to the 14 bits of a lane sets
+    its free 15th bit exactly where the lane isn't zero."""
+    ones, flags = (sum(x << 15 * i for i in range(4)) for x in (0x3FFF, 0x4000))
+    lanes = [F.bit_count((a[i].bitwiseXOR(b[i]) + F.lit(ones)).bitwiseAND(F.lit(flags))) for i in range(WORDS)]
+    return sum(lanes[1:], lanes[0])
 
 
 class _Join:
@@ -122,21 +134,45 @@ class _Join:
         schema = docs.select("id").schema.add("items", T.ArrayType(T.LongType()))
         self.sets = scratch.keep(docs.join(need, "id", "left_semi").mapInArrow(lambda b: _sets(b, width), schema), "sets")
 
-    def links(self, pairs: DataFrame, name: str) -> DataFrame:
-        """(u, v) of the pairs within the signature distance whose sets pass."""
-        s = self.reps.select("rep", "sig")
-        near = (pairs.join(s.select(F.col("rep").alias("u"), F.col("sig").alias("su")), "u")
-                .join(s.select(F.col("rep").alias("v"), F.col("sig").alias("sv")), "v")
-                .where(symbol_distance(F.col("su"), F.col("sv")) <= H).select("u", "v").distinct())
-        near = self.scratch.keep(near, f"near{name}")
-        both = (near.join(self.sets.select(F.col("id").alias("u"), F.col("items").alias("iu")), "u")
+    def may_link(self, u: str, v: str) -> Column:
+        """Sizes that allow the similarity, and signatures within the distance."""
+        nu, nv = F.col(f"n{u}"), F.col(f"n{v}")
+        return (100 * F.least(nu, nv) >= self.percent * F.greatest(nu, nv)) & (
+            symbol_distance(F.col(f"s{u}"), F.col(f"s{v}")) <= H)
+
+    def signed(self, side: str) -> DataFrame:
+        return self.reps.select(F.col("rep").alias(side), F.col("n").alias(f"n{side}"), F.col("sig").alias(f"s{side}"))
+
+    def near(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (u, v) that may link."""
+        return pairs.join(self.signed("u"), "u").join(self.signed("v"), "v").where(self.may_link("u", "v")).select("u", "v")
+
+    def links(self, near: DataFrame, name: str) -> DataFrame:
+        """(u, v) of the pairs whose sets pass."""
+        both = (near.distinct().join(self.sets.select(F.col("id").alias("u"), F.col("items").alias("iu")), "u")
                 .join(self.sets.select(F.col("id").alias("v"), F.col("items").alias("iv")), "v"))
         inter = F.size(F.array_intersect("iu", "iv"))
         both = both.select("u", "v", inter.alias("i"), (F.size("iu") + F.size("iv")).alias("t"))
-        out = self.scratch.keep(both.where(100 * F.col("i") >= self.percent * (F.col("t") - F.col("i")))
-                                .select("u", "v").distinct(), f"links{name}")
-        self.scratch.drop(f"near{name}")
-        return out
+        return self.scratch.keep(both.where(100 * F.col("i") >= self.percent * (F.col("t") - F.col("i")))
+                                 .select("u", "v").distinct(), f"links{name}")
+
+
+def _merged(comp: DataFrame | None, links: DataFrame) -> DataFrame:
+    """(id, component) after two steps along new links between the components so
+    far (None: every id is its own).  Not yet the whole closure; what is still apart
+    is only compared once more."""
+    if comp is not None:
+        for side in ("u", "v"):
+            links = (links.join(comp.select(F.col("id").alias(side), F.col("component").alias("_c")), side, "left")
+                     .withColumn(side, F.coalesce("_c", side)).drop("_c"))
+    low = (links.where("u <> v").groupBy(F.greatest("u", "v").alias("id")).agg(F.min(F.least("u", "v")).alias("component")))
+    two = low.select(F.col("id").alias("component"), F.col("component").alias("next"))
+    step = low.join(two, "component", "left").select(F.col("id"), F.coalesce("next", "component").alias("component"))
+    if comp is None:
+        return step
+    to = step.select(F.col("id").alias("component"), F.col("component").alias("next"))
+    moved = comp.join(to, "component", "left").select("id", F.coalesce("next", "component").alias("component"))
+    return moved.unionByName(step.join(comp, "id", "left_anti"))
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5,
@@ -146,13 +182,16 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     scratch = Scratch(docs.sparkSession, "minhash")
     docs = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
     signed = scratch.keep(docs.mapInArrow(
-        lambda b: _sign(b, width), docs.select("id").schema.add("n", "long").add("key", "string").add("sig", "binary")),
+        lambda b: _sign(b, width), docs.select("id").schema.add("n", "long").add("key", "string").add("sig", T.ArrayType(T.LongType()))),
         "signed")
     linkable = signed.where("n > 0 AND id IS NOT NULL")
-    classes = scratch.keep(linkable.groupBy("key", "n").agg(F.min("id").alias("rep"), F.first("sig").alias("sig")), "classes")
-    members = scratch.keep(
-        spread_join(signed.select("id", "n", "key"), classes.select("key", "rep"), ["key"], ["id"]).select("id", "n", "rep"),
-        "members")
+    classes = scratch.keep(linkable.groupBy("key", "n").agg(F.min("id").alias("rep"), F.first("sig").alias("sig"),
+                                                            F.count("*").alias("c")), "classes")
+    # only classes of several rows have another representative than the row itself
+    shared = classes.where("c > 1").select("key", F.col("rep").alias("of"))
+    own = F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("id"))
+    members = scratch.keep(spread_join(signed.select("id", "n", "key"), shared, ["key"], ["id"])
+                           .select("id", "n", F.when(own.isNotNull(), F.coalesce("of", "id")).alias("rep")), "members")
     scratch.drop("signed")
     # an id that repeated rows put into several classes ties them together
     ties = (members.where("rep IS NOT NULL AND id IS NOT NULL").groupBy("id")
@@ -161,7 +200,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         ties.select(F.col("id").alias("u"), F.col("b").alias("v")))
     several = members.where("rep IS NOT NULL AND id IS NOT NULL").select("id", "rep").distinct()
     several = several.join(ties.select(F.col("u").alias("id")).distinct(), "id", "left_semi")
-    edges = scratch.keep(several.select(F.col("id").alias("u"), F.col("rep").alias("v")), "ties")
+    edges = several.select(F.col("id").alias("u"), F.col("rep").alias("v"))
 
     job = _Join(docs, scratch, classes, width, percent)
     n_reps = classes.count()
@@ -180,24 +219,36 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             todo = top.agg(F.sum((F.col("all") - F.col("most")) * F.col("all"))).first()[0]
             if not todo:
                 break
-            if todo <= 20 * n_reps + 1000:
+            if todo <= AT_ONCE * n_reps:
                 # every pair that is left: a member outside the bucket's largest component, and any other
-                few = here.join(top.select("key", "top"), "key")
-                few = few.where("comp <> top").select("key", F.col("rep").alias("u"), F.col("comp").alias("cu"), "top")
-                pairs = (few.join(here.select("key", F.col("rep").alias("v"), F.col("comp").alias("cv")), "key")
-                         .where("cu <> cv AND (cv = top OR u < v)"))
-                edges = edges.unionByName(job.links(pairs.select("u", "v").distinct(), f"{k}"))
-                comp = connected_components(edges, scratch, f"c{k}_")
+                few = (here.join(top.select("key", "top"), "key").where("comp <> top")
+                       .select("key", F.col("rep").alias("u"), F.col("comp").alias("cu"), "top").join(job.signed("u"), "u"))
+                rest = here.select("key", F.col("rep").alias("v"), F.col("comp").alias("cv")).join(job.signed("v"), "v")
+                near = few.join(rest, (few["key"] == rest["key"]) & F.expr("cu <> cv AND (cv = top OR u < v)")
+                                & job.may_link("u", "v")).select("u", "v")
+                edges = edges.unionByName(job.links(near, f"{k}"))
                 break
-        hub = F.min("rep") if k == 0 else F.min_by("rep", F.xxhash64(F.col("rep"), F.lit(k)))
-        hubs = here.groupBy("key").agg(hub.alias("hub"), F.min_by("comp", F.xxhash64(F.col("rep"), F.lit(k))).alias("hc")) \
-            if k else here.groupBy("key").agg(hub.alias("hub"), hub.alias("hc"))
-        met = here.join(hubs, "key").where("rep <> hub")
-        pairs = met.where("comp <> hc").select(F.greatest("rep", "hub").alias("u"), F.least("rep", "hub").alias("v")).distinct()
-        edges = edges.unionByName(job.links(pairs, f"{k}"))
-        left = scratch.keep(met.select("key", "rep"), f"left{k}")
-        comp = scratch.keep(connected_components(edges, scratch, f"c{k}_"), f"comp{k}")
+        if k == 0:
+            # every member and the smallest of its buckets' members that it meets most often
+            hubs = here.groupBy("key").agg(F.min("rep").alias("hub"))
+            often = here.join(hubs, "key").where("rep <> hub").groupBy("rep", "hub").agg(F.count("*").alias("c"))
+            pairs = often.groupBy(F.col("rep").alias("u")).agg(F.max_by("hub", F.struct("c", -F.col("hub"))).alias("v"))
+            new = job.links(job.near(pairs), "0")
+            edges = edges.unionByName(new)
+            comp = scratch.keep(_merged(None, new), "comp0")
+        else:
+            # some members of every bucket with all of other components; then these leave the bucket
+            many = F.ceil(F.col("all") / HUBS)
+            at = here.join(top.select("key", "all"), "key").withColumn("hub", F.pmod(F.xxhash64("rep", F.lit(k)), many) == 0)
+            hubs = at.where("hub").select(F.col("key").alias("k"), F.col("rep").alias("h"), F.col("comp").alias("hc"))
+            pairs = (at.join(hubs, (F.col("key") == F.col("k")) & (F.col("comp") != F.col("hc")))
+                     .select(F.greatest("rep", "h").alias("u"), F.least("rep", "h").alias("v")).distinct())
+            new = job.links(job.near(pairs), f"{k}")
+            edges = edges.unionByName(new)
+            left = scratch.keep(at.where("NOT hub").select("key", "rep"), f"left{k}")
+            comp = scratch.keep(_merged(comp, new), f"comp{k}")
         k += 1
+    comp = connected_components(edges, scratch, "all")
     scratch.drop("sets", "buckets")
     out = spread_join(members, comp.select(F.col("id").alias("rep"), "component"), ["rep"], ["id"])
     one = F.when(F.col("id").isNull(), None).otherwise(F.coalesce("component", "rep", "id"))
