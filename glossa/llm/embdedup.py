@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from glossa.llm.common import Scratch, spread_join
 from glossa.llm.components import connected_components
 
-BLOCK, GRID, TILE = 16, 2, 4096
+BLOCK, GRID, TILE = 16, 2, 16_384
 #: Slack on distances for rounding; candidates are checked exactly anyway.
 EPS = 1e-9
 
@@ -211,8 +211,11 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "e
     v = v.withColumn("vec", F.when(F.col("id").isNotNull() & fine, F.col("vec")))
     classes = scratch.keep(v.where("vec IS NOT NULL").groupBy("vec").agg(
         F.min("id").alias("id"), F.count("*").alias("weight")).select("id", "vec", "weight"), "classes")
-    members = scratch.keep(spread_join(v, classes.select(F.col("id").alias("rep"), "vec", "weight"), ["vec"], ["id"])
-                           .select("id", "rep", "weight"), "members")
+    # only classes of several rows have another representative than the row itself
+    shared = classes.where("weight > 1").select(F.col("id").alias("rep"), "vec", "weight")
+    members = scratch.keep(spread_join(v, shared, ["vec"], ["id"]).select(
+        "id", F.when(F.col("vec").isNotNull(), F.coalesce("rep", "id")).alias("rep"),
+        F.when(F.col("vec").isNotNull(), F.coalesce("weight", F.lit(1))).alias("weight")), "members")
     count = classes.mapInArrow(lambda b: _entries(b, limit, None), "width bigint, block bigint, cell bigint, n bigint")
     crowded = count.groupBy("width", "block", "cell").agg(F.sum("n").alias("n")).where(F.col("n") > TILE)
     # at most one row for each cell of the grids, whose number the geometry bounds
