@@ -240,10 +240,12 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             # some members of every bucket with all of other components; then these leave the bucket
             many = F.ceil(F.col("all") / HUBS)
             at = here.join(top.select("key", "all"), "key").withColumn("hub", F.pmod(F.xxhash64("rep", F.lit(k)), many) == 0)
-            hubs = at.where("hub").select(F.col("key").alias("k"), F.col("rep").alias("h"), F.col("comp").alias("hc"))
-            pairs = (at.join(hubs, (F.col("key") == F.col("k")) & (F.col("comp") != F.col("hc")))
-                     .select(F.greatest("rep", "h").alias("u"), F.least("rep", "h").alias("v")).distinct())
-            new = job.links(job.near(pairs), f"{k}")
+            all_ = at.select("key", F.col("rep").alias("u"), F.col("comp").alias("cu")).join(job.signed("u"), "u")
+            hubs = (at.where("hub").select(F.col("key").alias("k"), F.col("rep").alias("v"), F.col("comp").alias("cv"))
+                    .join(job.signed("v"), "v"))
+            near = (all_.join(hubs, (F.col("key") == F.col("k")) & (F.col("cu") != F.col("cv")) & job.may_link("u", "v"))
+                    .select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")))
+            new = job.links(near, f"{k}")
             edges = edges.unionByName(new)
             left = scratch.keep(at.where("NOT hub").select("key", "rep"), f"left{k}")
             comp = scratch.keep(_merged(comp, new), f"comp{k}")
