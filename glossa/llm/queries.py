@@ -44,9 +44,10 @@ FROM documents x LEFT JOIN kept USING (doc_id) LEFT JOIN d USING (doc_id)
 
 @query("op2_line_spread", _LINES_SQL)
 def line_spread(spark, sf_dir):
-    """Documents without lines that stand on ten sites or more (first copy stays)."""
+    """Documents without lines that stand on ten sites or more (first copy stays),
+    as its SQL has it: long lines have no threshold of their own."""
     d = read(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return linededup.dedup_lines(d).select("doc_id", "text", "n_lines", "n_removed")
+    return linededup.dedup_lines(d, long_words=None).select("doc_id", "text", "n_lines", "n_removed")
 
 
 URL_RULES = [urlrep.Rule("org/", "allow"), urlrep.Rule("example.org/es/", "block"),
