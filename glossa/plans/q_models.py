@@ -382,8 +382,8 @@ def q_save_load_classification(spark, sf_dir):
     """Classifiers of both labels with scaler: saved, loaded, applied to the held-out documents."""
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import StandardScaler
-    from glossa.plans.q_stats import SLICE_SHARE, base_feats
-    _, feats, _ = base_feats(spark, sf_dir, SLICE_SHARE)
+    from glossa.plans.q_stats import base_feats
+    feats, _, _ = base_feats(spark, sf_dir)
     stages = lambda o: [StandardScaler(inputCol="features", outputCol="scaled", withMean=False, withStd=True),
                         LogisticRegression(featuresCol="scaled", labelCol=o, regParam=0.01, maxIter=50)]
     return saved_model(spark, sf_dir, feats, src.label_outcomes(spark, sf_dir), ["quality", "toxic"], stages)
