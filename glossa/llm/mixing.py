@@ -8,11 +8,18 @@ in any prefix of t slots a source has more than w t - 1 and less than w t + 1
 blocks.
 
 With integer weights that sum to Q the schedule repeats every Q slots, so it
-is laid out once for one period (Q <= ``MAX_PERIOD`` slots, whatever the
-corpus size) and the block's slot follows by arithmetic.  When a source has
+is laid out once for one period, or up to the first end of a source where that
+comes sooner, and the block's slot follows by arithmetic.  When a source has
 used up its blocks, the schedule goes on, from that slot, with the weights
-of those that remain: there are at most as many phases as sources.  No
-document is dropped or repeated.
+of those that remain: there are at most as many phases as sources.  The layout
+has a row for each slot laid out, so never more than the corpus has blocks; the
+driver also looks at every source that is left once a phase.  No document is
+dropped or repeated.
+
+Targets that are not given as integers are scaled to integers of ``LEAST_WEIGHT``
+at least, whatever the number of sources: the period grows with them, and
+every source has its share to about 2 %.  The bound of one block holds for the
+integers.
 
 Within a source, documents are in order of the md5 of their id.  Ranks come
 from a window over (source, bucket of the md5) plus the offsets of the
@@ -26,6 +33,7 @@ An empty table gives an empty result.
 
 from __future__ import annotations
 
+import bisect
 import heapq
 import math
 from collections.abc import Mapping, Sequence
@@ -36,20 +44,23 @@ from pyspark.sql import types as T
 
 from glossa.llm.common import fresh
 
-#: Bound of a period's slots, and with it of the table that is broadcast.
-MAX_PERIOD = 100_000
+#: Smallest integer weight of a scaled target: rounding moves it by 1 % at most.
+LEAST_WEIGHT = 50
+#: Rows of a layout that is broadcast; a larger one is joined by source and block.
+BROADCAST_ROWS = 100_000
 #: Rows that one window partition has at most, about.
 BUCKET_ROWS = 50_000
 
 
-def pfair_period(weights: Sequence[int]) -> list[int]:
+def pfair_period(weights: Sequence[int], left: Sequence[int] | None = None) -> list[int]:
     """The source index of each slot of one period, by earliest deadline
-    (ties: lower index) among the released blocks."""
+    (ties: lower index) among the released blocks; with the blocks ``left`` of
+    each source, no further than the last block of the source that ends first."""
     total = sum(weights)
     due = lambda i, w: -(-((i + 1) * total) // w)
-    waiting = [(0, due(0, w), s, 0) for s, w in enumerate(weights) if w]   # by release
-    heapq.heapify(waiting)
-    ready: list[tuple[int, int, int]] = []
+    ready = [(due(0, w), s, 0) for s, w in enumerate(weights) if w]   # all are released at 0
+    heapq.heapify(ready)
+    waiting: list[tuple[int, int, int, int]] = []   # by release
     slots = []
     for t in range(total):
         while waiting and waiting[0][0] <= t:
@@ -57,42 +68,50 @@ def pfair_period(weights: Sequence[int]) -> list[int]:
             heapq.heappush(ready, (d, s, i))
         _, s, i = heapq.heappop(ready)
         slots.append(s)
+        if left is not None and i + 1 == left[s]:
+            break
         if i + 1 < weights[s]:
             heapq.heappush(waiting, ((i + 1) * total // weights[s], due(i + 1, weights[s]), s, i + 1))
     return slots
 
 
 def scaled_weights(raw: Mapping, period: int = 1000) -> dict:
-    """Integer weights, at least 1 each, close to ``raw`` and with a sum of
-    about ``period`` (more sources than that: 1 each)."""
+    """Integer weights close to ``raw`` with a sum of about ``period``, or as
+    much more as the smallest needs for ``LEAST_WEIGHT``."""
     total = sum(raw.values())
-    return {k: max(1, round(period * v / total)) for k, v in raw.items()}
+    period = max(period, LEAST_WEIGHT * total / min(raw.values()))
+    return {k: round(period * v / total) for k, v in raw.items()}
 
 
-def phases(n_blocks: Sequence[int], weights: Sequence[int]) -> list[tuple[int, int, list[int], dict[int, int]]]:
-    """(first slot, end slot, period's slots, first block of each source) for
-    every stretch in which the same sources have blocks left."""
+def phases(n_blocks: Sequence[int], weights: Sequence[int]):
+    """(first slot, length of the period, slots laid out, {source: (first block,
+    end block, blocks a period)} of the sources with a slot) for every stretch in
+    which the same sources have blocks left."""
     left = {s: n for s, n in enumerate(n_blocks) if n}
     done = dict.fromkeys(left, 0)
-    out, start = [], 0
+    start = 0
     while left:
         order = sorted(left)
         g = math.gcd(*(weights[s] for s in order))
-        w = [weights[s] // g for s in order]
-        period = [order[x] for x in pfair_period(w)]
-        where = {s: [t for t, x in enumerate(period) if x == s] for s in order}
-        # the slot after the last block of the source that ends first
-        end = min(len(period) * ((n - 1) // len(where[s])) + where[s][(n - 1) % len(where[s])] for s, n in left.items()) + 1
-        full, rest = divmod(end, len(period))
-        out.append((start, start + end, period, dict(done)))
-        for s in order:
-            used = full * len(where[s]) + sum(t < rest for t in where[s])
-            done[s] += used
-            left[s] -= used
+        w = {s: weights[s] // g for s in order}
+        length = sum(w.values())
+        slots = [order[x] for x in pfair_period([w[s] for s in order], [left[s] for s in order])]
+        where: dict[int, list[int]] = {}
+        for t, s in enumerate(slots):
+            where.setdefault(s, []).append(t)
+        if len(slots) < length:
+            end = len(slots)
+        else:   # the slot after the last block of the source that ends first
+            end = min(length * ((left[s] - 1) // w[s]) + at[(left[s] - 1) % w[s]] for s, at in where.items()) + 1
+        full, rest = divmod(end, length)
+        used = {s: full * w[s] + bisect.bisect_left(at, rest) for s, at in where.items()}
+        yield start, length, slots, {s: (done[s], done[s] + n, w[s]) for s, n in used.items() if n}
+        for s, n in used.items():
+            done[s] += n
+            left[s] -= n
             if not left[s]:
                 del left[s]
         start += end
-    return out
 
 
 def rank_in_source(docs: DataFrame, sizes: Mapping, doc_id: str, source: str, text: str, rank: str) -> DataFrame:
@@ -129,20 +148,16 @@ def mix(docs: DataFrame, weights: Mapping | None = None, block_docs: int = 64, d
         scaled = scaled_weights({s: n ** temperature for s, n in sizes.items()}) if sizes else {}
     else:
         scaled = {s: int(weights.get(s, default_weight)) for s in order}
-    if any(w < 1 for w in scaled.values()) or sum(scaled.values()) > MAX_PERIOD:
-        raise ValueError(f"weights are positive integers with a sum of at most {MAX_PERIOD}")
-    plan = phases([-(-sizes[s] // block_docs) for s in order], [scaled[s] for s in order])
+    if any(w < 1 for w in scaled.values()):
+        raise ValueError("weights are positive integers")
     rows = []
-    for start, _, period, first in plan:
-        nth: dict[int, int] = {}
-        per = {s: period.count(s) for s in set(period)}
-        ends = {s: min((f[s] for a, _, _, f in plan if a > start and s in f), default=1 << 62) for s in per}
-        for t, s in enumerate(period):
-            j = nth.get(s, 0)
-            nth[s] = j + 1
-            if first[s] == ends[s]:   # it has no slot before this phase ends
-                continue
-            rows.append((order[s], first[s], ends[s], per[s], j, start + t, len(period)))
+    for start, length, slots, of in phases([-(-sizes[s] // block_docs) for s in order], [scaled[s] for s in order]):
+        nth = dict.fromkeys(of, 0)
+        for t, s in enumerate(slots):
+            if s in of and nth[s] < of[s][1] - of[s][0]:   # else it has no such slot before this phase ends
+                rows.append((order[s], *of[s], nth[s], start + t, length))
+                nth[s] += 1
+    small = F.broadcast if len(rows) <= BROADCAST_ROWS else lambda x: x
     layout = spark.createDataFrame(rows, T.StructType([
         T.StructField("src", docs.schema[source].dataType), T.StructField("lo", T.LongType()),
         T.StructField("hi", T.LongType()), T.StructField("per", T.LongType()), T.StructField("j", T.LongType()),
@@ -152,8 +167,8 @@ def mix(docs: DataFrame, weights: Mapping | None = None, block_docs: int = 64, d
     d = rank_in_source(docs, sizes, doc_id, source, text, rank).withColumn(block, F.floor(F.col(rank) / block_docs))
     d = d.join(F.broadcast(ranges.withColumnsRenamed({"src": "_rs", "lo": "_lo", "hi": "_hi", "per": "_per"})),
                F.col(source).eqNullSafe(F.col("_rs")) & (F.col(block) >= F.col("_lo")) & (F.col(block) < F.col("_hi")))
-    d = d.join(F.broadcast(layout.select(F.col("src").alias("_ls"), F.col("lo").alias("_llo"), F.col("j").alias("_j"),
-                                         F.col("first_slot").alias("_fs"), F.col("period").alias("_pd"))),
+    d = d.join(small(layout.select(F.col("src").alias("_ls"), F.col("lo").alias("_llo"), F.col("j").alias("_j"),
+                                   F.col("first_slot").alias("_fs"), F.col("period").alias("_pd"))),
                F.col(source).eqNullSafe(F.col("_ls")) & (F.col("_lo") == F.col("_llo"))
                & ((F.col(block) - F.col("_lo")) % F.col("_per") == F.col("_j")))
     s = F.col("_fs") + F.floor((F.col(block) - F.col("_lo")) / F.col("_per")) * F.col("_pd")
