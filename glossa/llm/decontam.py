@@ -6,6 +6,11 @@ is cut into segments of ``SEG`` folded bytes, ``STEP`` apart (a shorter item is
 one segment); a document is contaminated by an item when one of its segments
 occurs in it with at most ``RATE`` x length edits.
 
+A verbatim quote from anywhere in a longer item holds a whole segment, and is
+always found, from ``SEG + STEP - 1`` = 111 folded bytes (some 17 words) on; from
+``SEG`` bytes on that depends on where it begins, and shorter parts of a longer
+item are not found.
+
 1. Every segment is indexed by its disjoint q-grams.  An edit spoils at most
    one of them, so an occurrence with e edits shares at least n - e, and all
    lie in diagonals (document minus segment position) that differ by e at
@@ -33,7 +38,7 @@ from pyspark.sql import functions as F
 
 from glossa.llm.common import Scratch
 
-Q, SEG, STEP, RATE = 10, 96, 48, 0.08
+Q, SEG, STEP, RATE = 10, 96, 16, 0.08
 BLOCK_SEGMENTS = 50_000
 _FOLD = bytes(c if 97 <= c <= 122 or 48 <= c <= 57 or c >= 128 else 32 for c in range(256))
 _P, _P2, _P4 = (np.array(pow(0x9E3779B97F4A7C15, k, 1 << 64), np.uint64) for k in (1, 2, 4))
