@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from glossa.llm import decontam, embdedup, langid, linededup, minhash, mixing, tokencount, toxicity, urlrep, warc
+from glossa.llm import decontam, embdedup, langid, linededup, minhash, mixing, periodic, radix, tokencount, toxicity, trigrams, urlrep, warc
 from glossa.llm.common import read, ship_package
 
 QUERIES = {}
@@ -186,3 +186,105 @@ def edit_counts(spark, sf_dir):
     d = d.withColumn("edits", tokencount.replacements(F.col("text"), PERSONAL, "[removed]"))
     return tokencount.apply_edits(tokencount.token_trees(d, ranks), ranks).select(
         "doc_id", "n_chars", "n_tokens", "n_edits", "tokens_after", "encoded_chars")
+
+
+# crc32 of a decimal number, as an expression over its digits
+_CRC = """xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(range(1, length(x) + 1), lambda i: ord(substr(x, i, 1))::BIGINT)),
+  lambda a, b: list_reduce(list_concat([xor(a, b)], range(8)), lambda c, k: xor(c >> 1, (c & 1) * 3988292384::BIGINT))), 4294967295::BIGINT)"""
+
+
+def _crc(of):
+    return _CRC.replace("x,", f"{of},").replace("length(x)", f"length({of})")
+
+
+@query("op11_periodic_tiles", f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+                  CASE WHEN doc_id IS NULL THEN 1 ELSE {_crc("doc_id::VARCHAR")} END AS h FROM documents),
+t AS (SELECT *, len(w) AS n, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN (h // 10) % len(w) ELSE len(w) END AS a FROM d),
+u AS (SELECT *, 1 + (n - a) // (3 + (h // 10) % 8) AS p FROM t),
+v AS (SELECT r, doc_id, n, list_transform(range(n), lambda i: w[(CASE WHEN i < a THEN i ELSE a + (i - a) % p END) + 1]) AS w FROM u),
+x AS (SELECT r, unnest(range(n)) AS i, unnest(w) AS word FROM v),
+q AS (SELECT v.r, n, s.q, i FROM v, unnest(range(1, n // 3 + 1)) AS s(q), unnest(range(n - s.q)) AS j(i) WHERE n >= 24 AND w[i + 1] = w[i + s.q + 1]),
+g AS (SELECT r, q, i, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS k FROM q),
+m AS (SELECT r, q, min(i) AS s, count(*) + q AS m FROM g GROUP BY r, q, k HAVING count(*) + q >= greatest(24, 3 * q)),
+runs AS (SELECT * FROM m WHERE NOT EXISTS (SELECT 1 FROM m AS o WHERE o.r = m.r AND o.q < m.q AND o.s <= m.s AND o.s + o.m >= m.s + m.m)),
+best AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY m::DOUBLE / q DESC, s, q) AS k FROM runs),
+per AS (SELECT r, count(*) AS n_runs, sha256(string_agg(s || ',' || m || ',' || q || chr(10), '' ORDER BY s, q)) AS sha FROM runs GROUP BY r),
+gone AS (SELECT DISTINCT r, unnest(range(s + q, s + m)) AS i FROM runs),
+kept AS (SELECT x.r, string_agg(word, ' ' ORDER BY x.i) AS c FROM x ANTI JOIN gone ON gone.r = x.r AND gone.i = x.i GROUP BY x.r)
+SELECT v.doc_id, coalesce(n_runs, 0) AS n_runs, CAST(best.s AS BIGINT) AS start, CAST(best.m AS BIGINT) AS length,
+       CAST(best.q AS BIGINT) AS period, CAST(1000 * best.m // best.q AS BIGINT) AS exponent_milli,
+       coalesce(per.sha, sha256('')) AS runs_sha256, sha256(coalesce(kept.c, '')) AS collapsed_sha256
+FROM v LEFT JOIN best ON best.r = v.r AND best.k = 1 LEFT JOIN per ON per.r = v.r LEFT JOIN kept ON kept.r = v.r""")
+def periodic_tiles(spark, sf_dir):
+    """Periodic runs of words of every whole text, with the tails that the contract repeats."""
+    d = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return periodic.collapse(d, change=periodic.periodic_tail).select(
+        "doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256")
+
+
+@query("op12_radix_trie", f"""
+WITH t AS (SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id
+             ORDER BY turn NULLS FIRST, coalesce(role, ''), md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS i
+           FROM conversations WHERE conv_id IS NOT NULL),
+l AS (SELECT c, list({{'role': role, 'text': text}} ORDER BY i) AS own, {_crc("c::VARCHAR")} % 9 AS h FROM t GROUP BY c),
+b AS (SELECT l.c, list_concat(coalesce(o.own[1:l.h], []), l.own[l.h + 1:]) AS w FROM l LEFT JOIN l AS o ON o.c = l.c - l.c % 5),
+p AS (SELECT c, w, len(w) AS n, d, w[1:d] AS path FROM b, unnest(range(len(w) + 1)) AS s(d)),
+n AS (SELECT path, d, min(c) AS conv_id, count(*) AS n_convs, CASE WHEN d = 0 THEN 0 ELSE octet_length(encode(path[d].text)) END AS size,
+             sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (n = d), '')) AS ends_sha256 FROM p GROUP BY path, d),
+k AS (SELECT path[1:d - 1] AS path, count(*) AS n_children FROM n WHERE d > 0 GROUP BY 1),
+m AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN k ON k.path = n.path),
+s AS (SELECT a.path, count(*) FILTER (u.n_children = 0) AS n_leaves, sum((u.n_convs - 1) * u.size) AS saved
+      FROM m AS u, unnest(range(u.d + 1)) AS x(e), m AS a WHERE a.path = u.path[1:x.e] GROUP BY a.path)
+SELECT m.conv_id, m.d AS depth, o.conv_id AS parent_conv_id, m.n_convs, m.n_children, s.n_leaves,
+       CAST(s.saved AS BIGINT) AS saved_tokens, m.ends_sha256
+FROM m JOIN s ON s.path = m.path LEFT JOIN m AS o ON m.d > 0 AND o.path = m.path[1:m.d - 1]""")
+def radix_trie(spark, sf_dir):
+    """The prefix trie of all conversations, each led by the first turns of its group of five."""
+    lists = radix.turn_lists(read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+    base = lists.select(F.col("conv").alias("of"), F.slice("turns", 1, 8).alias("lead"))
+    h = (F.crc32(F.col("conv").cast("string")) % 9).cast("int")
+    none = F.slice("turns", 1, F.lit(0))
+    both = lists.join(base, F.col("conv") - F.col("conv") % 5 == F.col("of"), "left")
+    return radix.prefix_trie(both.select("conv", F.concat(
+        F.coalesce(F.slice("lead", F.lit(1), h), none),
+        F.slice("turns", h + 1, F.greatest(F.array_size("turns") - h, F.lit(0)))).alias("turns")))
+
+
+#: What can begin a match of each kind; the rest of a text is passed over in one step.
+_STARTS = {"assign": "PpSsTtAa", "access": "A", "hex": "0-9a-f", "pem": "-", "jwt": "e", "forge": "g", "chat": "x",
+           "maps": "A", "payment": "rs", "login": ":"}
+
+
+def _secrets_sql():
+    one = []
+    for n, r in enumerate(trigrams.RULES):
+        tokens = f"(?s:({r.pattern})|[^{_STARTS[r.kind]}]+|.)".replace("'", "''")
+        judged = f"regexp_extract(tok, '{r.pattern.replace(chr(39), chr(39) * 2)}', {r.group})"
+        one.append(f"""SELECT r, {n} AS o, '{r.kind}' AS kind, upto - length(tok) AS s, upto AS e FROM (
+          SELECT r, tok, sum(length(tok)) OVER (PARTITION BY r ORDER BY i) AS upto FROM (
+            SELECT r, unnest(toks) AS tok, generate_subscripts(toks, 1) AS i FROM (SELECT r, regexp_extract_all(text, '{tokens}') AS toks FROM d)))
+        WHERE regexp_full_match(tok, '{r.pattern.replace(chr(39), chr(39) * 2)}') AND length({judged}) >= {r.least}""")
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+a AS ({" UNION ALL ".join(one)}),
+b AS (SELECT r, o, CAST(s AS BIGINT) AS s, kind || ':' || CAST(s AS BIGINT) || ':' || CAST(e AS BIGINT) AS x FROM a),
+g AS (SELECT r, count(*) FILTER (o = 0) AS n_assign, count(*) FILTER (o = 1) AS n_access, count(*) FILTER (o = 2) AS n_hex,
+             string_agg(x, ',' ORDER BY s, o) FILTER (o < 3) AS base, string_agg(x, ',' ORDER BY s, o) AS spans FROM b GROUP BY r)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN g USING (r)"""
+
+
+@query("op13_trigram_secrets", _secrets_sql())
+def trigram_secrets(spark, sf_dir):
+    """Spans of credentials in every whole text."""
+    d = trigrams.scan(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.filter("secrets", lambda s: s["order"] < len(trigrams.BASE))
+
+    def joined(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+    def count(n):
+        return F.array_size(F.filter("secrets", lambda s: s["order"] == n)).cast("long")
+    return d.select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
+                    F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("secrets")).alias("spans"))
