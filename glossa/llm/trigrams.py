@@ -254,10 +254,10 @@ def scan(docs: DataFrame, rules: list[Rule] = RULES, text: str = "text", into: s
     else:
         scratch = Scratch(spark, "trigrams")
         index = scratch.keep(trigram_index(docs.select(F.xxhash64(body).alias("key"), body.alias("text")), wanted), "index")
-        some = scratch.keep(candidates(index, asked), "candidates")
-        # copies of one text are dealt over SALTS tasks
-        some = some.select(F.col("key").alias(key), F.col("rules").alias(found),
-                           F.explode(F.array(*[F.lit(i) for i in range(SALTS)])).alias(salt))
+        # copies of one text are dealt over SALTS tasks; written in that form, so that its size is known to the join
+        some = candidates(index, asked).select(F.col("key").alias(key), F.col("rules").alias(found),
+                                               F.explode(F.array(*[F.lit(i) for i in range(SALTS)])).alias(salt))
+        some = scratch.keep(some, "candidates")
         docs = (docs.withColumn(key, F.xxhash64(body)).withColumn(salt, (F.monotonically_increasing_id() % SALTS).cast("int"))
                 .join(some, [key, salt], "left"))
     parts = []
