@@ -10,10 +10,21 @@ probability 0.2, and the distance exceeds H with probability below 1e-4.
 Pairs within H are confirmed on the full shingle sets.
 
 Documents with equal sets are one class with one entry in the index.  Buckets
-are not expanded into all their pairs: every bucket's members are first
-compared with a hub; what that joins into one component needs no further
-comparison.  Then the pairs of a bucket that are still in different components
-are compared, all of them, or hub by hub while they are too many.
+are not expanded into their pairs.  In each of ROUNDS rounds a document is compared with
+one hub, a member of the largest component among those that share its buckets;
+what this joins needs no further comparison, and buckets with one component are done.
+The buckets that are left are split by exact filters, which a pair of different components
+within the thresholds always passes:
+
+* a symbol counts for a document only if another component has it in the same place, and
+  K - H symbols must count;
+* a shingle counts only if another component has it, and the share of the similarity
+  (percent of the document's own shingles) must count;
+* in the order of rarity (shingles that don't count first) the pair shares one of the first
+  shingles that the similarity leaves to both (prefix and position filter).
+
+So documents that share a passage without being near, a third of all rows perhaps, fall apart before
+any pair is made.  A pair that is made is compared once.
 
 Words are runs of characters other than space, tab, line feed, vertical tab,
 form feed and carriage return, after lower-casing A-Z.  Defined results: a
@@ -28,7 +39,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,10 +49,8 @@ from glossa.llm.components import connected_components
 K, CHUNK, H = 70, 5, 27
 M = K // CHUNK
 WORDS = -(-K // 4)      # 64-bit words that hold a signature, four symbols each
-#: Hubs of a bucket in one round, about; a smaller bucket is settled in one.
-HUBS = 16
-#: Pairs left in all buckets, for each representative, that are compared at once.
-AT_ONCE = 2000
+#: Rounds in which every document is compared with one hub.
+ROUNDS = 3
 assert H // M == 1, "one masked symbol covers one error in a chunk"
 
 _rng = np.random.default_rng(20_241)
@@ -94,10 +103,11 @@ def _sign(batches, width):
 def _sets(batches, width):
     for b in batches:
         out = [shingles(t, width).view(np.int64) for t in b.column(1).cast(pa.binary()).to_pylist()]
+        cls = pa.array([xxhash.xxh3_128_hexdigest(x.tobytes()) for x in out], pa.string())
         off = np.concatenate([[0], np.cumsum([len(x) for x in out])]).astype(np.int32)
         flat = np.concatenate(out) if out else np.empty(0, np.int64)
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(off), pa.array(flat))],
-                                         ["id", "items"])
+        yield pa.RecordBatch.from_arrays([b.column(0), cls, pa.ListArray.from_arrays(pa.array(off), pa.array(flat))],
+                                         ["id", "cls", "items"])
 
 
 def _symbol(sig: Column, i: int) -> Column:
@@ -123,16 +133,18 @@ def symbol_distance(a: Column, b: Column) -> Column:
 
 
 class _Join:
-    """The state of one run: representatives, their buckets, links and components."""
+    """The state of one run: representatives of classes, their buckets, links and components."""
 
     def __init__(self, docs: DataFrame, scratch: Scratch, reps: DataFrame, width: int, percent: int):
         self.scratch, self.reps, self.percent = scratch, reps, percent
         keys = reps.select("rep", F.explode(bucket_keys(F.col("sig"))).alias("key"))
         shared = keys.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
-        self.buckets = scratch.keep(keys.join(shared, "key", "left_semi"), "buckets")
-        need = self.buckets.select(F.col("rep").alias("id")).distinct()
-        schema = docs.select("id").schema.add("items", T.ArrayType(T.LongType()))
-        self.sets = scratch.keep(docs.join(need, "id", "left_semi").mapInArrow(lambda b: _sets(b, width), schema), "sets")
+        shared = scratch.keep(shared, "shared")     # read back, so that a key of many rows can be split in the join
+        self.left = scratch.keep(keys.join(shared.hint("merge"), "key", "left_semi"), "buckets")
+        need = self.left.select(F.col("rep").alias("id")).distinct()
+        schema = docs.select("id").schema.add("cls", "string").add("items", T.ArrayType(T.LongType()))
+        self.sets = scratch.keep(docs.join(need.hint("merge"), "id", "left_semi").mapInArrow(lambda b: _sets(b, width), schema), "sets")
+        self.link_schema = reps.select(F.col("rep").alias("u"), F.col("rep").alias("v")).schema
 
     def may_link(self, u: str, v: str) -> Column:
         """Sizes that allow the similarity, and signatures within the distance."""
@@ -143,36 +155,88 @@ class _Join:
     def signed(self, side: str) -> DataFrame:
         return self.reps.select(F.col("rep").alias(side), F.col("n").alias(f"n{side}"), F.col("sig").alias(f"s{side}"))
 
-    def near(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (u, v) that may link."""
-        return pairs.join(self.signed("u"), "u").join(self.signed("v"), "v").where(self.may_link("u", "v")).select("u", "v")
-
-    def links(self, near: DataFrame, name: str) -> DataFrame:
-        """(u, v) of the pairs whose sets pass."""
-        both = (near.distinct().join(self.sets.select(F.col("id").alias("u"), F.col("items").alias("iu")), "u")
-                .join(self.sets.select(F.col("id").alias("v"), F.col("items").alias("iv")), "v"))
+    def linked(self, pairs: DataFrame, name: str) -> DataFrame:
+        """The pairs (u, v), each given once, that are within the distance and whose sets pass."""
+        near = (pairs.join(self.signed("u").hint("merge"), "u").join(self.signed("v").hint("merge"), "v")
+                .where(self.may_link("u", "v")).select("u", "v").distinct())
+        both = (near.join(self.sets.select(F.col("id").alias("u"), F.col("items").alias("iu")).hint("merge"), "u")
+                .join(self.sets.select(F.col("id").alias("v"), F.col("items").alias("iv")).hint("merge"), "v"))
         inter = F.size(F.array_intersect("iu", "iv"))
         both = both.select("u", "v", inter.alias("i"), (F.size("iu") + F.size("iv")).alias("t"))
         return self.scratch.keep(both.where(100 * F.col("i") >= self.percent * (F.col("t") - F.col("i")))
-                                 .select("u", "v").distinct(), f"links{name}")
-
-
-def _merged(comp: DataFrame | None, links: DataFrame) -> DataFrame:
-    """(id, component) after two steps along new links between the components so
-    far (None: every id is its own).  Not yet the whole closure; what is still apart
-    is only compared once more."""
-    if comp is not None:
-        for side in ("u", "v"):
-            links = (links.join(comp.select(F.col("id").alias(side), F.col("component").alias("_c")), side, "left")
-                     .withColumn(side, F.coalesce("_c", side)).drop("_c"))
-    low = (links.where("u <> v").groupBy(F.greatest("u", "v").alias("id")).agg(F.min(F.least("u", "v")).alias("component")))
-    two = low.select(F.col("id").alias("component"), F.col("component").alias("next"))
-    step = low.join(two, "component", "left").select(F.col("id"), F.coalesce("next", "component").alias("component"))
-    if comp is None:
-        return step
-    to = step.select(F.col("id").alias("component"), F.col("component").alias("next"))
-    moved = comp.join(to, "component", "left").select("id", F.coalesce("next", "component").alias("component"))
-    return moved.unionByName(step.join(comp, "id", "left_anti"))
+                                 .select("u", "v").distinct(), f"links/{name}")
+
+    def links(self) -> DataFrame:
+        """All links so far, as one table."""
+        path = self.scratch.path("links")
+        return self.scratch.spark.read.schema(self.link_schema).option("recursiveFileLookup", "true").parquet(path)
+
+    def labelled(self, comp: DataFrame | None) -> DataFrame:
+        """(key, rep, comp, size) of the buckets that are left."""
+        if comp is None:
+            return self.left.withColumn("comp", F.col("rep")).withColumn("size", F.lit(1).cast("long"))
+        return (self.left.join(comp.hint("merge"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+                .withColumn("size", F.coalesce("size", F.lit(1))))
+
+    def hub_round(self, k: int, comp: DataFrame | None) -> DataFrame:
+        """Links of every document with one hub; leaves the buckets of several components."""
+        lab = self.labelled(comp)
+        order = F.struct(-F.col("size"), F.xxhash64("rep", F.lit(k)), F.col("rep").alias("hub"), F.col("comp").alias("of"))
+        hubs = (lab.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.min(order).alias("h"))
+                .where("a <> b").select("key", "h.hub", "h.of"))
+        hubs = self.scratch.keep(hubs, f"hubs{k}")
+        here = self.scratch.keep(lab.join(hubs.hint("merge"), "key"), f"here{k}")
+        often = here.where("comp <> of").groupBy("rep", "hub").agg(F.count("*").alias("c"))
+        pairs = often.groupBy(F.col("rep").alias("u")).agg(F.max_by("hub", F.struct("c", -F.col("hub"))).alias("v"))
+        self.left = here.select("key", "rep")
+        return self.linked(pairs, str(k))
+
+    def components(self, name: str) -> DataFrame:
+        """(rep, comp, size) over all links so far."""
+        c = connected_components(self.links(), self.scratch, f"cc{name}")
+        sizes = c.groupBy("component").agg(F.count("*").alias("size"))
+        return self.scratch.keep(c.join(sizes.hint("merge"), "component").select(
+            F.col("id").alias("rep"), F.col("component").alias("comp"), "size"), f"comp{name}")
+
+    def apart(self, comp: DataFrame) -> DataFrame:
+        """(rep, cls, comp, n) in buckets of several components with enough symbols that another one has."""
+        lab = self.labelled(comp)
+        mixed = lab.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("key")
+        mixed = self.scratch.keep(mixed, "mixed")
+        here = lab.join(mixed.hint("merge"), "key", "left_semi").select("rep", "comp").distinct()
+        here = self.reps.select("rep", "sig", "n", F.col("key").alias("cls")).join(here.hint("merge"), "rep")
+        symbols = here.select("rep", "cls", "comp", "n", F.posexplode(F.array(*[_symbol(F.col("sig"), i) for i in range(K)])).alias("place", "symbol"))
+        two = (symbols.groupBy("place", "symbol").agg(F.min("comp").alias("a"), F.max("comp").alias("b"))
+               .where("a <> b").select("place", "symbol"))
+        two = self.scratch.keep(two, "symbols")
+        good = symbols.join(two.hint("merge"), ["place", "symbol"], "left_semi").groupBy("rep", "cls", "comp", "n").agg(F.count("*").alias("c"))
+        return self.scratch.keep(good.where(F.col("c") >= K - H).drop("c"), "apart")
+
+    def prefixes(self, apart: DataFrame) -> DataFrame:
+        """(item, rep, comp, n, place): the shingles, in order of rarity, one of which the pair shares."""
+        sets = (self.sets.join(apart.select(F.col("rep").alias("id"), "cls", "comp", "n").hint("merge"), ["id", "cls"])
+                .groupBy("id", "cls", "comp", "n").agg(F.first("items").alias("items")))
+        each = self.scratch.keep(sets.select(F.col("id").alias("rep"), "cls", "comp", "n", F.explode("items").alias("item")), "each")
+        seen = (each.groupBy("item").agg(F.count("*").alias("df"), F.min("comp").alias("a"), F.max("comp").alias("b"))
+                .where("a <> b").select("item", "df"))
+        seen = self.scratch.keep(seen, "seen")
+        by = Window.partitionBy("rep", "cls")
+        need = F.ceil(self.percent * F.col("n") / 100)
+        ranked = (each.join(seen.hint("merge"), "item").withColumn("m", F.count("*").over(by)).where(F.col("m") >= need)
+                  .withColumn("place", F.col("n") - F.col("m") + F.row_number().over(by.orderBy("df", "item"))))
+        return self.scratch.keep(ranked.where(F.col("place") <= F.col("n") - need + 1).select("item", "rep", "comp", "n", "place"), "prefixes")
+
+    def remaining(self, comp: DataFrame) -> DataFrame:
+        """Links between components that the hubs didn't find."""
+        p = self.prefixes(self.apart(comp))
+        two = p.groupBy("item").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("item")
+        p = p.join(two.hint("merge"), "item", "left_semi")
+        a, b = (p.select("item", *[F.col(c).alias(c[0] + x) for c in ("rep", "comp", "n", "place")]) for x in "uv")
+        share = F.least(F.expr("nu - pu"), F.expr("nv - pv")) + 1
+        pairs = a.join(b.hint("merge"), "item").where(
+            F.expr("ru < rv AND cu <> cv") & ((100 + self.percent) * share >= self.percent * F.expr("nu + nv")))
+        pairs = pairs.select(F.col("ru").alias("u"), F.col("rv").alias("v")).distinct()
+        return self.linked(pairs, "last")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5,
@@ -203,55 +267,14 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     edges = several.select(F.col("id").alias("u"), F.col("rep").alias("v"))
 
     job = _Join(docs, scratch, classes, width, percent)
-    n_reps = classes.count()
-    left, comp, k = job.buckets, None, 0
-    while True:
-        if comp is None:
-            here = left.withColumn("comp", F.col("rep"))
-        else:
-            here = left.join(comp.withColumnRenamed("id", "rep"), "rep", "left").withColumn(
-                "comp", F.coalesce("component", "rep")).drop("component")
-            mixed = here.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("key")
-            here = scratch.keep(here.join(mixed, "key", "left_semi"), f"here{k}")
-            by = here.groupBy("key", "comp").agg(F.count("*").alias("c"))
-            top = by.groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("top"), F.sum("c").alias("all"),
-                                        F.max("c").alias("most"))
-            todo = top.agg(F.sum((F.col("all") - F.col("most")) * F.col("all"))).first()[0]
-            if not todo:
-                break
-            if todo <= AT_ONCE * n_reps:
-                # every pair that is left: a member outside the bucket's largest component, and any other
-                few = (here.join(top.select("key", "top"), "key").where("comp <> top")
-                       .select("key", F.col("rep").alias("u"), F.col("comp").alias("cu"), "top").join(job.signed("u"), "u"))
-                rest = here.select("key", F.col("rep").alias("v"), F.col("comp").alias("cv")).join(job.signed("v"), "v")
-                near = few.join(rest, (few["key"] == rest["key"]) & F.expr("cu <> cv AND (cv = top OR u < v)")
-                                & job.may_link("u", "v")).select("u", "v")
-                edges = edges.unionByName(job.links(near, f"{k}"))
-                break
-        if k == 0:
-            # every member and the smallest of its buckets' members that it meets most often
-            hubs = here.groupBy("key").agg(F.min("rep").alias("hub"))
-            often = here.join(hubs, "key").where("rep <> hub").groupBy("rep", "hub").agg(F.count("*").alias("c"))
-            pairs = often.groupBy(F.col("rep").alias("u")).agg(F.max_by("hub", F.struct("c", -F.col("hub"))).alias("v"))
-            new = job.links(job.near(pairs), "0")
-            edges = edges.unionByName(new)
-            comp = scratch.keep(_merged(None, new), "comp0")
-        else:
-            # some members of every bucket with all of other components; then these leave the bucket
-            many = F.ceil(F.col("all") / HUBS)
-            at = here.join(top.select("key", "all"), "key").withColumn("hub", F.pmod(F.xxhash64("rep", F.lit(k)), many) == 0)
-            all_ = at.select("key", F.col("rep").alias("u"), F.col("comp").alias("cu")).join(job.signed("u"), "u")
-            hubs = (at.where("hub").select(F.col("key").alias("k"), F.col("rep").alias("v"), F.col("comp").alias("cv"))
-                    .join(job.signed("v"), "v"))
-            near = (all_.join(hubs, (F.col("key") == F.col("k")) & (F.col("cu") != F.col("cv")) & job.may_link("u", "v"))
-                    .select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")))
-            new = job.links(near, f"{k}")
-            edges = edges.unionByName(new)
-            left = scratch.keep(at.where("NOT hub").select("key", "rep"), f"left{k}")
-            comp = scratch.keep(_merged(comp, new), f"comp{k}")
-        k += 1
+    comp = None
+    for k in range(ROUNDS):
+        job.hub_round(k, comp)
+        comp = job.components(str(k))
+    job.remaining(comp)
+    edges = edges.unionByName(job.links())
     comp = connected_components(edges, scratch, "all")
-    scratch.drop("sets", "buckets")
+    scratch.drop("sets", "buckets", "each", "prefixes", *[f"here{k}" for k in range(ROUNDS)])
     out = spread_join(members, comp.select(F.col("id").alias("rep"), "component"), ["rep"], ["id"])
     one = F.when(F.col("id").isNull(), None).otherwise(F.coalesce("component", "rep", "id"))
     return out.select(F.col("id").alias(doc_id), F.col("n").alias("n_shingles"), one.alias("component_id"),

@@ -520,3 +520,44 @@ def test_replacements_are_those_of_re_sub(spark):
         for s, e, new in tokencount.ordered(r["e"]):
             t = t[:s] + new + t[e:]
         assert t == (None if r["text"] is None else re.sub(r"\d+", "#", r["text"]))
+
+
+def test_minhash_families_that_share_a_passage_fall_apart(spark, monkeypatch):
+    """Documents that share 150 words and differ in 45 (similarity about 0.6): no pair of them
+    is confirmed beyond the hubs', though every two meet in several buckets."""
+    rng = random.Random(8)
+    passage = words(rng, 150, 10**6)
+    rows = [(i, passage + " " + words(rng, 45, 10**6)) for i in range(1000)]
+    rows += [(i + 1000, passage + " " + t.split(" ", 150)[150] + " end") for i, t in rows[::100]]
+    made = []
+    linked = minhash._Join.linked
+
+    def counted(self, pairs, name):
+        made.append(pairs.count())
+        return linked(self, pairs, name)
+    monkeypatch.setattr(minhash._Join, "linked", counted)
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), width=4)
+    comp = {r["doc_id"]: r["component_id"] for r in got.collect()}
+    assert comp == {i: (i - 1000 if i >= 1000 else i) for i, _ in rows}
+    assert len(made) == minhash.ROUNDS + 1 and all(m <= len(rows) for m in made[:-1]) and made[-1] <= len(rows)
+
+
+def test_minhash_families_without_a_hub_stay_whole(spark):
+    """Copies whose common original is missing: no hub is near all of them."""
+    rng = random.Random(12)
+    rows, i = [], 0
+    for _ in range(4):
+        base = words(rng, 200, 10**6).split()
+        for _ in range(60):
+            copy = list(base)
+            for _ in range(rng.randrange(0, 7)):
+                copy[rng.randrange(200)] = rng.choice(["aa", "bb", f"x{rng.randrange(10**6)}"])
+            rows.append((i, " ".join(copy)))
+            i += 1
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), width=4)
+    sets = {i: brute_sets(t, 4) for i, t in rows}
+    links = [(a, b) for a, b in itertools.combinations(sets, 2) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    want = components(list(sets), links)
+    have = {r["doc_id"]: r["component_id"] for r in got.collect()}
+    missed = [l for l in links if have[l[0]] != have[l[1]]]
+    assert all(want[i] == want[c] for i, c in have.items()) and len(missed) <= len(links) * 1e-3
