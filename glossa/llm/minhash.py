@@ -50,7 +50,7 @@ K, CHUNK, H = 70, 5, 27
 M = K // CHUNK
 WORDS = -(-K // 4)      # 64-bit words that hold a signature, four symbols each
 #: Rounds in which every document is compared with one hub.
-ROUNDS = 3
+ROUNDS = 2
 assert H // M == 1, "one masked symbol covers one error in a chunk"
 
 _rng = np.random.default_rng(20_241)
@@ -191,12 +191,26 @@ class _Join:
         self.left = here.select("key", "rep")
         return self.linked(pairs, str(k))
 
-    def components(self, name: str) -> DataFrame:
-        """(rep, comp, size) over all links so far."""
-        c = connected_components(self.links(), self.scratch, f"cc{name}")
-        sizes = c.groupBy("component").agg(F.count("*").alias("size"))
-        return self.scratch.keep(c.join(sizes.hint("merge"), "component").select(
-            F.col("id").alias("rep"), F.col("component").alias("comp"), "size"), f"comp{name}")
+    def merged(self, comp: DataFrame | None, k: int) -> DataFrame:
+        """(rep, comp, size) after two steps along a round's links between the components so far (None:
+        every rep is its own).  Not always the whole closure; what is still apart is only compared once more."""
+        links = self.scratch.spark.read.schema(self.link_schema).parquet(self.scratch.path(f"links/{k}"))
+        if comp is not None:
+            for side in ("u", "v"):
+                links = (links.join(comp.select(F.col("rep").alias(side), F.col("comp").alias("c")).hint("merge"), side, "left")
+                         .withColumn(side, F.coalesce("c", side)).drop("c"))
+        low = links.where("u <> v").groupBy(F.greatest("u", "v").alias("rep")).agg(F.min(F.least("u", "v")).alias("comp"))
+        two = low.select(F.col("rep").alias("comp"), F.col("comp").alias("next"))
+        new = low.join(two.hint("merge"), "comp", "left").select("rep", F.coalesce("next", "comp").alias("comp"))
+        if comp is not None:
+            to = new.select(F.col("rep").alias("comp"), F.col("comp").alias("next"))
+            moved = comp.select("rep", "comp").join(to.hint("merge"), "comp", "left").select("rep", F.coalesce("next", "comp").alias("comp"))
+            new = moved.unionByName(new.join(comp.select("rep").hint("merge"), "rep", "left_anti"))
+        new = self.scratch.keep(new, f"new{k}")
+        sizes = new.groupBy("comp").agg((F.count("*") + 1).alias("size"))      # and the one it is named after
+        return self.scratch.keep(new.join(sizes.hint("merge"), "comp").select("rep", "comp", "size")
+                                 .unionByName(sizes.select(F.col("comp").alias("rep"), "comp", "size")
+                                              .join(new.select("rep").hint("merge"), "rep", "left_anti")), f"comp{k}")
 
     def apart(self, comp: DataFrame) -> DataFrame:
         """(rep, cls, comp, n) in buckets of several components with enough symbols that another one has."""
@@ -270,11 +284,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     comp = None
     for k in range(ROUNDS):
         job.hub_round(k, comp)
-        comp = job.components(str(k))
+        comp = job.merged(comp, k)
     job.remaining(comp)
     edges = edges.unionByName(job.links())
     comp = connected_components(edges, scratch, "all")
-    scratch.drop("sets", "buckets", "each", "prefixes", *[f"here{k}" for k in range(ROUNDS)])
+    scratch.drop("sets", "buckets", "each", "prefixes", *[f"{t}{k}" for k in range(ROUNDS) for t in ("here", "new", "comp", "hubs")])
     out = spread_join(members, comp.select(F.col("id").alias("rep"), "component"), ["rep"], ["id"])
     one = F.when(F.col("id").isNull(), None).otherwise(F.coalesce("component", "rep", "id"))
     return out.select(F.col("id").alias(doc_id), F.col("n").alias("n_shingles"), one.alias("component_id"),
