@@ -86,10 +86,10 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sit
     salted = (found.withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(salts)]))))
     lines = (_lines(docs, doc_id, text, site, min_chars).where(F.col("id").isNotNull()).select("id", "key")
              .withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int")))
-    bad_keys, n_lines, n_removed = fresh(docs, "bad_keys", "n_lines", "n_removed")
+    bad_keys, n_lines, n_removed, bad_id = fresh(docs, "bad_keys", "n_lines", "n_removed", "_bad_id")
     bad = (lines.join(salted, ["key", "salt"]).where(F.col("id") != F.col("first_id"))
            .groupBy("id").agg(F.collect_set("key").alias(bad_keys)))
-    joined = docs.join(bad.withColumnRenamed("id", "_bad_id"), F.col(doc_id) == F.col("_bad_id"), "left")
+    joined = docs.join(bad.withColumnRenamed("id", bad_id), F.col(doc_id) == F.col(bad_id), "left")
     split = F.split(F.col(text), "\n")
     clean = F.filter(split, lambda x: ~F.array_contains(F.col(bad_keys), line_key(x)))
     breaks = F.length(text) - F.length(F.replace(F.col(text), F.lit("\n"), F.lit("")))

@@ -141,6 +141,7 @@ def mix(docs: DataFrame, weights: Mapping | None = None, block_docs: int = 64, d
     """
     spark = docs.sparkSession
     rank, block, slot, pos = fresh(docs, "_rank", "block", "slot", "mix_position")
+    of1, low, high, per, of2, low2, nth_, first, period = fresh(docs, "_of", "_low", "_high", "_per", "_of2", "_low2", "_nth", "_first", "_period")
     # one row per source: configuration-sized
     sizes = {r[0]: r[1] for r in docs.groupBy(source).count().collect()}
     order = sorted(sizes, key=lambda s: (s is None, s))
@@ -165,12 +166,12 @@ def mix(docs: DataFrame, weights: Mapping | None = None, block_docs: int = 64, d
     # phase of a block: a handful of ranges per source; then the slot by (phase, place in the period)
     ranges = layout.select("src", "lo", "hi", "per").distinct()
     d = rank_in_source(docs, sizes, doc_id, source, text, rank).withColumn(block, F.floor(F.col(rank) / block_docs))
-    d = d.join(F.broadcast(ranges.withColumnsRenamed({"src": "_rs", "lo": "_lo", "hi": "_hi", "per": "_per"})),
-               F.col(source).eqNullSafe(F.col("_rs")) & (F.col(block) >= F.col("_lo")) & (F.col(block) < F.col("_hi")))
-    d = d.join(small(layout.select(F.col("src").alias("_ls"), F.col("lo").alias("_llo"), F.col("j").alias("_j"),
-                                   F.col("first_slot").alias("_fs"), F.col("period").alias("_pd"))),
-               F.col(source).eqNullSafe(F.col("_ls")) & (F.col("_lo") == F.col("_llo"))
-               & ((F.col(block) - F.col("_lo")) % F.col("_per") == F.col("_j")))
-    s = F.col("_fs") + F.floor((F.col(block) - F.col("_lo")) / F.col("_per")) * F.col("_pd")
+    d = d.join(small(ranges.withColumnsRenamed({"src": of1, "lo": low, "hi": high, "per": per})),
+               F.col(source).eqNullSafe(F.col(of1)) & (F.col(block) >= F.col(low)) & (F.col(block) < F.col(high)))
+    d = d.join(small(layout.select(F.col("src").alias(of2), F.col("lo").alias(low2), F.col("j").alias(nth_),
+                                   F.col("first_slot").alias(first), F.col("period").alias(period))),
+               F.col(source).eqNullSafe(F.col(of2)) & (F.col(low) == F.col(low2))
+               & ((F.col(block) - F.col(low)) % F.col(per) == F.col(nth_)))
+    s = F.col(first) + F.floor((F.col(block) - F.col(low)) / F.col(per)) * F.col(period)
     return d.select(*[F.col(c) for c in docs.columns], F.col(block).cast("long").alias(block), s.cast("long").alias(slot),
                     (s * block_docs + F.col(rank) % block_docs).cast("long").alias(pos))

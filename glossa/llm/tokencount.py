@@ -26,7 +26,6 @@ import re
 from functools import lru_cache
 
 import pyarrow as pa
-import tiktoken
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,6 +42,7 @@ def read_ranks(spark: SparkSession, path: str) -> bytes:
 
 @lru_cache(2)
 def encoder(ranks: bytes) -> tiktoken.Encoding:
+    import tiktoken
     pairs = (line.split() for line in ranks.splitlines() if line)
     return tiktoken.Encoding("given", pat_str=PATTERN, special_tokens={},
                              mergeable_ranks={base64.b64decode(a): int(b) for a, b in pairs})
@@ -135,6 +135,7 @@ def ordered(edits: list | None) -> list[tuple[int, int, str]]:
 
 def token_trees(docs: DataFrame, ranks: bytes, text: str = "text") -> DataFrame:
     """``docs`` with a column ``tree``: struct(chars, tokens) of arrays over the leaves."""
+    docs = docs.drop("tree")        # an input column of that name gives way
     at = docs.columns.index(text)
 
     def run(batches):

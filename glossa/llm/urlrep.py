@@ -62,6 +62,8 @@ def rule_of(host: Column, path: Column, rules: list[Rule]) -> tuple[Column, Colu
 
 
 def domain_of(host: Column) -> Column:
+    """The last two labels.  Suffixes of several labels (co.uk) aren't known, so there the hosts of
+    all registrants are one domain."""
     return F.regexp_extract(host, r"([^.]*\.)?[^.]*$", 0)
 
 
@@ -124,7 +126,7 @@ def judge_urls(pages: DataFrame, rules: list[Rule], url: str = "url", bad: Colum
     on (host, salt), so that a host with a third of the pages is spread over
     ``salts`` tasks and neither side is broadcast by hand.
     """
-    host, path, rule, ruled, isbad, salt = fresh(pages, "host", "path", "rule", "ruled", "isbad", "salt")
+    host, path, rule, ruled, isbad, salt, low, of, part = fresh(pages, "host", "path", "rule", "ruled", "isbad", "salt", "bad_lower", "_of", "_part")
     hc, pc = url_parts(F.col(url))
     p = pages.withColumn(host, hc).withColumn(path, pc)
     rc, vc = rule_of(F.col(host), F.col(path), rules)
@@ -133,11 +135,11 @@ def judge_urls(pages: DataFrame, rules: list[Rule], url: str = "url", bad: Colum
                      if bad is None else bad)
     hosts = p.groupBy(F.col(host).alias("host")).agg(
         F.count(isbad).alias("n"), F.count(F.when(F.col(isbad), 1)).alias("k"))
-    rep = (host_reputation(hosts, z).select(F.col("host").alias("_rh"), "bad_lower")
-           .withColumn("_rs", F.explode(F.array(*[F.lit(i) for i in range(salts)]))))
+    rep = (host_reputation(hosts, z).select(F.col("host").alias(of), F.col("bad_lower").alias(low))
+           .withColumn(part, F.explode(F.array(*[F.lit(i) for i in range(salts)]))))
     p = p.withColumn(salt, F.pmod(F.xxhash64(F.col(url), F.monotonically_increasing_id()), F.lit(salts)).cast("int"))
-    out = p.join(rep, (F.col(host) == F.col("_rh")) & (F.col(salt) == F.col("_rs")), "left")
-    verdict = F.coalesce(F.col(ruled), F.when(F.round("bad_lower", 9) >= tau, "block").otherwise("allow"))
+    out = p.join(rep, (F.col(host) == F.col(of)) & (F.col(salt) == F.col(part)), "left")
+    verdict = F.coalesce(F.col(ruled), F.when(F.round(low, 9) >= tau, "block").otherwise("allow"))
     keep = [F.col(c) for c in pages.columns]
     return out.select(*keep, F.col(host).alias(host), F.col(path).alias(path), F.col(rule).alias(rule),
-                      verdict.alias(fresh(pages, "verdict")[0]), F.col("bad_lower").alias(fresh(pages, "bad_lower")[0]))
+                      verdict.alias(fresh(pages, "verdict")[0]), F.col(low))

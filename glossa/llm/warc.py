@@ -107,10 +107,19 @@ def iso_date(digits: str) -> str:
     return f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z"
 
 
+#: The blank line after an HTTP header; old servers end lines with a bare line feed.
+_BLANK = re.compile(rb"\r?\n\r?\n")
+
+
+def plain(data: bytes) -> bytes:
+    """The archive, unpacked if it is compressed."""
+    return gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
+
+
 def split_http(content: bytes) -> tuple[bytes, bytes]:
     """(header with its blank line, payload) of an HTTP message."""
-    at = content.find(b"\r\n\r\n")
-    return (content, b"") if at < 0 else (content[:at + 4], content[at + 4:])
+    m = _BLANK.search(content)
+    return (content[:m.end()], content[m.end():]) if m else (content, b"")
 
 
 def header_value(head: bytes, name: str) -> str | None:
@@ -172,8 +181,9 @@ def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 
 
 def _texts(chunks: list[bytes]) -> pa.RecordBatch:
-    """One archive a row, as text: all that is written here is UTF-8."""
-    return pa.RecordBatch.from_arrays([pa.array(chunks, pa.binary()).cast(pa.string())], ["value"])
+    """One archive a row.  The text sink writes a string's bytes as they are, so payloads in any
+    encoding, images too, go through unchanged."""
+    return pa.RecordBatch.from_arrays([pa.array(chunks, pa.binary()).view(pa.string())], ["value"])
 
 
 def _write_arc(batches, version: int, date: str):
@@ -218,7 +228,7 @@ def _payloads(batches):
     for b in batches:
         for path, data in zip(b.column(0).to_pylist(), b.column(1)):
             out = []
-            for i, r in enumerate(parse_arc(gzip.decompress(data.as_py()))):
+            for i, r in enumerate(parse_arc(plain(data.as_py()))):
                 if r.content.startswith(b"HTTP/"):
                     head, payload = split_http(r.content)
                     key = header_value(head, KEY)
@@ -234,7 +244,7 @@ def _convert(batches):
     for b in batches:
         for data, revisits in zip(b.column(0), b.column(1)):
             refer = {r["i"]: str(r["first"]) for r in revisits.as_py() or ()}
-            recs = parse_arc(gzip.decompress(data.as_py()))
+            recs = parse_arc(plain(data.as_py()))
             yield _texts([b"\r\n\r\n".join(to_warc(r, refer.get(i)) for i, r in enumerate(recs))])
 
 
@@ -254,7 +264,7 @@ def _read_warc(batches):
     for b in batches:
         for data in b.column(1):
             out = []
-            for f, block in parse_warc(gzip.decompress(data.as_py())):
+            for f, block in parse_warc(plain(data.as_py())):
                 if f["warc-type"] not in ("response", "revisit"):
                     continue
                 head, payload = split_http(block)

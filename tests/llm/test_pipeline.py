@@ -1,12 +1,15 @@
 """The pipeline on planted documents, stage by stage against brute force; queries and oracles."""
 
 import itertools
+import math
 import random
+import re
+import zlib
 
 import pytest
 
 import corpus_pipeline
-from glossa.llm import decontam, linededup, toxicity
+from glossa.llm import decontam, toxicity
 from tests.llm.test_small import DOCS, brute_sets, components, words
 
 
@@ -36,6 +39,45 @@ def planted(spark, tmp_path_factory):
     return str(at)
 
 
+def score_by_hand(model, text):
+    """Bias, weights of the present terms and every pair's product of factors."""
+    terms = set()
+    for w in re.findall(r"\w+", (text or "").lower()):
+        for t in [w, *[w[:n] + "*" for n in toxicity.STEMS if len(w) >= n]]:
+            b = zlib.crc32(t.encode()) % toxicity.BUCKETS
+            if b in model.index:
+                terms.add(model.index[b])
+    z = model.bias + sum(model.weight[i] for i in terms)
+    z += sum(float(model.factor[i] @ model.factor[j]) for i, j in itertools.combinations(sorted(terms), 2))
+    return 1 / (1 + math.exp(-max(-40, min(40, z))))
+
+
+def lines_by_hand(rows):
+    """Lines of 20 characters or more on ten sites, or of over 50 words in two documents, stay in the first document only;
+    documents that lose all their text go."""
+    seen = {}
+    for r in rows:
+        for line in (r["text"] or "").split("\n"):
+            k = line.strip(" ").lower()
+            if len(k) >= 20:
+                seen.setdefault(k, []).append((r["doc_id"], r["source"]))
+    gone = {}
+    for k, at in seen.items():
+        ids = {i for i, _ in at if i is not None}
+        if len({s for _, s in at if s is not None}) >= 10 or len(k.split()) > 50 and len(ids) > 1:
+            gone[k] = min(ids)
+    out = []
+    for r in rows:
+        if r["doc_id"] is None or not r["text"]:
+            out.append(r.asDict())
+            continue
+        lines = r["text"].split("\n")
+        kept = [x for x in lines if gone.get(x.strip(" ").lower(), r["doc_id"]) == r["doc_id"]]
+        if len(kept) == len(lines) or "\n".join(kept).strip(" "):
+            out.append(r.asDict() | {"text": "\n".join(kept)})
+    return out
+
+
 def test_stages(spark, planted):
     docs = spark.read.parquet(f"{planted}/documents.parquet")
     labels, bench = (spark.read.parquet(f"{planted}/{t}.parquet") for t in ("labels", "benchmark"))
@@ -52,10 +94,9 @@ def test_stages(spark, planted):
         assert result.columns == before.columns
         if name == "toxicity":
             model = toxicity.train(before, labels)
-            want = [r for r in was if model.score(model.columns(r["text"], {})) < 0.5]
+            want = [r for r in was if score_by_hand(model, r["text"]) < 0.5]
         elif name == "line_dedup":
-            want = [r for r in sorted(linededup.dedup_lines(before).collect(), key=key) if r["n_removed"] == 0 or r["text"].strip()]
-            assert [r["text"] for r in rows] == [r["text"] for r in want]
+            want = lines_by_hand(was)
         elif name == "near_duplicates":
             sets = {}
             for r in was:
@@ -86,6 +127,6 @@ def test_an_empty_table_stays_empty(spark, planted):
 
 def test_one_query_for_each_operator():
     from glossa.llm import queries
-    assert sorted(int(k[2:].split("_")[0]) for k in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(k[2:].split("_")[0]) for k in queries.QUERIES) == list(range(1, 14))
     assert set(queries.ORACLE) <= set(queries.QUERIES)
     assert 4 <= len(corpus_pipeline.STAGES) <= 5
