@@ -138,9 +138,9 @@ class _Join:
     def __init__(self, docs: DataFrame, scratch: Scratch, reps: DataFrame, width: int, percent: int):
         self.scratch, self.reps, self.percent = scratch, reps, percent
         keys = reps.select("rep", F.explode(bucket_keys(F.col("sig"))).alias("key"))
-        shared = keys.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
+        shared = keys.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
         shared = scratch.keep(shared, "shared")     # read back, so that a key of many rows can be split in the join
-        self.left = scratch.keep(keys.join(shared.hint("merge"), "key", "left_semi"), "buckets")
+        self.left = scratch.keep(keys.join(shared.hint("merge"), "key"), "buckets")
         need = self.left.select(F.col("rep").alias("id")).distinct()
         schema = docs.select("id").schema.add("cls", "string").add("items", T.ArrayType(T.LongType()))
         self.sets = scratch.keep(docs.join(need.hint("merge"), "id", "left_semi").mapInArrow(lambda b: _sets(b, width), schema), "sets")
@@ -172,9 +172,12 @@ class _Join:
         return self.scratch.spark.read.schema(self.link_schema).option("recursiveFileLookup", "true").parquet(path)
 
     def labelled(self, comp: DataFrame | None) -> DataFrame:
-        """(key, rep, comp, size) of the buckets that are left."""
+        """(key, rep, comp, size) of the buckets that are left.  In the first round every rep is its own and
+        its size is that of all its buckets together: the member that most others meet is the hub, the
+        original of a family of copies if it is there."""
         if comp is None:
-            return self.left.withColumn("comp", F.col("rep")).withColumn("size", F.lit(1).cast("long"))
+            weight = self.left.groupBy("rep").agg(F.sum("c").alias("size"))
+            return self.left.select("key", "rep").join(weight.hint("merge"), "rep").withColumn("comp", F.col("rep"))
         return (self.left.join(comp.hint("merge"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
                 .withColumn("size", F.coalesce("size", F.lit(1))))
 
