@@ -9,11 +9,10 @@ lacks are 0, those it has beyond are left out.
 from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossa.operators.ranks import global_rank
+from glossa.operators.ranks import global_rank, scratch_path
 
 
 def feature_order(feats: DataFrame) -> DataFrame:
@@ -22,21 +21,23 @@ def feature_order(feats: DataFrame) -> DataFrame:
 
 
 def vectors(feats: DataFrame, order: DataFrame, groups: DataFrame, controls=(), value_col: str = "group_norm") -> DataFrame:
-    """``groups`` with ``features``: a sparse vector over the order, controls last."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.linalg import Vectors, VectorUDT
-    p = order.count()
-
-    @F.udf(VectorUDT())
-    def sparse(pairs):
-        return Vectors.sparse(p, [(x["idx"], x["v"]) for x in pairs or ()])
-
-    per = (feats.join(order, "feat").groupBy("group_id")
-           .agg(F.collect_list(F.struct("idx", F.col(value_col).cast("double").alias("v"))).alias("_pairs")))
-    d = groups.join(per, "group_id", "left").withColumn("_lang", sparse("_pairs"))
-    d = d.withColumn("_ctl", array_to_vector(F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in controls])
-                                             if controls else F.array().cast("array<double>")))
-    return VectorAssembler(inputCols=["_lang", "_ctl"], outputCol="features").transform(d).drop("_pairs", "_lang", "_ctl")
+    """``groups`` with ``features``: a sparse vector over the order, controls last.  The table is written once, with
+    vectors in their stored form (type, size, indices, values) made by the aggregate, and read back as vectors,
+    so no row passes through Python."""
+    from pyspark.ml.linalg import VectorUDT
+    from pyspark.sql.types import StructField, StructType
+    p, controls = order.count(), list(controls)
+    pairs = F.sort_array(F.collect_list(F.struct("idx", F.col(value_col).cast("double").alias("v"))))
+    per = feats.join(order, "feat").groupBy("group_id").agg(pairs.alias("_p"))
+    none = F.array().cast("array<struct<idx:int,v:double>>")
+    extra = F.array(*[F.struct(F.lit(p + i).alias("idx"), F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias("v"))
+                      for i, c in enumerate(controls)]) if controls else none
+    d = groups.join(per, "group_id", "left").withColumn("_p", F.concat(F.coalesce("_p", none), extra))
+    stored = F.struct(F.lit(0).cast("tinyint").alias("type"), F.lit(p + len(controls)).alias("size"),
+                      F.col("_p.idx").alias("indices"), F.col("_p.v").alias("values"))
+    path = scratch_path(feats.sparkSession, "vectors")
+    d.withColumn("features", stored).drop("_p").write.parquet(path)
+    return feats.sparkSession.read.schema(StructType([*groups.schema.fields, StructField("features", VectorUDT())])).parquet(path)
 
 
 def fit(feats: DataFrame, groups: DataFrame, outcomes, stages, controls=(), value_col: str = "group_norm"):

@@ -21,24 +21,29 @@ from pyspark.sql import functions as F
 _LOW = 1 << 33
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` once as parquet into the session's shared checkpoint
-    folder and read it back: cuts lineage and pins nondeterministic columns,
-    so a retried stage (lost executor) or a second consumer sees exactly the
-    same rows.  (A table write, not ``localCheckpoint``: it survives the loss
-    of the executor that computed it.)"""
+def scratch_path(spark, tag: str = "") -> str:
+    """A new path in the session's shared checkpoint folder.  Only a session on a ``local``
+    master without that setting gets a folder of its own (tests, single-machine runs)."""
     import uuid
     from glossa.session import checkpoint_dir, local_fallback_dir
-    spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         master = spark.sparkContext.master
         if not master.startswith("local") or master.startswith("local-cluster"):
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        base = checkpoint_dir(spark, local_fallback_dir())   # tests / single-machine runs only
-    path = f"{base.rstrip('/')}/glossa-{uuid.uuid4().hex}"
+        base = checkpoint_dir(spark, local_fallback_dir())
+    return f"{base.rstrip('/')}/glossa-{tag + '-' if tag else ''}{uuid.uuid4().hex}"
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Write ``df`` once as parquet into the session's shared checkpoint
+    folder and read it back: cuts lineage and pins nondeterministic columns,
+    so a retried stage (lost executor) or a second consumer sees exactly the
+    same rows.  (A table write, not ``localCheckpoint``: it survives the loss
+    of the executor that computed it.)"""
+    path = scratch_path(df.sparkSession)
     df.write.mode("errorifexists").parquet(path)
-    return spark.read.parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def global_rank(df: DataFrame, order_cols, out: str = "rn") -> DataFrame:
