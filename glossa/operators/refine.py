@@ -113,7 +113,8 @@ def group_by_outcome(feats: DataFrame, outcomes: DataFrame, outcome_col: str) ->
     size = o.groupBy("outcome_value").agg(F.count(F.lit(1)).alias("_n"))
     agg = (feats.join(o, "group_id").groupBy("outcome_value", "feat")
            .agg(F.sum("value").alias("value"), F.sum("group_norm").alias("_gn")))
-    return (agg.join(F.broadcast(size), "outcome_value")
+    # a row per distinct outcome value, as many as groups at worst: Spark decides on the join
+    return (agg.join(size, "outcome_value")
             .select("outcome_value", "feat", "value", (F.col("_gn") / F.col("_n")).alias("group_norm")))
 
 

@@ -160,42 +160,55 @@ def control_combos(controls, sizes=None) -> list:
     return [tuple(c) for s in sizes for c in itertools.combinations(controls, s)]
 
 
+#: Models scored in one pass over the rows.
+MODELS_PER_PASS = 2000
+
+
+def _combo_coef(G: np.ndarray, feats: list, ci: list, yi: int, with_lang: bool, alpha: float, residualized: bool) -> np.ndarray:
+    """Coefficients of one model; residualized: language fitted to the residuals of the controls' model."""
+    if not (with_lang and residualized and ci):
+        return ridge_from_gram(G, ci + (feats if with_lang else []), yi, alpha)
+    bc = ridge_from_gram(G, ci, yi, alpha)
+    # Gram of (1, X, r) with r = y - [1, C] b
+    T = np.eye(G.shape[0])
+    T[yi, :] -= bc
+    T[yi, yi] = 1.0
+    T[yi, 0] = -bc[0]
+    c = bc + ridge_from_gram(T @ G @ T.T, feats, yi, alpha)
+    c[yi] = 0.0
+    return c
+
+
 def combo_test(design, rows: DataFrame, alpha: float = 1000.0, sizes=None, residualized: bool = False) -> DataFrame:
     """Out-of-fold predictions for every outcome x control combination x
     {controls only, with language}; all models come from the same Grams
-    (sub-matrices) and are scored in one pass.
+    (sub-matrices), are solved in Spark tasks and scored in blocks of models.
 
     ``residualized``: the language model is fit on the training residuals of
     the controls model (``X'(y - C b) = X'y - X'C b`` from the Gram) and its
     prediction is added to the controls prediction."""
+    spark = rows.sparkSession
     feats = list(range(1, design.p + 1))
-    recs = []
-    for o in design.outcomes:
-        yi = design.index(o)
-        for combo in control_combos(design.controls, sizes):
-            ci = [design.index(c) for c in combo]
-            for with_lang in (False, True):
-                if with_lang and not feats:
-                    continue
-                mid = f"{o}|{','.join(combo)}|{int(with_lang)}"
-                for k in design.folds:
-                    G = design.total(exclude=k)
-                    if with_lang and residualized and ci:
-                        bc_ = ridge_from_gram(G, ci, yi, alpha)
-                        # Gram of (1, X, r) with r = y - [1, C] b_c
-                        T = np.eye(G.shape[0])
-                        T[yi, :] -= bc_
-                        T[yi, yi] = 1.0
-                        T[yi, 0] = -bc_[0]
-                        Gr = T @ G @ T.T
-                        bl = ridge_from_gram(Gr, feats, yi, alpha)
-                        c = bc_ + bl
-                        c[yi] = 0.0
-                    else:
-                        c = ridge_from_gram(G, ci + (feats if with_lang else []), yi, alpha)
-                    recs.append((mid, k, o, c.tolist()))
-    models = pd.DataFrame(recs, columns=["model_id", "fold", "outcome", "coef"])
-    return _score(rows, models, {o: design.index(o) for o in design.outcomes})
+    place = {o: design.index(o) for o in design.outcomes}
+    work = [(f"{o}|{','.join(combo)}|{int(lang)}", k, o, [design.index(c) for c in combo], lang)
+            for o in design.outcomes for combo in control_combos(design.controls, sizes)
+            for lang in ((False, True) if feats else (False,)) for k in design.folds]
+    bc = spark.sparkContext.broadcast({k: design.total(exclude=k) for k in design.folds})      # folds x d x d, d bounded
+
+    def solve(batches):
+        grams = bc.value
+        for pdf in batches:
+            yield pd.DataFrame({"model_id": pdf["model_id"], "fold": pdf["fold"], "outcome": pdf["outcome"], "coef": [
+                _combo_coef(grams[r.fold], feats, [int(i) for i in r.controls], place[r.outcome], bool(r.lang), alpha, residualized).tolist()
+                for r in pdf.itertuples()]})
+    todo = spark.createDataFrame(work, "model_id string, fold int, outcome string, controls array<int>, lang boolean")
+    todo = todo.repartition(min(len(work), 4 * spark.sparkContext.defaultParallelism))
+    models = todo.mapInPandas(solve, "model_id string, fold int, outcome string, coef array<double>").toPandas()
+    out = None
+    for i in range(0, len(models), MODELS_PER_PASS):
+        part = _score(rows, models.iloc[i:i + MODELS_PER_PASS], place)
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def score_summary(preds: DataFrame) -> DataFrame:

@@ -16,21 +16,34 @@ def rnd(c, k: int = 6):
 _STORE: dict = {}
 
 
+def input_state(spark, sf_dir: str) -> int:
+    """A number that changes with the files of a folder's tables (names, lengths, times), from any
+    file system that Spark reads."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(sf_dir)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    seen = []
+    for table in fs.listStatus(path):
+        files = fs.listStatus(table.getPath()) if table.isDirectory() else [table]
+        seen += [(f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in files]
+    return hash(tuple(sorted(seen)))
+
+
 def stored(spark, key: tuple, build):
-    """Feature-table store: a derived table is written once (parquet in the
-    session's checkpoint folder) and later queries of the same session read
-    it, as feature tables are extracted once and analysed many times."""
-    import os
-    k = (spark.sparkContext.applicationId,) + key
+    """Feature-table store: a derived table is written once (parquet in the session's checkpoint folder) and
+    later queries of the same session read it, as feature tables are extracted once and analysed many
+    times.  ``key`` is (name, input folder, ...); it is built anew when the input's files have changed, or
+    its own are gone."""
+    from glossa.operators.ranks import scratch_path
+    k, state = (spark.sparkContext.applicationId,) + key, input_state(spark, key[1])
     hit = _STORE.get(k)
-    if hit is not None:
-        path, df = hit
-        if not path.startswith("/") or os.path.exists(path):   # a local path that vanished is rebuilt
-            return df
-    from glossa.operators.ranks import materialize
-    df = materialize(build())
-    path = df.inputFiles()[0].split("file:", 1)[-1].rsplit("/", 1)[0] if df.inputFiles() else ""
-    _STORE[k] = (path, df)
+    if hit is not None and hit[0] == state:
+        at = spark._jvm.org.apache.hadoop.fs.Path(hit[1])
+        if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+            return hit[2]
+    path = scratch_path(spark, "store")
+    build().write.parquet(path)
+    df = spark.read.parquet(path)
+    _STORE[k] = (state, path, df)
     return df
 
 

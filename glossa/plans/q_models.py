@@ -100,18 +100,40 @@ def _fit_all_predict(spark, sf_dir, alpha=1000.0):
 
 @register("predict_to_feats")
 def q_predict_to_feats(spark, sf_dir):
-    """Predictions of a model trained on all groups, written as feature rows."""
+    """Predictions of a model trained on all groups, written as a feature table and read back."""
+    from glossa.operators.ranks import scratch_path
+    from glossa.sources import io as IO
     p = _fit_all_predict(spark, sf_dir)
-    return p.select("group_id", F.concat(F.lit("p_ridge$"), "model_id").alias("feat"),
-                    F.col("yhat").alias("value"), F.col("yhat").alias("group_norm"))
+    path = scratch_path(spark, "feats") + "/p_ridge"
+    IO.write_feature_table(p.select("group_id", F.concat(F.lit("p_ridge$"), "model_id").alias("feat"),
+                                    F.col("yhat").alias("value"), F.col("yhat").alias("group_norm")), path)
+    return spark.read.parquet(path)
 
 
 @register("predict_to_outcomes")
 def q_predict_to_outcomes(spark, sf_dir):
-    """Predictions as a wide outcome table ``p_<outcome>`` per group."""
-    p = _fit_all_predict(spark, sf_dir)
-    return p.groupBy("group_id").pivot("model_id", OUTCOMES).agg(F.first("yhat")).select(
-        "group_id", *[F.col(o).alias(f"p_{o}") for o in OUTCOMES])
+    """Predictions as a wide outcome table ``p_ridge$<outcome>`` per group, which replaces an
+    earlier one; read back."""
+    from glossa.operators.ranks import scratch_path
+    from glossa.sources import io as IO
+    path = scratch_path(spark, "outcomes") + "/p_ridge"
+    for alpha in (1.0, 1000.0):         # the second run replaces the first one's table
+        p = _fit_all_predict(spark, sf_dir, alpha)
+        IO.write_outcome_table(p.groupBy("group_id").pivot("model_id", OUTCOMES).agg(F.first("yhat")).select(
+            "group_id", *[F.col(o).alias(f"p_ridge${o}") for o in OUTCOMES]), path)
+    return spark.read.parquet(path)
+
+
+@register("metric_log")
+def q_metric_log(spark, sf_dir):
+    """Out-of-fold metrics of two models appended to a log, read back with the model's name."""
+    from glossa.operators.ranks import scratch_path
+    from glossa.sources import io as IO
+    _, _, _, d, rows = customer_design(spark, sf_dir)
+    path = scratch_path(spark, "log")
+    for name, kw in (("ridge", {"alpha": 1000.0}), ("linear", {"model": "linear", "controls": CONTROLS})):
+        IO.append_metrics(RG.score_summary(RG.cv_predict(d, rows, **kw)).withColumn("model", F.lit(name)), path)
+    return spark.read.parquet(path)
 
 
 @register("regression_to_lexicon")
@@ -219,23 +241,22 @@ def q_pca_variance(spark, sf_dir):
 
 @register("reduce_fwe_pca")
 def q_reduce_fwe_pca(spark, sf_dir):
-    """Univariate family-wise selection (alpha 60) then PCA on the kept
-    features (PCA alone when nothing is kept; k = min(10, kept))."""
-    from pyspark.ml.functions import vector_to_array
-    from glossa.operators import ml as ML
+    """Univariate family-wise selection (alpha 60) for both outcomes, then the leading components of the
+    kept, centred features (of all when nothing is kept; k = min(10, kept)), for any number of features."""
     from glossa.operators.correlate import correlate
     from glossa.operators.select import select_fwe
+    from glossa.operators.sparse import component_scores, principal_components, sparse_design
     feats = src.order_feats(spark, sf_dir)
     frame = customer_frame(spark, sf_dir).na.drop()
-    c = correlate(feats, frame, ["acctbal"], groups=frame.select("group_id"), with_p=False)
-    keep = select_fwe(c, 60.0).select("feat")
-    kept = feats.join(keep, "feat", "left_semi")
-    use = kept if kept.limit(1).count() > 0 else feats
-    vocab, d = GR.build_design(use, frame, [], ["acctbal"])
-    rows = GR.design_rows(use, vocab, frame, [], ["acctbal"])
-    data = ML.assemble(rows, d, None)
-    m = ML.centered_pca(data, min(10, d.p))
-    return m.transform(data).select("group_id", vector_to_array("pcs").alias("pcs"))
+    c = correlate(feats, frame, OUTCOMES, groups=frame.select("group_id"), with_p=False)
+    keep = select_fwe(c, 60.0)
+    out = None
+    for o in OUTCOMES:
+        kept = feats.join(keep.where(F.col("outcome") == o).select("feat"), "feat", "left_semi")
+        d = sparse_design(kept if not kept.isEmpty() else feats, frame)
+        p = component_scores(d, principal_components(d, min(10, d.p))).select("group_id", F.lit(o).alias("outcome"), "pcs")
+        out = p if out is None else out.unionByName(p)
+    return out
 
 
 @register("reducer_to_lexicon")
@@ -290,75 +311,77 @@ def q_score_rows(spark, sf_dir):
 
 @register("train_predict")
 def q_train_predict(spark, sf_dir):
-    """Two feature blocks (brand, type shares), each scaled by its own
-    scaler, assembled, one model per outcome; trained on the training split,
-    predictions for the test split."""
-    from pyspark.ml.feature import StandardScaler, VectorAssembler
-    from pyspark.ml.regression import LinearRegression
-    from pyspark.ml import Pipeline
-    from glossa.operators import ml as ML
+    """Three blocks (brand, type shares, order words) with their own scaler; types selected per outcome,
+    words of the order priorities and states reduced to components; fitted on the training customers,
+    saved, loaded and applied to the test customers."""
+    from glossa.operators import blocks as BL
     from glossa.operators.folds import train_test_split
+    from glossa.operators.ranks import scratch_path
     frame = customer_frame(spark, sf_dir).na.drop()
-    blocks = []
-    for col in ("p_brand", "p_type"):
-        f = src.order_feats(spark, sf_dir, col)
-        vocab, d = GR.build_design(f, frame, [], OUTCOMES)
-        r = ML.assemble(GR.design_rows(f, vocab, frame, [], OUTCOMES), d, None).withColumnRenamed("features", f"x_{col}")
-        blocks.append(r.drop("fold"))
-    data = blocks[0].join(blocks[1], "group_id").join(frame.select("group_id", *OUTCOMES), "group_id")
     split = train_test_split(frame.select("group_id"), 0.2)
-    data = data.join(split, "group_id")
-    stages = [StandardScaler(inputCol=f"x_{c}", outputCol=f"s_{c}", withMean=True, withStd=True) for c in ("p_brand", "p_type")]
-    stages.append(VectorAssembler(inputCols=["s_p_brand", "s_p_type"], outputCol="features"))
+    frame = frame.drop("fold").join(split.select("group_id", F.when(F.col("split") == "test", 0).otherwise(1).alias("fold")), "group_id")
+    tables = {"brand": src.order_feats(spark, sf_dir, "p_brand"), "type": src.order_feats(spark, sf_dir, "p_type"),
+              "state": src.order_states(spark, sf_dir)}
+    design = BL.block_design(tables, frame, CONTROLS, OUTCOMES)
+    model = BL.fit(design, [BL.Block("brand"), BL.Block("type", best=60), BL.Block("state", reduce=5)], alpha=1000.0, without=0)
+    path = scratch_path(spark, "blocks")
+    BL.save(path, model)
+    weights, _ = BL.load(spark, path)
+    test = frame.where("fold = 0")
+    p = BL.predict(weights, {k: t.join(test.select("group_id"), "group_id", "left_semi") for k, t in tables.items()}, test, CONTROLS)
+    y = test.select("group_id", F.expr("stack(2, 'acctbal', acctbal, 'avg_price', avg_price) AS (outcome, y)"))
+    return p.join(y, ["group_id", "outcome"]).select("group_id", "outcome", "y", "yhat")
+
+
+def base_predictions(spark, sf_dir, frame, outcomes, parts: dict, train: int, score: list):
+    """(group_id, fold, outcome, b_<base> ...): bases fitted on the rows of fold ``train``, applied to
+    those of ``score``.  ``parts``: base -> (feature table or None for the controls, alpha)."""
     out = None
-    for o in OUTCOMES:
-        pipe = Pipeline(stages=stages + [LinearRegression(featuresCol="features", labelCol=o, regParam=0.1)])
-        m = pipe.fit(data.where(F.col("split") == "train"))
-        p = m.transform(data.where(F.col("split") == "test")).select(
-            "group_id", F.lit(o).alias("outcome"), F.col(o).alias("y"), F.col("prediction").alias("yhat"))
-        out = p if out is None else out.unionByName(p)
+    for name, (feats, alpha) in parts.items():
+        cols = [] if feats is not None else CONTROLS
+        vocab, d = GR.build_design(feats, frame, cols, outcomes)
+        rows = GR.design_rows(feats, vocab, frame, cols, outcomes)
+        xi = list(range(1, d.p + 1)) + [d.index(c) for c in cols]
+        recs = [(o, k, o, RG.ridge_from_gram(d.grams[train], xi, d.index(o), alpha).tolist()) for o in outcomes for k in score]
+        p = RG._score(rows, pd.DataFrame(recs, columns=["model_id", "fold", "outcome", "coef"]), {o: d.index(o) for o in outcomes})
+        p = p.select("group_id", "fold", F.col("model_id").alias("outcome"), F.col("yhat").alias(f"b_{name}"))
+        out = p if out is None else out.join(p, ["group_id", "fold", "outcome"])
     return out
 
 
 @register("stacking")
 def q_stacking(spark, sf_dir):
-    """Stacking: out-of-fold predictions of three base models (brand shares,
-    type shares, controls) combined by ridge for every combination of size >= 2."""
+    """Three-way stacking: base models (brand shares, type shares, controls) fitted on the training customers, a
+    ridge over their predictions fitted on the combiner's customers for every combination of two or more,
+    judged on the test customers; no customer of one part is seen by an earlier fit."""
     import itertools
+    from glossa.operators.folds import split3
     frame = customer_frame(spark, sf_dir).na.drop()
-    bases = {}
-    for name, col in (("brand", "p_brand"), ("type", "p_type")):
-        f = src.order_feats(spark, sf_dir, col)
-        vocab, d = GR.build_design(f, frame, [], ["acctbal"])
-        rows = GR.design_rows(f, vocab, frame, [], ["acctbal"])
-        bases[name] = RG.cv_predict(d, rows, alpha=1000.0).select("group_id", F.col("yhat").alias(f"b_{name}"))
-    vocab0, d0 = GR.build_design(None, frame, CONTROLS, ["acctbal"])
-    rows0 = GR.design_rows(None, None, frame, CONTROLS, ["acctbal"])
-    bases["controls"] = RG.cv_predict(d0, rows0, alpha=1.0, use_feats=False, controls=CONTROLS).select(
-        "group_id", F.col("yhat").alias("b_controls"))
-    stacked = frame.select("group_id", "fold", "acctbal")
-    for b in bases.values():
-        stacked = stacked.join(b, "group_id")
+    part = F.when(F.col("split") == "test", 0).when(F.col("split") == "combiner", 1).otherwise(2)
+    frame = frame.drop("fold").join(split3(frame.select("group_id")).select("group_id", part.alias("fold")), "group_id")
+    bases = {"brand": (src.order_feats(spark, sf_dir, "p_brand"), 1000.0), "type": (src.order_feats(spark, sf_dir, "p_type"), 1000.0),
+             "controls": (None, 1.0)}
+    from glossa.operators.ranks import materialize
+    got = materialize(base_predictions(spark, sf_dir, frame, OUTCOMES, bases, 2, [0, 1]))
     out = None
-    for size in (2, 3):
-        for combo in itertools.combinations(sorted(bases), size):
-            cols = [f"b_{c}" for c in combo]
-            _, dc = GR.build_design(None, stacked, cols, ["acctbal"])
-            rc = GR.design_rows(None, None, stacked, cols, ["acctbal"])
-            p = RG.cv_predict(dc, rc, alpha=1.0, use_feats=False, controls=cols)
-            s = RG.score_summary(p).withColumn("model_id", F.lit("+".join(combo)))
-            out = s if out is None else out.unionByName(s)
+    for o in OUTCOMES:
+        stacked = got.where(F.col("outcome") == o).drop("outcome").join(frame.select("group_id", o), "group_id")
+        cols = [f"b_{b}" for b in sorted(bases)]
+        _, d = GR.build_design(None, stacked, cols, [o])
+        rows = GR.design_rows(None, None, stacked, cols, [o])
+        combos = [c for size in (2, 3) for c in itertools.combinations(sorted(bases), size)]
+        recs = [(f"{o}|{'+'.join(c)}", 0, o, RG.ridge_from_gram(d.grams[1], [d.index(f"b_{b}") for b in c], d.index(o), 1.0).tolist()) for c in combos]
+        s = RG.score_summary(RG._score(rows, pd.DataFrame(recs, columns=["model_id", "fold", "outcome", "coef"]), {o: d.index(o)}))
+        out = s if out is None else out.unionByName(s)
     return out
 
 
 def saved_model(spark, sf_dir, feats, groups, outcomes, stages, controls=()):
     """Fit on the training groups, save, load, predict the test groups."""
-    import uuid
     from glossa.operators import lifecycle as LC
     from glossa.operators.folds import train_test_split
-    from glossa.session import checkpoint_dir, local_fallback_dir
-    base = spark.conf.get("spark.checkpoint.dir", None) or checkpoint_dir(spark, local_fallback_dir())
-    path = f"{base.rstrip('/')}/glossa-model-{uuid.uuid4().hex}"
+    from glossa.operators.ranks import scratch_path
+    path = scratch_path(spark, "model")
     d = groups.join(train_test_split(groups.select("group_id"), 0.2), "group_id")
     models, order = LC.fit(feats, d.where("split = 'train'"), outcomes, stages, controls)
     LC.save(path, models, order, controls)

@@ -501,14 +501,14 @@ def q_combo_rmatrix(spark, sf_dir):
 
 @register("mediation_boot")
 def q_mediation_boot(spark, sf_dir):
-    """Bootstrap (Poisson weights, 100 replicates) of the indirect effect of
+    """Bootstrap (Poisson weights, 1,000 replicates) of the indirect effect of
     each brand share between order count and account balance."""
     from glossa.operators.stats_models import mediation_boot
     feats = src.order_feats(spark, sf_dir)
     ctl = src.customer_controls(spark, sf_dir).select("group_id", "n_orders")
     data = (src.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("group_id"), F.col("c_acctbal").alias("y"))
             .join(ctl, "group_id").where(F.col("n_orders") > 0))
-    return mediation_boot(feats, data, "n_orders", "y", reps=100)
+    return mediation_boot(feats, data, "n_orders", "y", reps=1000)
 
 
 @register("correl_filter")
@@ -531,7 +531,8 @@ def q_t_pvalue(spark, sf_dir):
 
 @register("auc_boot")
 def q_auc_boot(spark, sf_dir):
-    """AUC of each feature for quality with a Poisson-weight bootstrap p (50 replicates)."""
+    """AUC of each feature for both labels with a Poisson-weight bootstrap p (1,000 replicates)."""
     from glossa.operators.stats_models import auc_boot
     _, kept, groups = base_feats(spark, sf_dir)
-    return auc_boot(kept, src.label_outcomes(spark, sf_dir), "quality", groups, reps=50)
+    lab = src.label_outcomes(spark, sf_dir)
+    return auc_boot(kept, lab, "quality", groups, reps=1000).unionByName(auc_boot(kept, lab, "toxic", groups, reps=1000))

@@ -415,11 +415,9 @@ def q_feat_occ_topn(spark, sf_dir):
 def q_gzip_csv_ngrams(spark, sf_dir):
     """Messages written to a gzip CSV in the shared folder and read back
     (multi-line quoted text), then 1-grams per source."""
-    import uuid
+    from glossa.operators.ranks import scratch_path
     from glossa.sources import io as IO
-    from glossa.session import checkpoint_dir, local_fallback_dir
-    base = spark.conf.get("spark.checkpoint.dir", None) or checkpoint_dir(spark, local_fallback_dir())
-    path = f"{base.rstrip('/')}/glossa-csv-{uuid.uuid4().hex}"
+    path = scratch_path(spark, "csv")
     IO.write_messages_csv(src.messages_by_source(spark, sf_dir), path)
     m = IO.read_messages_csv(spark, path, "message_id", "group_id", "message")
     return _feat_out(FE.ngram_feats(src.spread(m), 1))
@@ -428,13 +426,40 @@ def q_gzip_csv_ngrams(spark, sf_dir):
 @register("feature_table_sink")
 def q_feature_table_sink(spark, sf_dir):
     """1-gram table written as a feature table, listed and read back."""
-    import uuid
+    from glossa.operators.ranks import scratch_path
     from glossa.sources import io as IO
-    from glossa.session import checkpoint_dir, local_fallback_dir
-    base = spark.conf.get("spark.checkpoint.dir", None) or checkpoint_dir(spark, local_fallback_dir())
-    root = f"{base.rstrip('/')}/glossa-feats-{uuid.uuid4().hex}"
+    root = scratch_path(spark, "feats")
     IO.write_feature_table(FE.ngram_feats(src.messages_by_doc(spark, sf_dir), 1), f"{root}/feat_1gram_documents")
     IO.write_outcome_table(src.label_outcomes(spark, sf_dir), f"{root}/outcomes")
     listed = IO.list_feature_tables(spark, root)
     back = spark.read.parquet(f"{root}/feat_1gram_documents")
     return back.withColumn("table_name", F.lit(listed.first()["table_name"]))
+
+
+@register("split_text_file", """SELECT CAST(doc_id AS VARCHAR) AS uid, CASE WHEN doc_id % 5 = 0 THEN 'test' ELSE 'train' END AS split,
+       nullif(regexp_replace(text, '[\\t\\n\\r]', ' ', 'g'), '') AS text FROM documents""")
+def q_split_text_file(spark, sf_dir):
+    """Documents written as a tab-separated file (uid, TEST or TRAIN, text in one line) and read back."""
+    from glossa.operators.ranks import scratch_path
+    from glossa.sources import io as IO
+    d = src.table(spark, sf_dir, "documents")
+    split = F.when(F.col("doc_id") % 5 == 0, "TEST").otherwise("TRAIN")
+    line = F.concat_ws("\t", F.col("doc_id").cast("string"), split, F.regexp_replace("text", "[\t\n\r]", " "))
+    path = scratch_path(spark, "split")
+    d.select(line.alias("value")).write.text(path)
+    return IO.read_split_text(spark, path)
+
+
+@register("matrix_csv", f"""WITH {S.feat_ctes('documents', 'source')},
+t AS (SELECT feat FROM f GROUP BY feat ORDER BY sum(value) DESC, feat LIMIT 20)
+SELECT group_id, feat, round(group_norm, 9) AS group_norm FROM f WHERE feat IN (SELECT feat FROM t)""")
+def q_matrix_csv(spark, sf_dir):
+    """Relative frequencies of the 20 most frequent words by source, written as a CSV and read back."""
+    from glossa.operators.ranks import scratch_path
+    from glossa.sources import io as IO
+    feats = source_unigrams(spark, sf_dir)
+    top = feats.groupBy("feat").agg(F.sum("value").alias("n")).orderBy(F.desc("n"), "feat").limit(20)
+    path = scratch_path(spark, "matrix")
+    IO.write_csv(feats.join(top, "feat", "left_semi").select("group_id", "feat", "group_norm"), path)
+    back = spark.read.csv(path, header=True, schema="group_id string, feat string, group_norm double")
+    return back.withColumn("group_norm", F.round("group_norm", 9))

@@ -22,5 +22,5 @@ def register(name: str, sql: str | None = None):
 def load_all():
     # importing the plan modules fills the registry
     from glossa.plans import (  # noqa: F401
-        q_text, q_refine, q_align, q_stats, q_eval, q_models, q_class, q_panels)
+        q_text, q_refine, q_align, q_stats, q_eval, q_models, q_class, q_panels, q_wide)
     return QUERIES, ORACLE

@@ -102,6 +102,13 @@ def order_feats(spark, sf_dir, feat_col: str = "p_brand") -> DataFrame:
     return attach_group_norm(counts)
 
 
+def order_states(spark, sf_dir) -> DataFrame:
+    """Numeric feature table: customer x order priority and status, summed price."""
+    o = table(spark, sf_dir, "orders").select(
+        F.col("o_custkey").alias("group_id"), F.concat_ws(" ", "o_orderpriority", "o_orderstatus").alias("feat"), "o_totalprice")
+    return attach_group_norm(o.groupBy("group_id", "feat").agg(F.sum("o_totalprice").alias("value")))
+
+
 def event_feats(spark, sf_dir) -> DataFrame:
     """Small dense feature table: user x event type, summed value."""
     counts = (table(spark, sf_dir, "events")
