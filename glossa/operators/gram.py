@@ -52,7 +52,7 @@ def vocabulary(feats: DataFrame, max_cols: int = MAX_COLS) -> DataFrame:
     v = feats.select("feat").distinct()
     n = v.count()
     if n > max_cols:
-        raise ValueError(f"{n} features exceed {max_cols}; select or reduce first")
+        raise ValueError(f"{n} features exceed {max_cols}: use glossa.operators.sparse, or select or reduce first")
     return global_rank(v, [F.col("feat")], "idx").withColumn("idx", (F.col("idx") - 1).cast("int"))
 
 

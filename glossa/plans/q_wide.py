@@ -20,7 +20,7 @@ from glossa.operators import sparse as SP
 from glossa.operators import sparse_cca as SC
 from glossa.plans.common import rnd, stored
 from glossa.plans.q_class import DOC_CONTROLS, doc_frame
-from glossa.plans.q_models import customer_design
+from glossa.plans.q_models import CONTROLS, customer_design, customer_frame
 from glossa.plans.q_stats import base_feats
 from glossa.plans.q_text import _ORDER_FEATS_SQL
 from glossa.plans.registry import register
@@ -96,10 +96,16 @@ def control_sets(controls) -> list:
 
 @register("classify_combos")
 def q_classify_combos(spark, sf_dir):
-    """Logistic regression of both labels for every control set, alone, with language and with language
-    adapted to the set (products), five folds: accuracy and AUC of the pooled held-out rows."""
-    d = words_design(spark, sf_dir, controls=DOC_CONTROLS)
-    kinds = dict.fromkeys((c, lang, ad) for c in control_sets(DOC_CONTROLS) for lang, ad in ((False, ()), (True, ()), (True, c)) if lang or c)
+    """Logistic regression of two labels (a positive balance, a mean price above that of all customers) for every
+    set of the four controls: alone, with language (brand shares) and with language adapted to the set
+    (products); five folds: accuracy and AUC of the pooled held-out customers."""
+    frame = customer_frame(spark, sf_dir).na.drop()
+    mean = frame.agg(F.avg("avg_price")).first()[0]
+    frame = frame.select("group_id", "fold", *CONTROLS, (F.col("acctbal") > 0).cast("double").alias("rich"),
+                         (F.col("avg_price") > F.lit(mean)).cast("double").alias("dear"))
+    feats = stored(spark, ("order_feats", sf_dir, "p_brand"), lambda: src.order_feats(spark, sf_dir))
+    d = SP.sparse_design(feats, frame, CONTROLS, ["rich", "dear"])
+    kinds = dict.fromkeys((c, lang, ad) for c in control_sets(CONTROLS) for lang, ad in ((False, ()), (True, ()), (True, c)) if lang or c)
     specs = [LG.Spec(lab, k, c, lang, ad) for c, lang, ad in kinds for lab in d.outcomes for k in d.folds]
     fitted = LG.fit(d, specs)
     p = LG.probabilities(d, fitted)
