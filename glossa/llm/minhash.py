@@ -195,16 +195,21 @@ class _Join:
         return self.linked(pairs, str(k))
 
     def merged(self, comp: DataFrame | None, k: int) -> DataFrame:
-        """(rep, comp, size) after two steps along a round's links between the components so far (None:
-        every rep is its own).  Not always the whole closure; what is still apart is only compared once more."""
+        """(rep, comp, size) after a few steps along a round's links between the components so far (None: every
+        rep is its own): the smallest id among neighbours and theirs, and that one's.  Not always the whole
+        closure; what is still apart is only compared once more."""
         links = self.scratch.spark.read.schema(self.link_schema).parquet(self.scratch.path(f"links/{k}"))
         if comp is not None:
             for side in ("u", "v"):
                 links = (links.join(comp.select(F.col("rep").alias(side), F.col("comp").alias("c")).hint("merge"), side, "left")
                          .withColumn(side, F.coalesce("c", side)).drop("c"))
-        low = links.where("u <> v").groupBy(F.greatest("u", "v").alias("rep")).agg(F.min(F.least("u", "v")).alias("comp"))
-        two = low.select(F.col("rep").alias("comp"), F.col("comp").alias("next"))
-        new = low.join(two.hint("merge"), "comp", "left").select("rep", F.coalesce("next", "comp").alias("comp"))
+        both = links.where("u <> v")
+        both = both.select("u", "v").unionByName(both.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        one = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("low"))
+        two = (both.join(one.select(F.col("u").alias("v"), F.col("low").alias("of")).hint("merge"), "v").groupBy("u").agg(F.min("of").alias("of"))
+               .join(one.hint("merge"), "u").select(F.col("u").alias("rep"), F.least("low", "of").alias("comp")))
+        jump = two.select(F.col("rep").alias("comp"), F.col("comp").alias("next"))
+        new = two.join(jump.hint("merge"), "comp", "left").select("rep", F.coalesce("next", "comp").alias("comp")).where("rep <> comp")
         if comp is not None:
             to = new.select(F.col("rep").alias("comp"), F.col("comp").alias("next"))
             moved = comp.select("rep", "comp").join(to.hint("merge"), "comp", "left").select("rep", F.coalesce("next", "comp").alias("comp"))
