@@ -1,8 +1,8 @@
 """Feature x outcome correlation with absent features counted as zeros.
 
-One pass over the long feature table: per (feat, outcome) the sums
-``Sx, Sxx, Sxy`` over the groups where the feature is present, joined with
-the per-outcome ``N, Sy, Syy`` (one row per outcome, so bounded).  The
+One pass over the long feature table: per feature the sums
+``Sx, Sxx, Sxy`` of every outcome over the groups where the feature is present (a row per feature,
+not per feature and outcome, is shuffled), joined with the per-outcome ``N, Sy, Syy`` (one row per outcome, so bounded).  The
 closed form then gives Pearson r exactly as if every absent (group, feat)
 cell were a 0, without ever densifying.  Partial aggregation makes the
 shuffle skew-proof: a hot feature collapses to one row per map task.
@@ -25,6 +25,19 @@ def long_outcomes(outcomes: DataFrame, cols, name: str = "outcome", value: str =
     return outcomes.select("group_id", F.expr(stack)).where(F.col(value).isNotNull())
 
 
+def wide_outcomes(outcomes: DataFrame, cols, extra=()) -> DataFrame:
+    """``(group_id, *extra, _y0, _y1, ...)``: the rows with any outcome, a double column for each."""
+    cols = list(cols)
+    y = outcomes.select("group_id", *extra, *[F.col(f"`{c}`").cast("double").alias(f"_y{i}") for i, c in enumerate(cols)])
+    return y.where(F.coalesce(*[F.col(f"_y{i}") for i in range(len(cols))]).isNotNull())
+
+
+def by_outcome(df: DataFrame, cols, names, keep=("feat",)) -> DataFrame:
+    """Columns ``<name>_<i>`` of the i-th outcome as rows: (outcome, *keep, *names)."""
+    rows = F.array(*[F.struct(F.lit(c).alias("outcome"), *[F.col(f"{n}_{i}").alias(n) for n in names]) for i, c in enumerate(cols)])
+    return df.select(*keep, F.explode(rows).alias("_o")).select("_o.outcome", *keep, *[f"_o.{n}" for n in names])
+
+
 def _r(n, sx, sy, sxx, syy, sxy) -> Column:
     num = n * sxy - sx * sy
     den = F.sqrt((n * sxx - sx * sx) * (n * syy - sy * sy))
@@ -40,14 +53,18 @@ def correlate(feats: DataFrame, outcomes: DataFrame, outcome_cols, groups: DataF
     """
     if groups is None:
         groups = feats.select("group_id").distinct()
-    y = long_outcomes(outcomes, outcome_cols).join(groups, "group_id", "left_semi")
-    ystats = y.groupBy("outcome").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("y").alias("sy"), F.sum(F.col("y") * F.col("y")).alias("syy"))
+    outcome_cols = list(outcome_cols)
+    y = wide_outcomes(outcomes, outcome_cols).join(groups, "group_id", "left_semi")
+    ys = [F.col(f"_y{i}") for i in range(len(outcome_cols))]
+    ystats = by_outcome(y.agg(*[c for i, v in enumerate(ys) for c in (
+        F.count(v).alias(f"n_{i}"), F.sum(v).alias(f"sy_{i}"), F.sum(v * v).alias(f"syy_{i}"))]), outcome_cols, ("n", "sy", "syy"), ())
     x = feats.select("group_id", "feat", F.col(value_col).alias("x"))
-    xy = (x.join(y, "group_id").groupBy("outcome", "feat").agg(
-        F.sum("x").alias("sx"), F.sum(F.col("x") * F.col("x")).alias("sxx"),
-        F.sum(F.col("x") * F.col("y")).alias("sxy"),
-        F.count(F.when(F.col("x") > 0, 1)).alias("freq")))
+    aggs = []
+    for i, v in enumerate(ys):
+        at = F.when(v.isNotNull(), F.col("x"))
+        aggs += [F.count(v).alias(f"k_{i}"), F.sum(at).alias(f"sx_{i}"), F.sum(at * at).alias(f"sxx_{i}"), F.sum(at * v).alias(f"sxy_{i}"),
+                 F.count(F.when(at > 0, 1)).alias(f"freq_{i}")]
+    xy = by_outcome(x.join(y, "group_id").groupBy("feat").agg(*aggs), outcome_cols, ("k", "sx", "sxx", "sxy", "freq")).where(F.col("k") > 0)
     # ystats has one row per outcome: broadcasting it is bounded by the outcome count
     j = xy.join(F.broadcast(ystats), "outcome")
     n = F.col("n").cast("double")
@@ -111,11 +128,17 @@ def correlate_controls(feats: DataFrame, outcomes: DataFrame, outcome_cols, cont
               + ", ".join(f"iy{i} double" for i in range(c + 1)))
     ostats = feats.sparkSession.createDataFrame(rows, schema)
     x = feats.select("group_id", "feat", F.col(value_col).alias("x"))
-    xaggs = [F.sum("x").alias("zx0"), F.sum(F.col("x") ** 2).alias("sxx"),
-             F.sum(F.col("x") * F.col("y")).alias("sxy"),
-             F.count(F.when(F.col("x") > 0, 1)).alias("freq")]
-    xaggs += [F.sum(F.col("x") * F.col(f"_c{i}")).alias(f"zx{i + 1}") for i in range(c)]
-    xy = x.join(y, "group_id").groupBy("outcome", "feat").agg(*xaggs)
+    outcome_cols = list(outcome_cols)
+    wide = wide_outcomes(outcomes, outcome_cols).join(groups, "group_id", "left_semi").join(ctl, "group_id")
+    xaggs = []
+    for o in range(len(outcome_cols)):
+        v = F.col(f"_y{o}")
+        at = F.when(v.isNotNull(), F.col("x"))
+        xaggs += [F.count(v).alias(f"k_{o}"), F.sum(at).alias(f"zx0_{o}"), F.sum(at ** 2).alias(f"sxx_{o}"), F.sum(at * v).alias(f"sxy_{o}"),
+                  F.count(F.when(at > 0, 1)).alias(f"freq_{o}")]
+        xaggs += [F.sum(at * F.col(f"_c{i}")).alias(f"zx{i + 1}_{o}") for i in range(c)]
+    xy = by_outcome(x.join(wide, "group_id").groupBy("feat").agg(*xaggs), outcome_cols,
+                    ("k", "sxx", "sxy", "freq", *[f"zx{i}" for i in range(c + 1)])).where(F.col("k") > 0)
     j = xy.join(F.broadcast(ostats), "outcome")
     # quadratic forms with the small inverse
     zx = [F.col(f"zx{i}") for i in range(c + 1)]

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glossa.functions.dist import f_pvalue
+from glossa.operators.ranks import materialize
 
 # The alpha sweep of the family-wise selector.
 FWE_ALPHAS = (0.25, 0.5, 1.0, 1.5, 2.0, 4.0, 5.0, 7.5, 10.0, 20.0, 30.0, 50.0, 100.0, 200.0)
@@ -33,7 +34,7 @@ def select_fwe(corrs: DataFrame, alpha: float = 60.0) -> DataFrame:
 
 def fwe_sweep(corrs: DataFrame, alphas=FWE_ALPHAS) -> DataFrame:
     """Number of features kept per outcome for each alpha of the sweep."""
-    s = f_stats(corrs)
+    s = materialize(f_stats(corrs))     # read twice
     m = s.groupBy("outcome").agg(F.count(F.lit(1)).alias("_m"))
     x = s.join(F.broadcast(m), "outcome").select(
         "outcome", "p_f", "_m", F.explode(F.array(*[F.lit(float(a)) for a in alphas])).alias("alpha"))

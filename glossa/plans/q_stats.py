@@ -35,8 +35,8 @@ def flagship(spark, sf_dir, with_p: bool = True, share=None):
     """1-grams per document -> occurrence filter, where a share is given -> r with
     quality / toxic (absent = 0)."""
     feats, kept, groups = base_feats(spark, sf_dir, share)
-    return correlate(kept, src.label_outcomes(spark, sf_dir), ["quality", "toxic"], groups=groups,
-                     with_p=with_p)
+    return materialize(correlate(kept, src.label_outcomes(spark, sf_dir), ["quality", "toxic"], groups=groups,
+                                 with_p=with_p))        # a row per feature and outcome; users read it several times
 
 
 _BASE_CTES = f"""{S.feat_ctes('documents', 'doc_id')},
