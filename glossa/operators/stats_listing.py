@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glossa.operators.ranks import rank_within, top_k_per_key
+from glossa.operators.ranks import materialize, rank_within, top_k_per_key
 
 # Words masked in tag-cloud output (ours).
 EXPLETIVES = ("damn", "hell", "crap")
@@ -13,6 +13,7 @@ EXPLETIVES = ("damn", "hell", "crap")
 
 def correlate_summary(corrs: DataFrame, p_max: float = 0.05, p_col: str = "p_adj") -> DataFrame:
     """Rank of each feature by |r| per outcome plus the count with p < p_max."""
+    corrs = materialize(corrs)      # read twice
     cnt = corrs.groupBy("outcome").agg(F.count(F.when(F.col(p_col) < p_max, 1)).alias("n_significant"))
     c = corrs.where(F.col("r").isNotNull()).withColumn("_absr", F.abs("r"))
     ranked = rank_within(c, ["outcome"], [F.col("_absr").desc(), F.col("feat")], "rank")
