@@ -470,14 +470,14 @@ def q_ddla_groups(spark, sf_dir):
     from glossa.operators.stats_models import interaction
     _, kept, _ = base_feats(spark, sf_dir)
     fr = _doc_frame_en(spark, sf_dir)
-    sig = interaction(kept, fr, "quality", "is_en").where(F.col("p") < 0.001).select("feat")
+    sig = materialize(interaction(kept, fr, "quality", "is_en").where(F.col("p") < 0.001).select("feat"))
     wl = kept.join(sig, "feat", "left_semi")
-    out = None
-    for flag in (1.0, 0.0):
-        g = fr.where(F.col("is_en") == flag).select("group_id")
-        c = correlate(wl, src.label_outcomes(spark, sf_dir), ["quality"], groups=g).withColumn("is_en", F.lit(flag))
-        out = c if out is None else out.unionByName(c)
-    return out
+    # both sides in one pass over the features: the label of the documents of a side is its outcome
+    sides = fr.groupBy("group_id").agg(*[F.max(F.col("is_en") == f).alias(k) for k, f in (("english", 1.0), ("other", 0.0))])
+    lab = src.label_outcomes(spark, sf_dir).join(sides, "group_id").select("group_id", *[F.when(F.col(k), F.col("quality")).alias(k) for k in ("english", "other")])
+    c = correlate(wl, lab, ["english", "other"], groups=sides.select("group_id"))
+    return c.select(F.lit("quality").alias("outcome"), "feat", "r", "n", "freq", "t", "p",
+                    F.when(F.col("outcome") == "english", 1.0).otherwise(0.0).alias("is_en"))
 
 
 @register("combo_rmatrix")
