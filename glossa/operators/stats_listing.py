@@ -21,8 +21,8 @@ def correlate_summary(corrs: DataFrame, p_max: float = 0.05, p_col: str = "p_adj
 
 
 def tagcloud_data(corrs: DataFrame, k: int = 15, p_max: float = 0.05, clean: bool = True) -> DataFrame:
-    sig = corrs.where((F.col("p") < p_max) & F.col("r").isNotNull()).withColumn(
-        "sign", F.when(F.col("r") > 0, F.lit("pos")).otherwise(F.lit("neg")))
+    sig = materialize(corrs.where((F.col("p") < p_max) & F.col("r").isNotNull()).withColumn(
+        "sign", F.when(F.col("r") > 0, F.lit("pos")).otherwise(F.lit("neg"))))      # read three times
     # drop a feature contained (as whole words) in a stronger feature of the
     # same sign: every phrase emits its proper contiguous sub-phrases, which
     # are equi-joined to the features (no pairwise comparison)

@@ -429,11 +429,11 @@ def q_tagcloud_data(spark, sf_dir):
     """Top 15 positive and negative significant features per outcome (p < .05),
     with n-grams contained in a stronger n-gram of the same sign dropped."""
     from glossa.operators.stats_listing import tagcloud_data
-    from glossa.operators.feats import ngram_feats
     from glossa.operators.refine import feat_occ_filter as occ
-    feats = ngram_feats(src.messages_by_doc(spark, sf_dir), [1, 2])
-    kept = occ(feats, 0.05)
-    c = correlate(kept, src.label_outcomes(spark, sf_dir), ["quality", "toxic"], groups=feats.select("group_id").distinct())
+    feats = doc_unigrams(spark, sf_dir).unionByName(doc_unigrams(spark, sf_dir, 2))    # both tables are written once
+    groups = materialize(feats.select("group_id").distinct())
+    kept = occ(feats, 0.05, n_groups=groups.count())
+    c = correlate(kept, src.label_outcomes(spark, sf_dir), ["quality", "toxic"], groups=groups)
     return tagcloud_data(c, 15, 0.05)
 
 
