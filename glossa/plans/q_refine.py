@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from glossa.operators import feats as FE
 from glossa.operators import refine as R
 from glossa.operators import scalar as SC
+from glossa.operators.ranks import materialize
 from glossa.plans import sqlfrag as S
 from glossa.plans.common import _DOC_WIDE, doc_wide, rnd, doc_unigrams, source_unigrams
 from glossa.plans.q_stats import _SLICE_CTES, flagship
@@ -368,9 +369,10 @@ SELECT 'log' AS func, group_id, feat, round(log2(gn + 1), 6) AS group_norm FROM
 UNION ALL SELECT 'sqrt', group_id, feat, round(sqrt(gn), 6) FROM a""")
 def q_lex_value_funcs(spark, sf_dir):
     words = doc_unigrams(spark, sf_dir)
+    plain = materialize(FE.lexicon_feats(words, src.lexicon(spark)))     # counted once for both functions
     out = None
     for fn in ("log", "sqrt"):
-        t = FE.lexicon_feats(words, src.lexicon(spark), vfunc=fn)
+        t = FE.apply_value_func(plain, fn, lexicon=True)
         t = t.select(F.lit(fn).alias("func"), "group_id", "feat", rnd("group_norm").alias("group_norm"))
         out = t if out is None else out.unionByName(t)
     return out
