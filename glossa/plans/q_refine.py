@@ -163,9 +163,8 @@ pm AS (SELECT parts.feat, ln(parts.c / (SELECT tn FROM tb)) - (sum(ln(cw.cw)) -
        FROM parts JOIN cw ON parts.wd = cw.feat GROUP BY parts.feat, parts.c HAVING count(*) = 2)
 {_FEAT_SEL} FROM (SELECT * FROM w UNION ALL SELECT * FROM b WHERE feat IN (SELECT feat FROM pm WHERE pmi >= 3))""")
 def q_pmi_filter(spark, sf_dir):
-    m = src.messages_by_source(spark, sf_dir)
-    words = FE.ngram_feats(m, 1)
-    both = words.unionByName(FE.ngram_feats(m, 2))
+    words = source_unigrams(spark, sf_dir)          # both tables are written once and read several times
+    both = words.unionByName(source_unigrams(spark, sf_dir, 2))
     return _feat_out(R.pmi_filter(both, words, 3.0))
 
 
