@@ -7,6 +7,8 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from glossa.operators.ranks import materialize
+
 _FEAT_COLS = ["group_id", "feat", "value", "group_norm"]
 
 
@@ -93,6 +95,7 @@ def combine_feats(tables: dict) -> DataFrame:
     u = parts[0]
     for p in parts[1:]:
         u = u.unionByName(p)
+    u = materialize(u)      # read twice
     owners = u.groupBy("feat").agg(F.countDistinct("_src").alias("_ns"))
     return (u.join(owners, "feat")
             .withColumn("feat", F.when(F.col("_ns") > 1, F.concat_ws(":", "_src", "feat")).otherwise(F.col("feat")))
