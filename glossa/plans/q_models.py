@@ -244,12 +244,14 @@ def q_reduce_fwe_pca(spark, sf_dir):
     """Univariate family-wise selection (alpha 60) for both outcomes, then the leading components of the
     kept, centred features (of all when nothing is kept; k = min(10, kept)), for any number of features."""
     from glossa.operators.correlate import correlate
+    from glossa.operators.ranks import materialize
     from glossa.operators.select import select_fwe
     from glossa.operators.sparse import component_scores, principal_components, sparse_design
-    feats = src.order_feats(spark, sf_dir)
-    frame = customer_frame(spark, sf_dir).na.drop()
+    from glossa.plans.common import stored
+    feats = stored(spark, ("order_feats", sf_dir, "p_brand"), lambda: src.order_feats(spark, sf_dir))
+    frame = materialize(customer_frame(spark, sf_dir).na.drop())
     c = correlate(feats, frame, OUTCOMES, groups=frame.select("group_id"), with_p=False)
-    keep = select_fwe(c, 60.0)
+    keep = materialize(select_fwe(materialize(c), 60.0))
     out = None
     for o in OUTCOMES:
         kept = feats.join(keep.where(F.col("outcome") == o).select("feat"), "feat", "left_semi")

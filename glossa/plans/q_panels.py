@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from glossa.operators import gram as GR
 from glossa.operators import ridge as RG
 from glossa.operators.ranks import materialize
+from glossa.plans.common import stored
 from glossa.plans.q_models import CONTROLS, OUTCOMES, customer_design, customer_frame
 from glossa.plans.registry import register
 from glossa.sources import tables as src
@@ -215,8 +216,8 @@ def q_res_control(spark, sf_dir):
     """Residual traits of both outcomes: (1) infer the outcome from language, (2) improve it with the
     controls, (3) take the residual, (4) predict the residual from three feature sets (brand, type,
     both); every step within the outer training folds."""
-    frame = customer_frame(spark, sf_dir).na.drop()
-    brand, typ = src.order_feats(spark, sf_dir, "p_brand"), src.order_feats(spark, sf_dir, "p_type")
+    frame = materialize(customer_frame(spark, sf_dir).na.drop())
+    brand, typ = (stored(spark, ("order_feats", sf_dir, c), lambda c=c: src.order_feats(spark, sf_dir, c)) for c in ("p_brand", "p_type"))
     sets = {"brand": brand, "type": typ, "brand+type": brand.unionByName(typ)}
     parts = []
     for o in OUTCOMES:
