@@ -84,9 +84,15 @@ def decompose(K: np.ndarray, bound_u: float, bound_v: float, components: int, st
     return np.array(us).T.reshape(p, -1), np.array(vs).T.reshape(q, -1), np.array(ds)
 
 
-def permuted_places(i: np.ndarray, n: int, key: int) -> np.ndarray:
+def _turned(right: np.ndarray, key: int, turn: int) -> np.ndarray:
+    h = (right + np.uint64((key * 6 + turn + 1) * 0x9E3779B97F4A7C15 % (1 << 64))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(32))
+
+
+def permuted_places(i: np.ndarray, n: int, key: int, back: bool = False) -> np.ndarray:
     """A keyed permutation of 0..n-1 (a Feistel network over the next even number of bits; values
-    beyond n are sent through again)."""
+    beyond n are sent through again), or with ``back`` its inverse."""
     half = max(1, (max(n - 1, 1).bit_length() + 1) // 2)
     mask = np.uint64((1 << half) - 1)
     out = i.astype(np.uint64)
@@ -94,10 +100,11 @@ def permuted_places(i: np.ndarray, n: int, key: int) -> np.ndarray:
     with np.errstate(over="ignore"):
         while todo.any():
             left, right = out[todo] >> np.uint64(half), out[todo] & mask
-            for turn in range(6):
-                h = (right + np.uint64((key * 6 + turn + 1) * 0x9E3779B97F4A7C15 % (1 << 64))) * np.uint64(0xBF58476D1CE4E5B9)
-                h = (h ^ (h >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
-                left, right = right, left ^ ((h ^ (h >> np.uint64(32))) & mask)
+            for turn in reversed(range(6)) if back else range(6):
+                if back:
+                    left, right = right ^ (_turned(left, key, turn) & mask), left
+                else:
+                    left, right = right, left ^ (_turned(right, key, turn) & mask)
             out[todo] = (left << np.uint64(half)) | right
             todo = out >= np.uint64(n)
     return out.astype(np.int64)
@@ -111,18 +118,22 @@ def _with_permutations(design: SparseDesign, perms: int, seed: int) -> DataFrame
     """The complete rows, y followed by the columns of the group that each permutation assigns."""
     rows = _complete(design).withColumn("_h", hash_order("group_id", seed))
     ranked = materialize(global_rank(rows, [F.col("_h"), F.col("group_id")], "_i").drop("_h"))
-    n = ranked.count()
+    return materialize(_dealt(ranked, ranked.count(), perms, seed))
+
 
+def _dealt(ranked: DataFrame, n: int, perms: int, seed: int) -> DataFrame:
+    """The ranked rows with y of the group at each permutation's place after their own.  A group sends its y to
+    the rows that it is assigned to, so the n x perms rows pass one shuffle and meet in no join, and what is joined is
+    never broadcast: the size of exploded rows isn't known beforehand."""
     @F.pandas_udf(T.ArrayType(T.LongType()))
     def places(i):
         import pandas as pd
         a = i.to_numpy() - 1
-        return pd.Series(list(np.stack([permuted_places(a, n, seed * 1_000_003 + r) for r in range(perms)], 1)))
-    wanted = ranked.select("_i", F.posexplode(places("_i")).alias("r", "j"))
-    given = ranked.select((F.col("_i") - 1).alias("j"), F.col("y").alias("of"))
-    arrays = (wanted.join(given, "j").groupBy("_i").agg(F.sort_array(F.collect_list(F.struct("r", "of"))).alias("a"))
+        return pd.Series(list(np.stack([permuted_places(a, n, seed * 1_000_003 + r, back=True) for r in range(perms)], 1)))
+    given = ranked.select(F.col("y").alias("of"), F.posexplode(places("_i")).alias("r", "i"))
+    arrays = (given.groupBy((F.col("i") + 1).alias("_i")).agg(F.sort_array(F.collect_list(F.struct("r", "of"))).alias("a"))
               .select("_i", F.flatten(F.col("a.of")).alias("more")))
-    return materialize(ranked.join(arrays, "_i").select("group_id", "fold", "idx", "val", F.concat("y", "more").alias("y")))
+    return ranked.join(arrays.hint("merge"), "_i").select("group_id", "fold", "idx", "val", F.concat("y", "more").alias("y"))
 
 
 def _cross(rows: DataFrame, p: int, width: int) -> tuple:

@@ -264,3 +264,18 @@ def test_p_under_the_null(spark):
         d = cca_design(spark, sparse_matrix(rng, 60, 10, 0.6), rng.normal(size=(60, 2)))
         ps.append(SC.permutation_table(d, penalties=(0.5,), perms=19)[0][-1])
     assert 0.15 < np.mean(ps) < 0.85 and min(ps) >= 0.05
+
+
+def test_permuted_columns_are_sent_without_a_broadcast(spark):
+    for n in (1, 2, 7, 64, 1000):
+        for k in (0, 5):
+            there = SC.permuted_places(np.arange(n), n, k)
+            assert (SC.permuted_places(there, n, k, back=True) == np.arange(n)).all()
+    n, perms, seed = 60, 20, 3
+    ranked = spark.createDataFrame([(i, 0, [0], [1.0], [float(i), float(-i)], i + 1) for i in range(n)],
+                                   "group_id long, fold int, idx array<int>, val array<double>, y array<double>, _i long").repartition(3)
+    d = SC._dealt(ranked, n, perms, seed)
+    assert "Broadcast" not in d._jdf.queryExecution().executedPlan().toString()
+    for r in d.collect():
+        want = [r["group_id"], *[int(SC.permuted_places(np.array([r["group_id"]]), n, seed * 1_000_003 + k)[0]) for k in range(perms)]]
+        assert r["y"] == [float(v) for j in want for v in (j, -j)]
