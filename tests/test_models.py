@@ -169,3 +169,32 @@ def test_multiple_regression_matches_pinv(setup):
         b = np.linalg.pinv(A.T @ A) @ (A.T @ fr[o].to_numpy())
         got = res[res.outcome == o]["coef"].to_numpy()
         assert np.allclose(got, b, rtol=1e-6, atol=1e-6)
+
+
+def test_fits_of_folds_overlap_unless_wide(spark, monkeypatch):
+    import threading
+    import time
+
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.sql import functions as F
+
+    from glossa.operators import ml
+    parts = [spark.range(2).select(array_to_vector(F.array(F.lit(1.0), F.lit(2.0))).alias("features"), F.lit(k).alias("k")) for k in range(3)]
+    lock, now, most = threading.Lock(), [0], [0]
+
+    class Slow:
+        def copy(self):
+            return self
+
+        def fit(self, part):
+            with lock:
+                now[0] += 1
+                most[0] = max(most[0], now[0])
+            time.sleep(1)
+            with lock:
+                now[0] -= 1
+            return part.first()["k"]
+    assert ml.fit_together(Slow(), parts) == [0, 1, 2] and most[0] == 3
+    most[0] = 0
+    monkeypatch.setattr(ml, "COLUMNS", 3)       # one fit of two columns at a time
+    assert ml.fit_together(Slow(), parts) == [0, 1, 2] and most[0] == 1
