@@ -65,6 +65,40 @@ def test_wide_ridge_equals_dense(wide):
         assert np.allclose(one.yhat[one.fold == k], (X @ b + b0)[fold == k], atol=1e-6)
 
 
+def test_wide_ridge_joins_equal_columns_and_long_rows_take_few_steps(spark):
+    rng = np.random.default_rng(12)
+    n, p = 60, 5_000
+    X = sparse_matrix(rng, n, p, 0.002) * (rng.random(p) < 0.6)
+    long = rng.random(n) < 0.1
+    X[long] += (rng.random((long.sum(), p)) < 0.3) / 8      # long rows beside short ones
+    X[:, 4000:] = X[:, 1000:2000]       # each of these equals another column
+    X[1, 3000:3900] = 0.5               # and these hold one row's number only, if any other
+    X[2] = X[3]                         # a copy of a row
+    y = np.where(rng.random(n) < 0.5, 1.0, 0.0)
+    y[5] = np.nan
+    fold = np.arange(n) % 3
+    frame = spark.createDataFrame([(i, int(fold[i]), None if np.isnan(y[i]) else float(y[i])) for i in range(n)],
+                                  "group_id long, fold int, o double")
+    d = SP.sparse_design(long_table(spark, X).repartition(3), frame, [], ["o"])
+    used = X[:, X.any(0)]
+    slim, place = SP.distinct_columns(d)
+    assert slim.p == len(np.unique(used, axis=1).T) and (used == used[:, np.unique(place, return_index=True)[1]][:, place]).all()
+    factor = np.where(np.arange(d.p) % 3 == 0, np.nan, np.where(np.arange(d.p) % 3 == 1, 0.0, 2.0))
+    for scale in (None, {"o": factor}):
+        got = SP.ridge(d, (0.5, 100.0), scale=scale)
+        assert got.residual.max() <= 1e-10 and got.steps < 100
+        for j, (k, _, a) in enumerate(got.keys):
+            tr = (fold != k) & ~np.isnan(y)
+            sd = used[tr].std(0)
+            f = np.divide(1, sd, out=np.zeros(d.p), where=sd > 1e-9)
+            if scale:
+                f = np.where(np.isnan(factor), f, np.where(f > 0, factor, 0.0))
+            Z = (used[tr] - used[tr].mean(0)) * f
+            b = Z.T @ np.linalg.solve(Z @ Z.T + a * np.eye(len(Z)), y[tr] - y[tr].mean()) * f
+            assert np.abs(got.coef[:, j] - b).max() < 1e-7 * np.abs(b).max()
+            assert abs(got.intercept[j] - (y[tr].mean() - used[tr].mean(0) @ b)) < 1e-7
+
+
 def test_weights_in_raw_units(wide):
     d, X, Y, _ = wide
     got = SP.ridge(d, alphas=(10.0,), without=[None])
