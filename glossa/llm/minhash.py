@@ -24,7 +24,12 @@ within the thresholds always passes:
   shingles that the similarity leaves to both (prefix and position filter).
 
 So documents that share a passage without being near, a third of all rows perhaps, fall apart before
-any pair is made.  A pair that is made is compared once.
+any pair is made.  A family of variants that are almost near shares most of its rare shingles, too.  What is left is
+therefore compared with a last hub, and those that have the same hub are held against each other by how they differ
+from it, shingles missing and added: of linked documents' differences one is missing from the other at most as
+often as the similarity allows, so the pair shares one of the first differences in the order of rarity (two
+without a common one are linked with the hub if they are linked at all).  The rest meets by the shingles' own order,
+hub by hub.  A pair that is made is compared once.
 
 Words are runs of characters other than space, tab, line feed, vertical tab,
 form feed and carriage return, after lower-casing A-Z.  Defined results: a
@@ -225,6 +230,7 @@ class _Join:
         lab = self.labelled(comp)
         mixed = lab.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("key")
         mixed = self.scratch.keep(mixed, "mixed")
+        self.left = self.scratch.keep(lab.join(mixed.hint("merge"), "key", "left_semi").select("key", "rep"), "last")
         here = lab.join(mixed.hint("merge"), "key", "left_semi").select("rep", "comp").distinct()
         here = self.reps.select("rep", "sig", "n", F.col("key").alias("cls")).join(here.hint("merge"), "rep")
         symbols = here.select("rep", "cls", "comp", "n", F.posexplode(F.array(*[_symbol(F.col("sig"), i) for i in range(K)])).alias("place", "symbol"))
@@ -234,31 +240,74 @@ class _Join:
         good = symbols.join(two.hint("merge"), ["place", "symbol"], "left_semi").groupBy("rep", "cls", "comp", "n").agg(F.count("*").alias("c"))
         return self.scratch.keep(good.where(F.col("c") >= K - H).drop("c"), "apart")
 
-    def prefixes(self, apart: DataFrame) -> DataFrame:
-        """(item, rep, comp, n, place): the shingles, in order of rarity, one of which the pair shares."""
+    def differences(self, apart: DataFrame, comp: DataFrame) -> tuple:
+        """The pairs (u, v) of reps and their last hubs, and (rep, cls, comp, n, items, hub, diff): the class of the hub that a rep is held against and the shingles that one of
+        both has.  Among the hubs of its buckets that it meets at least half as often as any, the first of one order,
+        so that a family has one; it is its own, without differences, if they are half of both sets."""
+        lab = self.labelled(comp).join(apart.select("rep").distinct().hint("merge"), "rep", "left_semi").select("key", "rep", "size")
+        order = F.struct(-F.col("size"), F.xxhash64("rep", F.lit(ROUNDS)), F.col("rep").alias("hub"))
+        hubs = lab.groupBy("key").agg(F.min(order).alias("h"))
+        often = lab.join(hubs.hint("merge"), "key").groupBy("rep", "h").agg(F.count("*").alias("c"))
+        often = often.withColumn("most", F.max("c").over(Window.partitionBy("rep")))
+        to = self.scratch.keep(often.where(2 * F.col("c") >= F.col("most")).groupBy("rep").agg(F.min("h").alias("h"))
+                               .select("rep", "h.hub"), "to")
         sets = (self.sets.join(apart.select(F.col("rep").alias("id"), "cls", "comp", "n").hint("merge"), ["id", "cls"])
-                .groupBy("id", "cls", "comp", "n").agg(F.first("items").alias("items")))
-        each = self.scratch.keep(sets.select(F.col("id").alias("rep"), "cls", "comp", "n", F.explode("items").alias("item")), "each")
-        seen = (each.groupBy("item").agg(F.count("*").alias("df"), F.min("comp").alias("a"), F.max("comp").alias("b"))
-                .where("a <> b").select("item", "df"))
-        seen = self.scratch.keep(seen, "seen")
+                .groupBy("id", "cls", "comp", "n").agg(F.first("items").alias("items")).withColumnRenamed("id", "rep"))
+        sets = self.scratch.keep(sets, "whole")
+        one = sets.groupBy("rep").agg(F.min(F.struct("cls", "items")).alias("o"))     # a repeated id may have several
+        one = one.join(to.select(F.col("hub").alias("rep")).distinct().hint("merge"), "rep", "left_semi")
+        one = self.scratch.keep(one.select(F.col("rep").alias("hub"), F.col("o.cls").alias("of"), F.col("o.items").alias("its")), "one")
+        both = spread_join(sets.join(to.hint("merge"), "rep", "left"), one, ["hub"], ["rep"])
+        diff = F.concat(F.array_except("items", "its"), F.array_except("its", "items"))
+        both = both.select("rep", "cls", "comp", "n", "of", "items", diff.alias("diff"), F.size("its").alias("k"))
+        near = F.coalesce(2 * F.size("diff") <= F.col("n") + F.col("k"), F.lit(False))
+        none = F.array().cast("array<long>")
+        diffs = self.scratch.keep(both.select("rep", "cls", "comp", "n", "items", F.when(near, F.col("of")).otherwise(F.col("cls")).alias("hub"),
+                                              F.when(near, F.col("diff")).otherwise(none).alias("diff")), "differences")
+        return to.where("rep <> hub").select(F.col("rep").alias("ru"), F.col("hub").alias("rv")), diffs
+
+    def ordered(self, each: DataFrame, on: list[str], size: str, name: str) -> DataFrame:
+        """The items that several components have (``on``: what names one) with the rep's count ``m`` of these and
+        their ``place`` in the order of rarity, behind the rep's other items."""
+        each = self.scratch.keep(each, f"each{name}")
+        seen = (each.groupBy(*on).agg(F.count("*").alias("df"), F.min("comp").alias("a"), F.max("comp").alias("b"))
+                .where("a <> b").select(*on, "df"))
+        seen = self.scratch.keep(seen, f"seen{name}")
         by = Window.partitionBy("rep", "cls")
+        return (each.join(seen.hint("merge"), on).withColumn("m", F.count("*").over(by))
+                .withColumn("place", F.col(size) - F.col("m") + F.row_number().over(by.orderBy("df", "item"))))
+
+    def prefixes(self, diffs: DataFrame) -> DataFrame:
+        """(item, hub, rep, comp, n, place): the shingles, in order of rarity, one of which the pair shares."""
         need = F.ceil(self.percent * F.col("n") / 100)
-        ranked = (each.join(seen.hint("merge"), "item").withColumn("m", F.count("*").over(by)).where(F.col("m") >= need)
-                  .withColumn("place", F.col("n") - F.col("m") + F.row_number().over(by.orderBy("df", "item"))))
-        return self.scratch.keep(ranked.where(F.col("place") <= F.col("n") - need + 1).select("item", "rep", "comp", "n", "place"), "prefixes")
+        ranked = self.ordered(diffs.select("rep", "cls", "comp", "n", "hub", F.explode("items").alias("item")), ["item"], "n", "")
+        return self.scratch.keep(ranked.where((F.col("m") >= need) & (F.col("place") <= F.col("n") - need + 1))
+                                 .select("item", "hub", "rep", "comp", "n", "place"), "prefixes")
+
+    def variants(self, diffs: DataFrame) -> DataFrame:
+        """Pairs (u, v) of one hub whose differences from it may be near."""
+        each = diffs.select("rep", "cls", "comp", "n", "hub", F.size("diff").alias("s"), F.explode("diff").alias("item"))
+        ranked = self.ordered(each, ["hub", "item"], "s", "d")
+        first = ranked.where(self.percent * (F.col("place") - 1) <= (100 - self.percent) * F.col("n"))
+        first = self.scratch.keep(first.select("hub", "item", "rep", "comp", "n", "s", "place"), "first")
+        a, b = (first.select("hub", "item", *[F.col(c).alias(c[0] + x) for c in ("rep", "comp", "n", "s", "place")]) for x in "uv")
+        share = F.least(F.expr("su - pu"), F.expr("sv - pv")) + 1
+        return a.join(b.hint("merge"), ["hub", "item"]).where(F.expr("ru < rv AND cu <> cv") & (
+            (100 + self.percent) * (F.expr("su + sv") - 2 * share) <= (100 - self.percent) * F.expr("nu + nv")))
 
     def remaining(self, comp: DataFrame) -> DataFrame:
         """Links between components that the hubs didn't find."""
-        p = self.prefixes(self.apart(comp))
-        two = p.groupBy("item").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("item")
-        p = p.join(two.hint("merge"), "item", "left_semi")
-        a, b = (p.select("item", *[F.col(c).alias(c[0] + x) for c in ("rep", "comp", "n", "place")]) for x in "uv")
+        hubs, diffs = self.differences(self.apart(comp), comp)
+        p = self.prefixes(diffs)
+        groups = p.select("item", "hub").distinct()
+        groups = self.scratch.keep(groups.select("item", F.col("hub").alias("hu")).join(
+            groups.select("item", F.col("hub").alias("hv")).hint("merge"), "item").where("hu < hv"), "groups")
+        a, b = (p.select("item", F.col("hub").alias("h" + x), *[F.col(c).alias(c[0] + x) for c in ("rep", "comp", "n", "place")]) for x in "uv")
         share = F.least(F.expr("nu - pu"), F.expr("nv - pv")) + 1
-        pairs = a.join(b.hint("merge"), "item").where(
-            F.expr("ru < rv AND cu <> cv") & ((100 + self.percent) * share >= self.percent * F.expr("nu + nv")))
-        pairs = pairs.select(F.col("ru").alias("u"), F.col("rv").alias("v")).distinct()
-        return self.linked(pairs, "last")
+        pairs = groups.join(a.hint("merge"), ["item", "hu"]).join(b.hint("merge"), ["item", "hv"]).where(
+            F.expr("ru <> rv AND cu <> cv") & ((100 + self.percent) * share >= self.percent * F.expr("nu + nv")))
+        pairs = hubs.unionByName(pairs.select("ru", "rv")).unionByName(self.variants(diffs).select("ru", "rv"))
+        return self.linked(pairs.select(F.least("ru", "rv").alias("u"), F.greatest("ru", "rv").alias("v")).distinct(), "last")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5,
@@ -296,7 +345,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     job.remaining(comp)
     edges = edges.unionByName(job.links())
     comp = connected_components(edges, scratch, "all")
-    scratch.drop("sets", "buckets", "each", "prefixes", *[f"{t}{k}" for k in range(ROUNDS) for t in ("here", "new", "comp", "hubs")])
+    scratch.drop("sets", "buckets", "last", "whole", "one", "differences", "each", "eachd", "first", "groups", "prefixes", *[f"{t}{k}" for k in range(ROUNDS) for t in ("here", "new", "comp", "hubs")])
     out = spread_join(members, comp.select(F.col("id").alias("rep"), "component"), ["rep"], ["id"])
     one = F.when(F.col("id").isNull(), None).otherwise(F.coalesce("component", "rep", "id"))
     return out.select(F.col("id").alias(doc_id), F.col("n").alias("n_shingles"), one.alias("component_id"),

@@ -561,3 +561,28 @@ def test_minhash_families_without_a_hub_stay_whole(spark):
     have = {r["doc_id"]: r["component_id"] for r in got.collect()}
     missed = [l for l in links if have[l[0]] != have[l[1]]]
     assert all(want[i] == want[c] for i, c in have.items()) and len(missed) <= len(links) * 1e-3
+
+
+def test_minhash_variants_that_are_almost_near_make_few_pairs(spark, monkeypatch):
+    """A family whose members are at a similarity of about 0.7 to each other, some of them linked; the original is
+    missing: far fewer pairs than the family's square, and every link of the full sets."""
+    rng = random.Random(31)
+    base = words(rng, 300, 10**6).split()
+    rows = []
+    for i in range(300):
+        copy = list(rng.choice(rows)[1].split() if i % 10 == 9 else base)
+        for _ in range(4 if i % 10 == 9 else 7):
+            copy[rng.randrange(300)] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(copy)))
+    made = []
+    linked = minhash._Join.linked
+
+    def counted(self, pairs, name):
+        made.append(pairs.count())
+        return linked(self, pairs, name)
+    monkeypatch.setattr(minhash._Join, "linked", counted)
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), width=4)
+    sets = {i: brute_sets(t, 4) for i, t in rows}
+    links = [(a, b) for a, b in itertools.combinations(sets, 2) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    assert {r["doc_id"]: r["component_id"] for r in got.collect()} == components(list(sets), links) and links
+    assert made[-1] <= 300 * 299 / 2 / 3
