@@ -44,7 +44,7 @@ class Scratch:
     """Intermediate tables of one operator run, in the shared folder.
 
     ``keep`` writes a DataFrame as Parquet and reads it back, which cuts the
-    lineage and survives lost executors.  ``drop`` removes tables that the
+    lineage and survives lost executors, and lets go of what its jobs left.  ``drop`` removes tables that the
     result no longer reads; what the lazy result still needs stays until the
     caller's shared folder is cleared (``Scratch.clear`` removes the rest).
     """
@@ -58,6 +58,7 @@ class Scratch:
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         df.write.mode("overwrite").parquet(self.path(name))
+        session.tidy(self.spark)
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, *names: str) -> None:

@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from glossa.llm.common import Scratch, remainder5
 
 BUCKETS, TERMS, FACTORS = 1 << 20, 2048, 8
+assert TERMS <= 1 << 16, "a row's columns are held in two bytes each"
 STEMS = (4, 5, 6)
 #: A term is kept from this log-likelihood ratio on (chance alone passes it less than twice in a thousand).
 LEAST_LLR = 10.0
@@ -81,7 +82,16 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(z, -40, 40))))
 
 
-def fit(rows: list[list[int]], y: np.ndarray, sample_weight: np.ndarray, n: int, epochs: int = 12,
+def packed(cols: list[int]) -> bytes:
+    """The ascending columns of a row, two bytes each: what the driver holds of it.  The bytes sort as the columns do."""
+    return np.array(cols, ">u2").tobytes()
+
+
+def unpacked(row: bytes) -> np.ndarray:
+    return np.frombuffer(row, ">u2")
+
+
+def fit(rows: list, y: np.ndarray, sample_weight: np.ndarray, n: int, epochs: int = 12,
         l2: float = 1e-4, rate: float = 0.02, seed: int = 5) -> tuple[float, np.ndarray, np.ndarray]:
     """Logistic factorization machine by Adam on mini-batches of presence rows."""
     rng = np.random.default_rng(seed)
@@ -163,13 +173,13 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
         cache: dict = {}
         for b in batches:
             yield pa.RecordBatch.from_arrays(
-                [b.column(1), pa.array([shell.columns(t, cache) for t in b.column(0).to_pylist()], pa.list_(pa.int32()))], ["y", "cols"])
+                [b.column(1), pa.array([packed(shell.columns(t, cache)) for t in b.column(0).to_pylist()], pa.binary())], ["y", "cols"])
 
-    rows = sample.mapInArrow(columns, "y int, cols array<int>").collect()
-    rows.sort(key=lambda r: (r["y"], r["cols"]))   # the order of a collect isn't fixed
-    y = np.array([r["y"] for r in rows], float)
+    got = sample.mapInArrow(columns, "y int, cols binary").toArrow()
+    rows = sorted(zip(got.column("y").to_pylist(), got.column("cols").to_pylist()))     # the order of a collect isn't fixed
+    y = np.array([r[0] for r in rows], float)
     weight = np.where(y == 1, 1 / share[1], 1 / share[0])
-    b, w, v = fit([r["cols"] for r in rows], y, weight, len(index))
+    b, w, v = fit([unpacked(r[1]) for r in rows], y, weight, len(index))
     scratch.clear()
     return Model(index, b, w, v)
 
