@@ -44,3 +44,9 @@ def test_joined_lines_keep_no_copy_and_repeat_last(spark, monkeypatch):
     got = {(r["group_id"], r["chunk"]): r["line"] for r in M.joined_feature_lines(f).collect()}
     assert got == {(1, 0): "a a a b_c b_c", (2, 0): "z"}
     assert kept and all("feat" not in c for c in kept)
+
+
+def test_kept_features_are_written_before_the_rows_meet_them(spark):
+    f = spark.createDataFrame([(g, w, 1.0) for g in range(10) for w in ("all", f"own{g}")], "group_id long, feat string, value double")
+    got = R.feat_occ_filter(f, 0.5)
+    assert "Aggregate" not in plan(got) and {r["feat"] for r in got.collect()} == {"all"} and got.count() == 10
