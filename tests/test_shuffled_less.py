@@ -50,3 +50,18 @@ def test_kept_features_are_written_before_the_rows_meet_them(spark):
     f = spark.createDataFrame([(g, w, 1.0) for g in range(10) for w in ("all", f"own{g}")], "group_id long, feat string, value double")
     got = R.feat_occ_filter(f, 0.5)
     assert "Aggregate" not in plan(got) and {r["feat"] for r in got.collect()} == {"all"} and got.count() == 10
+
+
+def test_vectorizer_sends_its_vocabulary(spark, monkeypatch):
+    m = spark.createDataFrame([(i, g, t) for i, (g, t) in enumerate([("u", "red fox runs"), ("v", "red fox sleeps"), ("w", "blue whale")])],
+                              "message_id long, group_id string, message string")
+    plans = []
+    plain = FE.materialize
+    monkeypatch.setattr(FE, "materialize", lambda df: (plans.append(plan(df)) if "_w" in df.columns else None, plain(df))[1])
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = {(r["group_id"], r["feat"]) for r in FE.tfidf_vectorizer(m, min_df=0.5, max_df=0.9, stop_words=[]).collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == {(g, w) for g in "uv" for w in ("red", "fox", "red fox")}
+    assert len(plans) == 1 and "BroadcastHashJoin" in plans[0] and "SortMergeJoin" not in plans[0]
