@@ -65,3 +65,17 @@ def test_vectorizer_sends_its_vocabulary(spark, monkeypatch):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert got == {(g, w) for g in "uv" for w in ("red", "fox", "red fox")}
     assert len(plans) == 1 and "BroadcastHashJoin" in plans[0] and "SortMergeJoin" not in plans[0]
+
+
+def test_collocations_are_written_step_by_step(spark, monkeypatch):
+    f = spark.createDataFrame([("u", "a b", 2.0), ("u", "b c", 1.0), ("v", "a b", 1.0)], "group_id string, feat string, value double")
+    w = spark.createDataFrame([("u", "a", 3.0), ("u", "b", 4.0), ("v", "b", 1.0), ("u", "c", 1.0), ("v", "a", 1.0)], "group_id string, feat string, value double")
+    kept = []
+    for mod in (R, FE):
+        monkeypatch.setattr(mod, "materialize", lambda df, plain=mod.materialize: (kept.append(set(df.columns)), plain(df))[1])
+    pmi = R.ngram_pmi(f, w)
+    assert {"feat", "c", "n"} in kept                       # n-gram totals are made once
+    got = FE.colloc_feats(w, f, pmi.select("feat"))
+    assert {"group_id", "_total"} in kept and "Aggregate" not in plan(got)
+    assert {(r["group_id"], r["feat"]): (r["value"], r["group_norm"]) for r in got.collect()} == {
+        ("u", "a"): (1.0, 0.2), ("u", "b"): (1.0, 0.2), ("u", "a b"): (2.0, 0.4), ("u", "b c"): (1.0, 0.2), ("v", "a b"): (1.0, 1.0)}
