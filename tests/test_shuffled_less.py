@@ -79,3 +79,17 @@ def test_collocations_are_written_step_by_step(spark, monkeypatch):
     assert {"group_id", "_total"} in kept and "Aggregate" not in plan(got)
     assert {(r["group_id"], r["feat"]): (r["value"], r["group_norm"]) for r in got.collect()} == {
         ("u", "a"): (1.0, 0.2), ("u", "b"): (1.0, 0.2), ("u", "a b"): (2.0, 0.4), ("u", "b c"): (1.0, 0.2), ("v", "a b"): (1.0, 1.0)}
+
+
+def test_fits_read_no_more_parts_than_cores(spark):
+    from glossa.operators.ml import fit_together
+
+    class Counter:
+        def copy(self):
+            return self
+
+        def fit(self, part):
+            return part.rdd.getNumPartitions(), part.count()
+    f = spark.range(100).selectExpr("id", "id AS x").repartition(40)
+    cores = spark.sparkContext.defaultParallelism
+    assert cores < 40 and fit_together(Counter(), [f]) == [(cores, 100)]
